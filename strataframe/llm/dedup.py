@@ -8,8 +8,8 @@ of these keys finds every pair under the signature distance. Pairs are confirmed
 Work is done on different texts only: documents with equal sets are one class from the start. Within a key, members are
 first compared with one member, the key's centre (the one that shares most keys, so the original of a family of copies),
 never all with all; the confirmed links give components. Where a key's members then lie in several components, the
-members outside its largest component are compared with all members in blocks of bounded size, and only pairs under the
-signature distance leave a block. So no link is lost, and a family of copies costs its size, not its square.
+members outside its largest component are compared with all members in blocks of bounded size (without those whose own
+shingles rule out any link), and only pairs under the signature distance leave a block. So no link is lost, and a family of copies costs its size, not its square.
 
 Components come from alternating rounds of hooking to the smallest neighbour until nothing changes; links stay
 distributed, and each round's result is written to the shared folder.
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +126,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, broad
     """Those of the pairs (a, b) with 100 * common >= percent * union on their full sets. Only documents in a pair are
     shuffled; which they are is broadcast if counted to be few enough, else joined by key."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    few = ids.count() <= broadcast_rows
-    texts = written(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "pair-texts")
+    texts = written(few_texts(docs, ids, broadcast_rows), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last_set = None, None
@@ -182,35 +180,70 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) under the signature distance that share a key but lie in different components so far."""
+def few_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """A text for each of the written ids; these are broadcast if counted to be few enough, else joined by key."""
+    few = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """id, own: how many shingles of each text no other of these texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                sets = shingle_sets(block, width)
+                owner = np.repeat(np.arange(block.lo, block.hi), list(map(len, sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(pa.array(owner))], names=["shingle", "id"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"shingle long, id {texts.schema['id'].dataType.simpleString()}")
+    return rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
+    """Pairs (a, b) under the signature distance that share a key but lie in different components so far.
+
+    Shingles that a text has alone bound what it can have in common with any other: a copy of an original that was changed
+    in too many places can't be linked to any other copy, and is left out before anything is compared.
+    """
     placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).filter("parts > 1")
+
+    def several(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).filter("parts > 1").drop("parts")
+
+    members = written(placed.join(several(placed).select("key"), "key"), "mixed-keys")
+    ids = written(members.select("id").distinct(), "mixed-ids")
+    own = own_shingles(few_texts(docs, ids, broadcast_rows), width)
+    bounded = classes.join(ids, "id").join(own, "id", "left").select("id", "signature", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    able = written(bounded.filter(100 * F.col("common") >= percent * F.col("size")), "able")
+    members = written(members.join(able.select("id"), "id"), "able-members")
     # members outside the largest component, in blocks of SIDE, meet all members of their key, also in blocks
-    members = placed.join(mixed, "key").join(classes.select("id", "signature"), "id")
-    spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SIDE)).cast("int")
-    members = written(members.withColumn("part", spread), "mixed-keys")
-    strays = members.filter("component <> largest").withColumn("side", F.lit(0)).withColumn("stray_part", F.col("part"))
-    parts = strays.groupBy("key", F.col("part").alias("stray_part")).agg(F.max("members").alias("of"))
+    members = members.join(several(members), "key").join(able, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SIDE)).cast("int"))
+    members = written(members, "rest-members")
+    strays = members.filter("component <> largest").withColumnRenamed("part", "stray_part")
+    parts = strays.groupBy("key", "stray_part").agg(F.max("members").alias("of"))
     work = parts.select("key", "stray_part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("of") / SIDE) - 1).cast("int"))).alias("part"))
-    left = strays.drop("part").join(work, ["key", "stray_part"]).select("key", "stray_part", "part", "side", "id", "component", "signature")
-    right = members.join(work, ["key", "part"]).select("key", "stray_part", "part", F.lit(1).alias("side"), "id", "component", "signature")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": one["id"][:0], "b": one["id"][:0]})
-        sign = [np.frombuffer(b"".join(map(bytes, x["signature"])), np.uint16).reshape(-1, SYMBOLS) for x in (one, two)]
-        ids, parts = [x["id"].to_numpy() for x in (one, two)], [x["component"].to_numpy() for x in (one, two)]
-        out = []
-        for i in range(len(one)):
-            hit = (_differing(sign[0][i], sign[1]) <= DISTANCE) & (parts[1] != parts[0][i])
-            out += [(min(ids[0][i], b), max(ids[0][i], b)) for b in ids[1][hit]]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
+    columns = ["key", "stray_part", "part", "side", "id", "component", "signature", "size", "common"]
+    left = strays.join(work, ["key", "stray_part"]).withColumn("side", F.lit(0)).select(columns)
+    right = members.join(work, ["key", "part"]).withColumn("side", F.lit(1)).select(columns)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        _, part = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        size, common = rows["size"].to_numpy(), rows["common"].to_numpy()
+        others, pairs = np.flatnonzero(side == 1), set()
+        ids = rows["id"].to_pylist()
+        for i in np.flatnonzero(side == 0):
+            least = np.minimum(common[i], common[others])
+            may = others[(part[others] != part[i]) & (100 * least >= percent * (size[i] + size[others] - least))]
+            pairs.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in may[_differing(sign[i], sign[may]) <= DISTANCE])
+        kind = rows.schema.field("id").type
+        return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([x for _, x in pairs], kind)})
 
     kind = classes.schema["id"].dataType.simpleString()
-    return left.union(right).groupBy("key", "stray_part", "part").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return left.union(right).groupBy("key", "stray_part", "part").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -230,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = shared.select("key", "id").join(centre, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(written(near(pairs, classes), "near"), texts, percent, width, broadcast_rows), "confirmed")
     found = written(components(links), "components")
-    more = written(rest_pairs(shared, found, classes), "rest")
+    more = written(rest_pairs(shared, found, classes, texts, percent, width, broadcast_rows), "rest")
     if not more.isEmpty():
         links = links.union(written(confirmed(more, texts, percent, width, broadcast_rows), "confirmed"))
         found = written(components(links), "components")
