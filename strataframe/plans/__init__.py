@@ -1,6 +1,6 @@
 """Queries over the given tables, one for each operator, registered by name."""
 
-from . import accuracy, screening, temporal
+from . import accuracy, extras, screening, spatial, temporal
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "accuracy", "screening", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accuracy", "extras", "screening", "spatial", "temporal"]

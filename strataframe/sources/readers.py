@@ -53,7 +53,7 @@ def station_wide(long: DataFrame, variables: Sequence[str]) -> DataFrame:
 def packed_temperature(packed: Column) -> Column:
     """'+0260,1' is 26.0: tenths of a degree with a code; only code 1 counts and 9999 is missing."""
     value, code = F.regexp_extract(packed, r"^([+-]\d{4}),(\d)$", 1), F.regexp_extract(packed, r"^([+-]\d{4}),(\d)$", 2)
-    return F.when((code == "1") & ~value.isin("+9999", "-9999", ""), value.try_cast("double") / 10.0)
+    return F.when((code == "1") & ~value.isin("+9999", "-9999", ""), value.try_cast("double") / 10.0 + 0.0)
 
 
 def inventory(rows: DataFrame, elevation_sentinels: Sequence[float] = (-999.9, -999.0, 9999.0)) -> DataFrame:
