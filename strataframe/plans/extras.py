@@ -30,7 +30,7 @@ def src_07_parallel_arrays(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("problem IS NULL").groupBy("event_type", "day").agg(F.count("hour_utc").alias("hours"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT c_custkey, round(c_acctbal / 100, 1) AS value FROM customer WHERE c_custkey % 3 = 0 AND abs(round(c_acctbal / 100, 1)) < 999")
+@query("SELECT c_custkey, round(c_acctbal / 100, 1) + 0.0 AS value FROM customer WHERE c_custkey % 3 = 0 AND abs(round(c_acctbal / 100, 1)) < 999")
 def src_05_packed_temperature(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "customer").withColumn("v", F.round(F.col("c_acctbal") / 100, 1))
     packed = c.select("c_custkey", F.concat(F.when(F.col("v") < 0, "-").otherwise("+"), F.lpad(F.round(F.abs("v") * 10).cast("int").cast("string"), 4, "0"), F.lit(","), F.when(F.col("c_custkey") % 3 == 0, "1").otherwise("2")).alias("tmp"))
