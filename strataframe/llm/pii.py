@@ -6,7 +6,7 @@ Parsers skip what an earlier span of their kind covers, so each stretch of text
 very long runs of digits or word characters.
 
 Base kinds (leftmost, not overlapping within a kind): email, ip, card (13 to 19 digits, Luhn), phone (9 to 15 digits).
-Added kinds: url_user (the user part of a scheme://user@ authority), iban (mod 97) and account (a number or key behind an
+Added to these: a card or phone number in a longer run of numbers. Added kinds: url_user (the user part of a scheme://user@ authority), iban (mod 97) and account (a number or key behind an
 identifier cue such as ``ssn``, ``iban``, ``account``, ``token =`` or ``passport``, where no base span lies).
 
 Defined results: a null or empty text has no spans; places are code points, ends exclusive; repeated rows count each for
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url_user", "iban", "account")
+ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
 Span = tuple[str, int, int]
 
 #: Fixed: identifier cues, lower case. What follows one is an account if it has the form of one.
@@ -39,6 +40,7 @@ _NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"[\x20().0-9-]+")
+_GROUPED = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}?(?![\x20.-]?[0-9]{2,4}(?![0-9.]))")
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+(?::[^\s/?#@]*)?@")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _CUED = re.compile(r"(?i)(?:\x20?(?:number|no|nr|id|key)\b)?\.?\x20{0,2}(?:is\x20|[:=#]\x20{0,2})?[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]{4,}[A-Za-z0-9]))")
@@ -107,6 +109,18 @@ class Parser:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 13 <= len(digits) <= 19 and luhn(digits):
                     self.base.append(("card", at, m.end()))
+                elif len(digits) > 16 or len(m[0]) > len(digits):
+                    self.cards_within(at, m[0])
+
+    def cards_within(self, at: int, run: str) -> None:
+        """Cards in a run of digits that isn't one itself: a group that stands alone, or four groups of four."""
+        groups = [(g.start(), g.end()) for g in _DIGITS.finditer(run)]
+        for i, (start, end) in enumerate(groups):
+            four = groups[i : i + 4]
+            if 13 <= end - start <= 19 and end - start < len(run) and luhn(run[start:end]):
+                self.added.append(("card", at + start, at + end))
+            elif len(groups) > 4 and len(four) == 4 and all(b - a == 4 for a, b in four) and luhn("".join(run[a:b] for a, b in four)):
+                self.added.append(("card", at + start, at + four[-1][1]))
 
     def plus(self, at: int) -> None:
         if at < self.done["phone"] or not _is_digit(self.text, at + 1):
@@ -117,8 +131,10 @@ class Parser:
                 end -= 1
             if end > at + 3:
                 self.done["phone"] = end
-                if 9 <= sum("0" <= c <= "9" for c in self.text[at:end]) <= 15:
+                if 9 <= (n := sum("0" <= c <= "9" for c in self.text[at:end])) <= 15:
                     self.base.append(("phone", at, end))
+                elif n > 15 and (m := _GROUPED.match(self.text, at)) and not _is_digit(self.text, m.end()) and 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+                    self.added.append(("phone", at, m.end()))  # other numbers follow
 
     def scheme(self, end: int) -> None:
         if (m := _USER.match(self.text, end, end + 256)) and m.end() - 1 > end:
@@ -155,10 +171,9 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             parser.scheme(last + 1)
         else:
             parser.cue(last + 1 - len(word), last + 1)
-    order = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
-    base = sorted(parser.base, key=lambda s: (order[s[0]], s[1]))
+    base = sorted(parser.base, key=lambda s: (ORDER[s[0]], s[1]))
     added, ends = [], {}
-    for s in sorted(set(parser.added), key=lambda s: (order[s[0]], s[1], -s[2])):
+    for s in sorted(set(parser.added), key=lambda s: (ORDER[s[0]], s[1], -s[2])):
         if s[1] >= ends.get(s[0], 0) and not any(b[1] < s[2] and s[1] < b[2] for b in base) and not any(a[1] < s[2] and s[1] < a[2] for a in added):
             added.append(s)
             ends[s[0]] = s[2]
@@ -178,7 +193,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             for text in batch.column(1).to_pylist():
                 base, added = find(text or "")
                 kinds = [s[0] for s in base]
-                rows.append((*map(kinds.count, BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
+                both = sorted(base + added, key=lambda s: (ORDER[s[0]], s[1]))
+                rows.append((*map(kinds.count, BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both), len(added)))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
