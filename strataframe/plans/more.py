@@ -12,7 +12,7 @@ from ..sources import readers
 from .accuracy import LEVELS, _weights_sql
 from .registry import query
 from .temporal import events
-from .views import GRID_SQL, HOURLY_SQL, PREDICTED_SQL, SAMPLES_SQL, areas, grid, hourly_events, predicted, samples
+from .views import GRID_SQL, HOURLY_SQL, PREDICTED_SQL, SAMPLES_SQL, grid, hourly_events, predicted, samples, stations
 
 
 def _r(c: str, digits: int = 6):
@@ -272,12 +272,12 @@ def sc_12_name_times(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.date_format(F.when(F.col("o_orderkey") % 3 == 0, elapsed).otherwise(E.name_time(name)), "yyyy-MM-dd").alias("parsed"))
 
 
-@query("SELECT n_nationkey, CAST(4 AS INT) AS vertices, n_nationkey * 1.0 AS west, n_nationkey * 1.0 + 2 AS east FROM nation")
+@query("SELECT s_suppkey, CAST(4 AS INT) AS vertices, s_suppkey * 1.0 AS west, s_suppkey * 1.0 + 2 AS east FROM supplier")
 def sc_26_footprints(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     ring = F.format_string("0 %d 0 %d 2 %d 2 %d 0 %d", k, k + 2, k + 2, k, k)
-    p = load(spark, d, "nation").select("n_nationkey", readers.ring_points(ring).alias("p"))
-    return p.select("n_nationkey", F.size("p").alias("vertices"), F.array_min(F.transform("p", lambda x: x["x"])).alias("west"), F.array_max(F.transform("p", lambda x: x["x"])).alias("east"))
+    p = load(spark, d, "supplier").select("s_suppkey", readers.ring_points(ring).alias("p"))
+    return p.select("s_suppkey", F.size("p").alias("vertices"), F.array_min(F.transform("p", lambda x: x["x"])).alias("west"), F.array_max(F.transform("p", lambda x: x["x"])).alias("east"))
 
 
 @query("SELECT event_id, json_object('value', value, 'type', event_type)::VARCHAR AS receipt FROM (SELECT event_id, CAST(floor(value) AS INT) AS value, event_type FROM events)")
@@ -297,7 +297,7 @@ def sc_34_tile_phase(spark: SparkSession, d: str) -> DataFrame:
     at = F.to_timestamp(F.lit("2024-06-21 12:00:00"))
     points = [E.solar_elevation(at, F.col("lat") + i, F.col("lon") + j) for i, j in ((0, 0), (2, 2), (2, -2), (-2, 2), (-2, -2))]
     low, high = F.least(*points), F.greatest(*points)
-    return areas(spark, d).select("area_id", F.round(low, 4).alias("least"), F.round(high, 4).alias("most"), E.ladder([(low >= 6, "day"), (high <= -6, "night")], "mixed").alias("phase"))
+    return stations(spark, d).select("station_id", F.round(low, 4).alias("least"), F.round(high, 4).alias("most"), E.ladder([(low >= 6, "day"), (high <= -6, "night")], "mixed").alias("phase"))
 
 
 @query(f"WITH {SAMPLES_SQL}, b AS (SELECT region_id, min(ts) AS s, max(ts) AS f FROM samples GROUP BY 1) SELECT count(*) FILTER (WHERE NOT s <= f) AS out_of_order, count(*) AS bounds FROM b")

@@ -210,9 +210,9 @@ def spl_12_protocol_split(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).groupBy(label.alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey, r AS row, c AS col, (r + 2 * c) % 5 = 0 AS spatial_holdout FROM nation, (SELECT CAST(unnest(range(0, 5)) AS INT) AS r), (SELECT CAST(unnest(range(0, 4)) AS INT) AS c)")
+@query("SELECT s_suppkey, r AS row, c AS col, (r + 2 * c) % 5 = 0 AS spatial_holdout FROM supplier, (SELECT CAST(unnest(range(0, 5)) AS INT) AS r), (SELECT CAST(unnest(range(0, 4)) AS INT) AS c)")
 def spl_13_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    b = load(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return b.withColumn("spatial_holdout", (F.col("row") + 2 * F.col("col")) % 5 == 0)
 
 

@@ -128,13 +128,13 @@ def sc_23_tiles(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("g100-"), F.floor(x / 51200.0), F.lit("-"), F.floor(y / 51200.0)).alias("tile"), F.pmod(F.floor(x / 100.0), F.lit(512)).cast("int").alias("cell_col"))
 
 
-@query("WITH b AS (SELECT n_nationkey, n_nationkey * 1301 % 3600 / 10.0 - 180 AS west, n_nationkey * 523 % 1100 / 10.0 - 55 AS south FROM nation) SELECT n_nationkey, CAST(floor(south / 5) + r AS INT) AS row, CAST((floor((west + 180) / 5) + c) % 72 AS INT) AS col FROM b, (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 6)) AS c) WHERE (floor(south / 5) + r) * 5 < south + 12 AND (floor((west + 180) / 5) + c) * 5 < west + 180 + 23")
+@query("WITH b AS (SELECT s_suppkey, s_suppkey * 1301 % 3600 / 10.0 - 180 AS west, s_suppkey * 523 % 1100 / 10.0 - 55 AS south FROM supplier) SELECT s_suppkey, CAST(floor(south / 5) + r AS INT) AS row, CAST((floor((west + 180) / 5) + c) % 72 AS INT) AS col FROM b, (SELECT unnest(range(0, 4)) AS r), (SELECT unnest(range(0, 6)) AS c) WHERE (floor(south / 5) + r) * 5 < south + 12 AND (floor((west + 180) / 5) + c) * 5 < west + 180 + 23")
 def sc_24_candidate_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of 5 degrees that a box of 23 by 12 degrees touches; the antimeridian wraps."""
-    k = F.col("n_nationkey")
-    b = load(spark, d, "nation").select("n_nationkey", (k * 1301 % 3600 / 10.0 - 180).alias("west"), (k * 523 % 1100 / 10.0 - 55).alias("south"))
+    k = F.col("s_suppkey")
+    b = load(spark, d, "supplier").select("s_suppkey", (k * 1301 % 3600 / 10.0 - 180).alias("west"), (k * 523 % 1100 / 10.0 - 55).alias("south"))
     span = lambda a, size: F.sequence(F.floor(a / 5), (F.ceil((a + size) / 5) - 1))
-    return b.withColumn("row", F.explode(span(F.col("south"), 12))).withColumn("c", F.explode(span(F.col("west") + 180, 23))).select("n_nationkey", F.col("row").cast("int").alias("row"), (F.col("c") % 72).cast("int").alias("col"))
+    return b.withColumn("row", F.explode(span(F.col("south"), 12))).withColumn("c", F.explode(span(F.col("west") + 180, 23))).select("s_suppkey", F.col("row").cast("int").alias("row"), (F.col("c") % 72).cast("int").alias("col"))
 
 
 @query(f"WITH {SAMPLES_SQL}, x AS (SELECT sample_id, month, row_number() OVER (PARTITION BY month, CAST(acquisition_id % 4 AS INT) ORDER BY sha256('9:' || sample_id), sample_id) AS k FROM samples) SELECT month, sample_id FROM x WHERE k <= 3")
