@@ -179,6 +179,8 @@ def test_personal_data_of_whole_tables(spark):
     assert (got[1].n_email, got[1].spans) == (0, "") and got[7].n_card == 0
     assert pii.scan(frame(spark, [])).count() == 0
     assert pii.redact_text("to a@b.cd now") == "to [EMAIL] now"
+    assert pii.find("call +1 (826) 555-4081 190.137.2.9 ok")[1] == [("phone", 5, 22)]
+    assert pii.find("4111 1111 1111 1111 2027 12")[1] == [("card", 0, 19)]
 
 
 def test_long_runs_take_linear_time():
@@ -258,7 +260,7 @@ def test_gradients_match_differences():
     places, ptr = rng.integers(0, 1600, 30), np.array([0, 12, 30])
     loss = lambda v: -lm.log_probabilities(lm.Net(v.astype(np.float32)), places, ptr, 1).mean()
     moved, moments = vector.copy(), np.zeros_like(vector)
-    lm.learn(moved, places, ptr, 1, moments, 0.0, window=64)
+    lm.learn(moved, places, ptr, 1, moments, 0.0, least_window=64)
     gradient = np.sqrt(moments)
     for at in np.argsort(-gradient)[[0, 3, 10, 40]]:
         up, down = vector.copy(), vector.copy()
