@@ -8,8 +8,9 @@ of these keys finds every pair under the signature distance. Pairs are confirmed
 Work is done on different texts only: documents with equal sets are one class from the start. Within a key, members are
 first compared with one member, the key's centre (the one that shares most keys, so the original of a family of copies),
 never all with all; the confirmed links give components. Where a key's members then lie in several components, the
-members outside its largest component are compared with all members in blocks of bounded size (without those whose own
-shingles rule out any link), and only pairs under the signature distance leave a block. So no link is lost, and a family of copies costs its size, not its square.
+members outside its largest component are compared with all members in blocks of bounded size, after those that can have
+no further link have been ruled out by what they share (see ``rest_pairs``); only pairs under the signature distance leave
+a block. So no link is lost, and a family of copies costs its size, not its square.
 
 Components come from alternating rounds of hooking to the smallest neighbour until nothing changes; links stay
 distributed, and each round's result is written to the shared folder.
@@ -36,6 +37,8 @@ CHUNKS, WIDTH, BITS = 10, 5, 14
 #: Below this, a pair is found for certain: one chunk must have fewer than two differing symbols.
 DISTANCE = 2 * CHUNKS - 1
 SYMBOLS = CHUNKS * WIDTH
+#: A shingle that at most so many of the texts in question have is rare.
+RARE = 64
 #: Members of a key on one side of a comparison of blocks.
 SIDE = 512
 _rng = np.random.default_rng(7)
@@ -108,6 +111,15 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=-1)
 
 
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first index key that each pair of signatures shares, as chunk * WIDTH + symbol left out; -1 for none."""
+    differ = (a != b).reshape(-1, CHUNKS, WIDTH)
+    errors = differ.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    every = np.arange(len(differ))
+    return np.where(errors[every, chunk] <= 1, chunk * WIDTH + differ[every, chunk].argmax(axis=1), -1)
+
+
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose signatures differ in at most DISTANCE symbols."""
 
@@ -186,8 +198,8 @@ def few_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """id, own: how many shingles of each text no other of these texts has."""
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """shingle, id: the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +208,16 @@ def own_shingles(texts: DataFrame, width: int) -> DataFrame:
                 owner = np.repeat(np.arange(block.lo, block.hi), list(map(len, sets)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(pa.array(owner))], names=["shingle", "id"])
 
-    rows = texts.select("id", "text").mapInArrow(run, f"shingle long, id {texts.schema['id'].dataType.simpleString()}")
-    return rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    return texts.select("id", "text").mapInArrow(run, f"shingle long, id {texts.schema['id'].dataType.simpleString()}")
 
 
 def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
     """Pairs (a, b) under the signature distance that share a key but lie in different components so far.
 
-    Shingles that a text has alone bound what it can have in common with any other: a copy of an original that was changed
-    in too many places can't be linked to any other copy, and is left out before anything is compared.
+    Two such texts share a rare shingle, which at most RARE of the texts have, or they don't. Those that do are found by an
+    equality join on rare shingles, at most RARE rows each. Those that don't have only frequent shingles in common, so the
+    numbers of these bound what they share: a copy of an original that was changed in too many places can't be linked to
+    another copy, and is left out before the members of a key are compared.
     """
     placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
 
@@ -214,8 +227,16 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
 
     members = written(placed.join(several(placed).select("key"), "key"), "mixed-keys")
     ids = written(members.select("id").distinct(), "mixed-ids")
-    own = own_shingles(few_texts(docs, ids, broadcast_rows), width)
-    bounded = classes.join(ids, "id").join(own, "id", "left").select("id", "signature", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    rows = written(shingle_rows(few_texts(docs, ids, broadcast_rows), width), "shingles")
+    counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter(F.col("n") <= RARE), "rare-shingles")
+    rare = written(rows.join(counts.filter("n > 1").select("shingle"), "shingle"), "rare-rows")
+    alone = counts.filter("n = 1").groupBy(F.col("first").alias("id")).agg(F.count(F.lit(1)).alias("alone"))
+    with_few = rare.groupBy("id").agg(F.count(F.lit(1)).alias("with_few"))
+    frequent = F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("with_few", F.lit(0))
+    bounded = classes.join(ids, "id").join(alone, "id", "left").join(with_few, "id", "left").select("id", "signature", F.col("n_shingles").alias("size"), frequent.alias("common"))
+    place = members.select("id", "component").distinct()
+    sides = [rare.join(place, "id").select("shingle", F.col("id").alias(c), F.col("component").alias(f"{c}_component")) for c in "ab"]
+    by_rare = sides[0].join(sides[1], "shingle").filter("a < b AND a_component <> b_component").select("a", "b").distinct()
     able = written(bounded.filter(100 * F.col("common") >= percent * F.col("size")), "able")
     members = written(members.join(able.select("id"), "id"), "able-members")
     # members outside the largest component, in blocks of SIDE, meet all members of their key, also in blocks
@@ -230,6 +251,7 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
 
     def compare(rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
+        key = rows["key"][0].as_py() >> (BITS * (WIDTH - 1))
         sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         _, part = np.unique(rows["component"].to_numpy(), return_inverse=True)
         size, common = rows["size"].to_numpy(), rows["common"].to_numpy()
@@ -238,12 +260,15 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
         for i in np.flatnonzero(side == 0):
             least = np.minimum(common[i], common[others])
             may = others[(part[others] != part[i]) & (100 * least >= percent * (size[i] + size[others] - least))]
-            pairs.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in may[_differing(sign[i], sign[may]) <= DISTANCE])
+            may = may[_differing(sign[i], sign[may]) <= DISTANCE]
+            may = may[first_key(np.broadcast_to(sign[i], sign[may].shape), sign[may]) == key]  # in one key of those they share
+            pairs.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in may)
         kind = rows.schema.field("id").type
         return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([x for _, x in pairs], kind)})
 
     kind = classes.schema["id"].dataType.simpleString()
-    return left.union(right).groupBy("key", "stray_part", "part").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    by_key = left.union(right).groupBy("key", "stray_part", "part").applyInArrow(compare, f"a {kind}, b {kind}")
+    return by_key.union(near(by_rare, classes)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
