@@ -4,9 +4,9 @@ A text is cut into pre-tokens, whose token counts don't depend on their neighbou
 pre-tokens and their counts is broadcast; a pre-token that it lacks is encoded once by the worker's tokenizer and kept in
 the worker's cache, of bounded size. Nothing is shuffled.
 
-The frequent tier holds at most ``hot`` pre-tokens (a proven bound for what is broadcast). They are picked from at most
-``sample_rows`` documents, a documented bound: the tier is a cache, and what is in it changes the speed alone; every
-pre-token of every whole text is counted either way.
+The frequent tier holds at most ``hot`` pre-tokens (a proven bound for what is broadcast). They are picked from at
+most ``sample_rows`` documents of a partition, a documented bound: the tier is a cache, and what is in it changes the speed
+alone; every pre-token of every whole text is counted either way.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings in a text are one token each, as the
 library treats them by default; repeated rows count each for itself; an empty table gives an empty result; extra columns
@@ -32,6 +32,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?
 
 #: Memory of a worker's cache of misses; when it is full, it starts anew.
 CACHE_ENTRIES = 1_000_000
+LONGEST_HOT = 64
 
 
 def byte_chars() -> dict[int, str]:
@@ -119,24 +120,27 @@ class Counts:
 
 
 def frequent(docs: DataFrame, path: str, text_col: str, hot: int, sample_rows: int) -> dict[str, int]:
-    """The frequent tier: counted inside the tasks that read the sampled rows, merged here from bounded lists."""
+    """The frequent tier, counted inside tasks over the first ``sample_rows`` rows of a partition. Taking ``hot`` rows runs
+    as few partitions as give them, nothing is shuffled, and only short strings come here."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, find, special = load(path)
         seen: Counter[str] = Counter()
+        left = sample_rows
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).slice(0, left).to_pylist():
                 if text and basic(text):
                     for part in special.split(text):
                         seen.update(find(part))
                 if len(seen) > 8 * hot:
                     seen = Counter(dict(seen.most_common(4 * hot)))
-        top = seen.most_common(hot)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], names=["pre_token", "n"])
+            left = max(0, left - batch.num_rows)
+        top = [t for t, _ in seen.most_common(hot) if len(t) <= LONGEST_HOT]
+        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], names=["pre_token"])
 
-    found = docs.select(text_col).limit(sample_rows).mapInArrow(count, "pre_token string, n long")
+    found = docs.select(text_col).mapInArrow(count, "pre_token string").limit(hot).collect()
     tokenizer, _, _ = load(path)
-    top = [r.pre_token for r in found.collect()][:hot]
+    top = [r.pre_token for r in found]
     return {t: len(e.ids) for t, e in zip(top, tokenizer.encode_batch(top, add_special_tokens=False), strict=True)}
 
 
