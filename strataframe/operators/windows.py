@@ -17,8 +17,9 @@ def _counted(df: DataFrame, keys: Sequence[str], child: str, name: str) -> DataF
 
 
 def _back(df: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [df[k].eqNullSafe(counts[k]) for k in keys]
-    return df.join(counts, on, "left").select(df["*"], *(counts[c] for c in counts.columns if c not in keys)) if keys else df.crossJoin(counts)
+    """A null-safe left join on the keys of the left side's rows."""
+    right = counts.select(*(F.col(k).alias(f"__of_{k}") for k in keys), *(c for c in counts.columns if c not in keys))
+    return df.join(right, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], "left").drop(*(f"__of_{k}" for k in keys))
 
 
 def balanced_weights(df: DataFrame, levels: Sequence[Sequence[str]], segment: Sequence[str] = (), name: str = "weight") -> DataFrame:
@@ -27,16 +28,21 @@ def balanced_weights(df: DataFrame, levels: Sequence[Sequence[str]], segment: Se
 
     ``levels``: columns that each level adds. Weights depend on the segment, so they are taken within it.
     """
-    keys, out, product = list(segment), df, F.lit(1.0)
-    for i, level in enumerate(levels):
-        child = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in level))
-        counts = df.withColumn("__child", child).groupBy(*keys).agg(F.count_distinct("__child").alias(f"__n{i}")) if keys else df.withColumn("__child", child).agg(F.count_distinct("__child").alias(f"__n{i}"))
-        out = _back(out, counts, keys) if keys else out.withColumn(f"__n{i}", F.lit(counts.first()[0]))
-        product = product * F.col(f"__n{i}")
-        keys += list(level)
-    leaf = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__leaf"))
-    out = _back(out, leaf, keys).withColumn(name, 1.0 / (product * F.col("__leaf")))
-    return out.drop(*(f"__n{i}" for i in range(len(levels))), "__leaf")
+    parents = [list(segment)]
+    for level in levels:
+        parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
+    # distinct keys of each level come from those of the level below, so rows are aggregated once and joined once
+    leaf = df.groupBy(*parents[-1]).agg(F.count(F.lit(1)).alias("__leaf"))
+    below, table, product = leaf, leaf, F.col("__leaf").cast("double")
+    for i in range(len(levels) - 1, -1, -1):
+        count = F.count(F.lit(1)).alias(f"__n{i}")
+        if parents[i]:
+            below = below.groupBy(*parents[i]).agg(count)
+            table = _back(table, below, parents[i])
+            product = product * F.col(f"__n{i}")
+        else:
+            product = product * F.lit(float(below.agg(count).first()[0] or 1))
+    return _back(df, table.select(*parents[-1], (1.0 / product).alias(name)), parents[-1])
 
 
 def area_weights(df: DataFrame, group: Sequence[str], date: str, acquisition: str, area: str, name: str = "weight") -> DataFrame:
