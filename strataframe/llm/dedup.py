@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import U64, blocks, mix, ngrams, shingle_sets
+from .tokens import U64, blocks, mix, ngrams, release, shingle_sets
 
 CHUNKS, WIDTH, BITS = 10, 5, 14
 #: Below this, a pair is found for certain: one chunk must have fewer than two differing symbols.
@@ -83,6 +83,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> D
                     prints.append(int(np.bitwise_xor.reduce(mix(distinct + U64(len(distinct)))).view(np.int64)) if len(distinct) else None)
                 signs += [row.tobytes() for row in symbols]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash long, signature binary")

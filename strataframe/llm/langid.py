@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import text_buffers
+from .tokens import release, text_buffers
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
 TAIL = WIDTHS[-1] - 1
@@ -191,6 +191,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
                             langs[lo + i], scores[lo + i] = model.langs[best], float(min(1.0, p))
                 lo = hi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import release
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url_user", "iban", "account")
 ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
@@ -218,7 +220,9 @@ def redact_text(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _redacted(texts):
-    return texts.map(lambda t: t if t is None else redact_text(t))
+    out = texts.map(lambda t: t if t is None else redact_text(t))
+    release()
+    return out
 
 
 def redacted(text: Column) -> Column:

@@ -7,6 +7,7 @@ bounded size; one document longer than a block makes a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,6 +53,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that serves many stages does not keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Block(NamedTuple):
     """Words of documents lo..hi of a batch: ``ptr[i]:ptr[i+1]`` are those of document lo+i."""
 
