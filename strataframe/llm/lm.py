@@ -4,7 +4,7 @@ Words are counted over all training documents. The most frequent words form the
 is factored into classes of words, and a word outside the vocabulary has the network's probability of "other" times its
 smoothed share of all other words, so the model is a distribution over all words. The network learns in numpy by truncated
 backpropagation: state runs on from window to window through a document, gradients stop at a window's edge. Tasks train
-side by side on a fixed share of the training documents (which grows with the input) and their parameters are averaged.
+side by side on all training documents and their parameters are averaged.
 Scoring carries state through each whole document.
 
 Counts are exact and stay distributed: words with at least a count that at most ``HOT`` words reach are broadcast (a
@@ -317,11 +317,11 @@ def learn(vector: np.ndarray, places: np.ndarray, ptr: np.ndarray, end: int, mom
     return total
 
 
-def trained(docs: DataFrame, vocab, start: np.ndarray, rounds: int, share: int, rate: float) -> np.ndarray:
+def trained(docs: DataFrame, vocab, start: np.ndarray, rounds: int, rate: float) -> np.ndarray:
     """Rounds of training by all tasks from the same parameters, then their mean weighted by tokens. Parameters meet in
     pieces of CHUNK numbers, first within groups of tasks, so no task gathers more than a few hundred of them."""
     spark = docs.sparkSession
-    chosen = docs.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)).select("text")
+    chosen = docs.filter("NOT held_out").select("text")
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         w = rows["weight"].to_numpy(np.float64)
@@ -354,17 +354,14 @@ def trained(docs: DataFrame, vocab, start: np.ndarray, rounds: int, share: int,
     return vector
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10, rounds: int = 2, share: int = 8, rate: float = 0.1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
-
-    ``share``: one of so many training documents, by hash, gives gradient steps; counts are over all of them.
-    """
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10, rounds: int = 2, rate: float = 0.1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id"), hold_out))
     counts = written(word_counts(rows), "word-counts")
     vocab = vocabulary(counts)
     sent = spark.sparkContext.broadcast(vocab)
-    net = spark.sparkContext.broadcast(trained(rows, sent, initial(vocab), rounds, share, rate))
+    net = spark.sparkContext.broadcast(trained(rows, sent, initial(vocab), rounds, rate))
     train_total, distinct = vocab.total, vocab.distinct
     other_total, other_distinct = vocab.total - vocab.inside[1:].sum(), vocab.distinct - vocab.inside_distinct
     log_all, log_other = np.log10(train_total + 0.1 * (distinct + 1)), np.log10(other_total + 0.1 * (other_distinct + 1))
