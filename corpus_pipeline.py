@@ -1,7 +1,8 @@
 """From raw documents to a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
-next one's documents. All stages but the last return the columns of documents; the last returns the mix: doc_id, size,
+next one's documents. Stages that reject documents decide each row by a key of its own content, whatever its doc_id: a
+document may have none, or one that others have too; rows that are equal throughout are one document. All stages but the last return the columns of documents; the last returns the mix: doc_id, size,
 source_size, target, taken for each document that it takes.
 """
 
@@ -15,29 +16,52 @@ from strataframe.llm.store import written
 
 #: A document is rejected if no language was recognised or none reached this share.
 MIN_LANGUAGE_SCORE = 0.35
+#: Near copies have at least this percentage of their five-word shingles in common.
+NEAR_PERCENT = 80
+KEY = "row_key"
 
 
-def _without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows whose doc_id isn't among ids (doc_id, distinct); these are broadcast if counted to be few enough."""
-    ids = written(ids, "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a 64-bit hash of all of a row's values, nulls told apart."""
+    return docs.withColumn(KEY, F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+
+
+def _few(rows: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Written rows, to be broadcast if counted to be few enough."""
+    rows = written(rows, "rejected")
+    return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't among keys (KEY, distinct)."""
+    return rows.join(_few(keys), KEY, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
-    found = langid.identify(docs).filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return _without(docs, found.select("doc_id").distinct())
+    rows = _keyed(docs)
+    found = langid.identify(rows, id_col=KEY).filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
+    return _without(rows, found.select(F.col("doc_id").alias(KEY)).distinct()).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest number."""
-    return _without(docs, dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
+    """One document of each group of near copies stays: the one with the smallest number (those without one come last)."""
+    rows = _keyed(docs)
+    found = written(dedup.near_duplicates(rows, id_col=KEY, percent=NEAR_PERCENT).select(F.col("doc_id").alias(KEY), "component_id"), "copies")
+    others = found.filter(F.col(KEY) != F.col("component_id")).distinct()
+    heads = others.select(F.col("component_id").alias(KEY), "component_id").distinct()
+    members = written(rows.select(KEY, "doc_id").distinct().join(written(others.union(heads), "members"), KEY), "named")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
+    kept = _without(rows, members.join(_few(first), "component_id").filter(F.col(KEY) != F.col("first")).select(KEY))
+    again = _few(found.groupBy(KEY).count().filter("count > 1").select(KEY))
+    return kept.join(again, KEY, "left_anti").union(kept.join(again, KEY, "left_semi").dropDuplicates([KEY])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontam.decontaminate(docs, benchmark).select("doc_id").distinct())
+    rows = _keyed(docs)
+    return _without(rows, decontam.decontaminate(rows, benchmark, id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-duplicate groups: MinHash signatures of b-bit symbols and a multi-index Hamming join.
 
-A document is its set of five-word shingles. Its signature has ``CHUNKS`` chunks of ``WIDTH`` symbols, each the low bits
-of a minimum hash. Two signatures that differ in at most ``DISTANCE`` symbols have, by the pigeonhole principle, a chunk
+A document is its set of five-word shingles. Its signature has chunks of a few symbols (see ``Layout``), each the low bits
+of a minimum hash. Two signatures that differ in at most ``distance`` symbols have, by the pigeonhole principle, a chunk
 with at most one difference; each chunk is therefore indexed with every one of its symbols left out, and the equality join
 of these keys finds every pair under the signature distance. Pairs are confirmed on the full sets.
 
@@ -24,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,29 @@ from pyspark.sql import functions as F
 from .store import written
 from .tokens import U64, blocks, mix, ngrams, release, shingle_sets
 
-CHUNKS, WIDTH, BITS = 10, 5, 14
-#: Below this, a pair is found for certain: one chunk must have fewer than two differing symbols.
-DISTANCE = 2 * CHUNKS - 1
-SYMBOLS = CHUNKS * WIDTH
+BITS = 14
+
+
+class Layout(NamedTuple):
+    """Chunks of a signature and symbols of a chunk."""
+
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def distance(self) -> int:
+        """Up to this, a pair is found for certain: one chunk must have fewer than two differing symbols."""
+        return 2 * self.chunks - 1
+
+
+#: By the least percentage, highest first: a pair at it differs in more symbols with a probability below 1 in 60,000.
+LAYOUTS = {85: Layout(10, 5), 80: Layout(12, 4)}
+CHUNKS, WIDTH = LAYOUTS[85]
+SYMBOLS, DISTANCE = LAYOUTS[85].symbols, LAYOUTS[85].distance
 #: A shingle that at most so many of the texts in question have is rare.
 RARE = 64
 #: Members of a key on one side of a comparison of blocks.
@@ -46,6 +66,14 @@ _MULTIPLY = _rng.integers(1, 2**62, SYMBOLS, dtype=np.int64).astype(U64) * U64(2
 _ADD = _rng.integers(1, 2**62, SYMBOLS, dtype=np.int64).astype(U64)
 
 
+def layout(percent: int) -> Layout:
+    """The layout whose signatures find pairs of at least this similarity."""
+    for least, found in LAYOUTS.items():
+        if percent >= least:
+            return found
+    raise ValueError(f"no signature layout finds pairs of {percent} % similarity")
+
+
 def _segments(block, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of a block (those across documents left out) and where each document's begin; repeats remain."""
     lengths = np.diff(block.ptr)
@@ -62,7 +90,7 @@ def _segments(block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.cumsum(counts) - counts
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, form: Layout = LAYOUTS[85]) -> DataFrame:
     """doc_id, n_shingles, set_hash (null for an empty set), signature (binary, two bytes a symbol)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +100,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> D
                 grams, begins = _segments(block, width)
                 ends = np.append(begins[1:], len(grams))
                 full = np.flatnonzero(ends > begins)
-                symbols = np.zeros((block.hi - block.lo, SYMBOLS), np.uint16)
+                symbols = np.zeros((block.hi - block.lo, form.symbols), np.uint16)
                 if len(full):
-                    for k in range(SYMBOLS):
+                    for k in range(form.symbols):
                         low = np.minimum.reduceat(grams * _MULTIPLY[k] + _ADD[k], begins[full])
                         symbols[full, k] = (mix(low) & U64((1 << BITS) - 1)).astype(np.uint16)
                 for i, (a, b) in enumerate(zip(begins, ends, strict=True)):
@@ -89,20 +117,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash long, signature binary")
 
 
-def chunk_keys(classes: DataFrame) -> DataFrame:
+def chunk_keys(classes: DataFrame, form: Layout = LAYOUTS[85]) -> DataFrame:
     """key, id: each chunk with each of its symbols left out, as one whole number without collisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(rows, CHUNKS, WIDTH).astype(np.int64)
-            keys = np.empty((rows, CHUNKS, WIDTH), np.int64)
-            for out in range(WIDTH):
-                rest = [j for j in range(WIDTH) if j != out]
-                keys[:, :, out] = np.arange(CHUNKS) * WIDTH + out
+            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(rows, *form).astype(np.int64)
+            keys = np.empty((rows, *form), np.int64)
+            for out in range(form.width):
+                rest = [j for j in range(form.width) if j != out]
+                keys[:, :, out] = np.arange(form.chunks) * form.width + out
                 for j in rest:
                     keys[:, :, out] = (keys[:, :, out] << BITS) | symbols[:, :, j]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), CHUNKS * WIDTH)))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(rows), form.symbols)))], names=["key", "id"])
 
     kind = classes.schema["id"].dataType.simpleString()
     return classes.select("id", "signature").mapInArrow(run, f"key long, id {kind}")
@@ -112,22 +140,22 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=-1)
 
 
-def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first index key that each pair of signatures shares, as chunk * WIDTH + symbol left out; -1 for none."""
-    differ = (a != b).reshape(-1, CHUNKS, WIDTH)
+def first_key(a: np.ndarray, b: np.ndarray, form: Layout = LAYOUTS[85]) -> np.ndarray:
+    """The first index key that each pair of signatures shares, as chunk * width + symbol left out; -1 for none."""
+    differ = (a != b).reshape(-1, *form)
     errors = differ.sum(axis=2)
     chunk = (errors <= 1).argmax(axis=1)
     every = np.arange(len(differ))
-    return np.where(errors[every, chunk] <= 1, chunk * WIDTH + differ[every, chunk].argmax(axis=1), -1)
+    return np.where(errors[every, chunk] <= 1, chunk * form.width + differ[every, chunk].argmax(axis=1), -1)
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures differ in at most DISTANCE symbols."""
+def near(pairs: DataFrame, classes: DataFrame, form: Layout = LAYOUTS[85]) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures differ in at most ``distance`` symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in (2, 3))
-            keep = pa.array(np.flatnonzero(_differing(a, b) <= DISTANCE))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, form.symbols) for c in (2, 3))
+            keep = pa.array(np.flatnonzero(_differing(a, b) <= form.distance))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     of = {c: classes.select(F.col("id").alias(c), F.col("signature").alias(f"{c}_signature")) for c in "ab"}
@@ -212,7 +240,7 @@ def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"shingle long, id {texts.schema['id'].dataType.simpleString()}")
 
 
-def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
+def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int, form: Layout) -> DataFrame:
     """Pairs (a, b) under the signature distance that share a key but lie in different components so far.
 
     Two such texts share a rare shingle, which at most RARE of the texts have, or they don't. Those that do are found by an
@@ -252,8 +280,8 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
 
     def compare(rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
-        key = rows["key"][0].as_py() >> (BITS * (WIDTH - 1))
-        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        key = rows["key"][0].as_py() >> (BITS * (form.width - 1))
+        sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, form.symbols)
         _, part = np.unique(rows["component"].to_numpy(), return_inverse=True)
         size, common = rows["size"].to_numpy(), rows["common"].to_numpy()
         others, pairs = np.flatnonzero(side == 1), set()
@@ -261,35 +289,36 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
         for i in np.flatnonzero(side == 0):
             least = np.minimum(common[i], common[others])
             may = others[(part[others] != part[i]) & (100 * least >= percent * (size[i] + size[others] - least))]
-            may = may[_differing(sign[i], sign[may]) <= DISTANCE]
-            may = may[first_key(np.broadcast_to(sign[i], sign[may].shape), sign[may]) == key]  # in one key of those they share
+            may = may[_differing(sign[i], sign[may]) <= form.distance]
+            may = may[first_key(np.broadcast_to(sign[i], sign[may].shape), sign[may], form) == key]  # in one key of those they share
             pairs.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for j in may)
         kind = rows.schema.field("id").type
         return pa.table({"a": pa.array([x for x, _ in pairs], kind), "b": pa.array([x for _, x in pairs], kind)})
 
     kind = classes.schema["id"].dataType.simpleString()
     by_key = left.union(right).groupBy("key", "stray_part", "part").applyInArrow(compare, f"a {kind}, b {kind}")
-    return by_key.union(near(by_rare, classes)).distinct()
+    return by_key.union(near(by_rare, classes, form)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    signed = written(signatures(docs, id_col, text_col, width), "signatures")
+    form = layout(percent)
+    signed = written(signatures(docs, id_col, text_col, width, form), "signatures")
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     grouped = usable.groupBy("set_hash", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
     classes = written(grouped.select("set_hash", "n_shingles", F.col("first.doc_id").alias("id"), F.col("first.signature").alias("signature")), "classes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    keys = chunk_keys(classes)
+    keys = chunk_keys(classes, form)
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(keys.join(counts, "key"), "shared-keys")
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     ranked = shared.select("key", "id").join(weight, "id")
     centre = ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("centre")))["centre"].alias("centre"))
     pairs = shared.select("key", "id").join(centre, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(written(near(pairs, classes), "near"), texts, percent, width, broadcast_rows), "confirmed")
+    links = written(confirmed(written(near(pairs, classes, form), "near"), texts, percent, width, broadcast_rows), "confirmed")
     found = written(components(links), "components")
-    more = written(rest_pairs(shared, found, classes, texts, percent, width, broadcast_rows), "rest")
+    more = written(rest_pairs(shared, found, classes, texts, percent, width, broadcast_rows, form), "rest")
     if not more.isEmpty():
         links = links.union(written(confirmed(more, texts, percent, width, broadcast_rows), "confirmed"))
         found = written(components(links), "components")
