@@ -2,9 +2,9 @@
 
 Each message is split into its own lines and quoted passages by level (``>``, ``> >``, ``>>`` and so on). A passage, and
 each of its lines, is normalised (ASCII case folded, white space collapsed) and hashed; the hashes meet those of own texts,
-paragraphs and lines of earlier messages of the conversation in an equality join. A message replies to the message that
-its outermost quotes (level 1) match: by the whole passage first, then by most lines, then the latest. A message without
-such a match replies to the one before it.
+paragraphs and lines of earlier messages of the conversation in an equality join. The quotes of each level link to the
+message that they match: by the whole passage first, then by most lines, then the latest. A message replies to the link of
+its shallowest level that has one. A message without a link replies to the one before it.
 
 Messages that follow each other without a link elsewhere form a branch; a link to a message that is not the one before
 begins a new branch. Reply order goes through a branch to its end, then through the branches that start from it, each with
@@ -86,7 +86,7 @@ def units(text: str) -> set[str]:
 
 def _parsed(messages: DataFrame) -> DataFrame:
     """Rows with clean text, own units and quoted units (whole passage: weight of all its lines; line: 1)."""
-    quote = pa.list_(pa.struct([("unit", pa.string()), ("weight", pa.int32()), ("whole", pa.bool_())]))
+    quote = pa.list_(pa.struct([("unit", pa.string()), ("weight", pa.int32()), ("whole", pa.bool_()), ("level", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,19 +98,18 @@ def _parsed(messages: DataFrame) -> DataFrame:
                 own.append(sorted(units(plain)))
                 found = {}
                 for p in passages:
-                    if p.level == 1:
-                        lines = [normal(x) for x in p.lines if normal(x)]
-                        found.update({(x, False): 1 for x in lines})
-                        found[normal(" ".join(p.lines)), True] = len(lines)
-                quoted.append([{"unit": u, "weight": w, "whole": whole} for (u, whole), w in sorted(found.items())])
+                    lines = [normal(x) for x in p.lines if normal(x)]
+                    found.update({(x, False, p.level): 1 for x in lines})
+                    found[normal(" ".join(p.lines)), True, p.level] = len(lines)
+                quoted.append([{"unit": u, "weight": w, "whole": whole, "level": level} for (u, whole, level), w in sorted(found.items())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(counts, pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array(quoted, quote)], names=["row", "clean", "n_quotes", "own", "quoted"])
 
-    return messages.mapInArrow(run, "row struct<conv_id: {0}, turn: {1}, role: string, nth: long>, clean string, n_quotes long, own array<string>, quoted array<struct<unit: string, weight: int, whole: boolean>>".format(*(messages.schema["row"].dataType[c].dataType.simpleString() for c in ("conv_id", "turn"))))
+    return messages.mapInArrow(run, "row struct<conv_id: {0}, turn: {1}, role: string, nth: long>, clean string, n_quotes long, own array<string>, quoted array<struct<unit: string, weight: int, whole: boolean, level: int>>".format(*(messages.schema["row"].dataType[c].dataType.simpleString() for c in ("conv_id", "turn"))))
 
 
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, clean, n_quotes, reply_to (turn; null: none), linked (by a quote), branch_depth, reply_order
-    (from 1 in each conversation)."""
+    (from 1 in each conversation), links (level and turn of each level that has a link, shallowest first)."""
     base = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     numbered = base.withColumn("nth", F.row_number().over(order).cast("long")).select(F.struct("conv_id", "turn", "role", "nth").alias("row"), "text")
@@ -119,17 +118,19 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     def key(c):
         return F.xxhash64(F.col("conv_id").cast("string"), F.col("conv_id").isNull(), c)
 
-    asked = rows.filter(F.size("quoted") > 0).select("conv_id", "nth", F.explode("quoted").alias("q")).select("nth", key("q.unit").alias("key"), F.col("q.weight").alias("weight"), F.col("q.whole").alias("whole"))
+    asked = rows.filter(F.size("quoted") > 0).select("conv_id", "nth", F.explode("quoted").alias("q")).select("nth", key("q.unit").alias("key"), F.col("q.weight").alias("weight"), F.col("q.whole").alias("whole"), F.col("q.level").alias("level"))
     offered = rows.select("conv_id", F.col("nth").alias("of"), "turn", F.explode("own").alias("unit")).select(key("unit").alias("key"), "of", F.col("turn").alias("of_turn"), F.col("conv_id").alias("of_conv"))
     # of several earlier messages with the same unit the latest counts, as a lookup by (key, place), not as pairs
-    both = offered.select("key", F.col("of").alias("at"), "of", "of_turn", F.lit(None).cast("int").alias("weight"), F.lit(None).cast("boolean").alias("whole")).unionByName(asked.select("key", F.col("nth").alias("at"), F.lit(None).cast("long").alias("of"), F.lit(None).cast(rows.schema["turn"].dataType).alias("of_turn"), "weight", "whole"))
+    both = offered.select("key", F.col("of").alias("at"), "of", "of_turn", F.lit(None).cast("int").alias("weight"), F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("int").alias("level")).unionByName(asked.select("key", F.col("nth").alias("at"), F.lit(None).cast("long").alias("of"), F.lit(None).cast(rows.schema["turn"].dataType).alias("of_turn"), "weight", "whole", "level"))
     wanted = asked.select("key").distinct()
     before = Window.partitionBy("key").orderBy("at", F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     latest = both.join(wanted, "key", "left_semi").withColumn("source", F.last(F.when(F.col("of").isNotNull(), F.struct("of", "of_turn")), ignorenulls=True).over(before)).filter(F.col("weight").isNotNull() & F.col("source").isNotNull())
-    keyed = rows.filter(F.size("quoted") > 0).select("conv_id", "nth", F.explode("quoted").alias("q")).select("conv_id", "nth", key("q.unit").alias("key"), F.col("q.whole").alias("whole"))
-    hits = latest.select("key", F.col("at").alias("nth"), "whole", "weight", "source.of", "source.of_turn").distinct().join(keyed, ["key", "nth", "whole"])
-    scores = hits.groupBy("conv_id", "nth", "of").agg(F.max("whole").alias("whole"), F.sum(F.when(~F.col("whole"), F.col("weight"))).alias("lines"), F.max("of_turn").alias("of_turn"))
-    links = scores.groupBy("conv_id", "nth").agg(F.max(F.struct("whole", "lines", "of", "of_turn")).alias("best")).select(F.col("conv_id").alias("link_conv"), F.col("nth").alias("link_nth"), F.col("best.of").alias("to"), F.col("best.of_turn").alias("to_turn"))
+    keyed = rows.filter(F.size("quoted") > 0).select("conv_id", "nth", F.explode("quoted").alias("q")).select("conv_id", "nth", key("q.unit").alias("key"), F.col("q.whole").alias("whole"), F.col("q.level").alias("level"))
+    hits = latest.select("key", F.col("at").alias("nth"), "whole", "level", "weight", "source.of", "source.of_turn").distinct().join(keyed, ["key", "nth", "whole", "level"])
+    scores = hits.groupBy("conv_id", "nth", "level", "of").agg(F.max("whole").alias("whole"), F.sum(F.when(~F.col("whole"), F.col("weight"))).alias("lines"), F.max("of_turn").alias("of_turn"))
+    by_level = scores.groupBy("conv_id", "nth", "level").agg(F.max(F.struct("whole", "lines", "of", "of_turn")).alias("best"))
+    links = by_level.groupBy("conv_id", "nth").agg(F.min(F.struct("level", "best.of", "best.of_turn")).alias("first"), F.sort_array(F.collect_list(F.struct("level", F.col("best.of_turn").alias("turn")))).alias("links"))
+    links = links.select(F.col("conv_id").alias("link_conv"), F.col("nth").alias("link_nth"), F.col("first.of").alias("to"), F.col("first.of_turn").alias("to_turn"), "links")
     linked = rows.drop("own", "quoted").join(links, F.col("conv_id").eqNullSafe(F.col("link_conv")) & (F.col("nth") == F.col("link_nth")), "left").drop("link_conv", "link_nth")
 
     in_order = Window.partitionBy("conv_id").orderBy("nth")
@@ -139,7 +140,8 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     joined = placed.join(paths, placed["conv_id"].eqNullSafe(paths["path_conv"]) & (placed["branch"] == paths["path_branch"]), "left")
     result = joined.withColumn("path", F.coalesce("path", F.array(F.lit(1).cast("long"))))
     return result.select(
-        "conv_id", "turn", "role", "clean", "n_quotes", F.when(F.col("to").isNotNull(), F.col("to_turn")).otherwise(F.col("previous")).alias("reply_to"), F.col("to").isNotNull().alias("linked"), (F.size("path") - 1).cast("long").alias("branch_depth"), F.row_number().over(Window.partitionBy("conv_id").orderBy("path", "nth")).cast("long").alias("reply_order")
+        "conv_id", "turn", "role", "clean", "n_quotes", F.when(F.col("to").isNotNull(), F.col("to_turn")).otherwise(F.col("previous")).alias("reply_to"), F.col("to").isNotNull().alias("linked"), (F.size("path") - 1).cast("long").alias("branch_depth"), F.row_number().over(Window.partitionBy("conv_id").orderBy("path", "nth")).cast("long").alias("reply_order"),
+        F.coalesce("links", F.array().cast(placed.schema["links"].dataType)).alias("links"),
     )
 
 
