@@ -43,9 +43,11 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"[\x20().0-9-]+")
 _GROUPED = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}?(?![\x20.-]?[0-9]{2,4}(?![0-9.]))")
-_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+(?::[^\s/?#@]*)?@")
+_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+")
+_AUTHORITY = re.compile(r"[^\s/?#@]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-_CUED = re.compile(r"(?i)(?:\x20?(?:number|no|nr|id|key)\b)?\.?\x20{0,2}(?:is\x20|[:=#]\x20{0,2})?[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]{4,}[A-Za-z0-9]))")
+_CUED = re.compile(r"(?i)(?:\x20?(?:number|no|nr|id|key)\b)?\.?\x20{0,2}(?:is\x20|[:=#]\x20{0,2})?[\"']?([A-Za-z0-9])(?=[A-Za-z0-9_-]{4,}?[A-Za-z0-9])")
+_KEY = re.compile(r"(?i)[A-Za-z0-9_-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +85,8 @@ class Parser:
         self.text, self.base, self.added = text, [], []
         self.done = dict.fromkeys((*BASE_KINDS, "digits"), 0)
         self.local_at = 0  # local parts reach back to here at most
+        self.authority = 0  # end of the latest stretch that may be user:password
+        self.key = (0, 0, 0, 0)  # the latest key: begin and end of its run, end of the key, last place with four digits on
 
     def at_sign(self, at: int) -> None:
         text, start = self.text, at
@@ -139,8 +143,26 @@ class Parser:
                     self.added.append(("phone", at, m.end()))  # other numbers follow
 
     def scheme(self, end: int) -> None:
-        if (m := _USER.match(self.text, end, end + 256)) and m.end() - 1 > end:
-            self.added.append(("url_user", end, m.end() - 1))
+        text = self.text
+        if end >= self.authority:
+            self.authority = _AUTHORITY.match(text, end).end()
+        stop = self.authority
+        if stop < len(text) and text[stop] == "@" and (m := _USER.match(text, end, stop)) and (m.end() == stop or text[m.end()] == ":"):
+            self.added.append(("url_user", end, stop))
+
+    def key_from(self, start: int) -> tuple[int, int]:
+        """The end of the key whose run holds ``start``, and the last place from which it has four digits (-1: none)."""
+        text = self.text
+        if not self.key[0] <= start < self.key[1]:
+            stop = end = _KEY.match(text, start).end()
+            while text[end - 1] in "_-":
+                end -= 1
+            at, digits = end, 0
+            while digits < 4 and at > start:
+                at -= 1
+                digits += text[at].isdigit()
+            self.key = (start, stop, end, at if digits == 4 else -1)
+        return self.key[2:]
 
     def cue(self, start: int, end: int) -> None:
         text = self.text
@@ -155,8 +177,10 @@ class Parser:
                         if mod97(code):
                             self.added.append(("iban", tail.end(), stop))
                             return
-        if (m := _CUED.match(text, end, end + 160)) and sum(c.isdigit() for c in m[1]) >= 4:
-            self.added.append(("account", m.start(1), m.end(1)))
+        if m := _CUED.match(text, end):
+            stop, four = self.key_from(m.start(1))
+            if m.start(1) <= four:
+                self.added.append(("account", m.start(1), stop))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
