@@ -478,8 +478,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     counts = written(word_counts(rows), "word-counts")
     vocab = vocabulary(counts)
     sent = spark.sparkContext.broadcast(vocab)
-    n_shards = rounds * max(1, round(vocab.total / shard_tokens / rounds))
-    net = spark.sparkContext.broadcast(trained(coded(rows, sent, n_shards), initial(vocab), rounds, rate, n_shards))
+    n_shards = max(1, rounds) * max(1, round(vocab.total / shard_tokens / max(1, rounds)))
+    net = spark.sparkContext.broadcast(trained(coded(rows, sent, n_shards), initial(vocab), rounds, rate, n_shards) if rounds else initial(vocab))
     train_total, distinct = vocab.total, vocab.distinct
     other_total, other_distinct = vocab.total - vocab.inside[1:].sum(), vocab.distinct - vocab.inside_distinct
     log_all, log_other = np.log10(train_total + 0.1 * (distinct + 1)), np.log10(other_total + 0.1 * (other_distinct + 1))
