@@ -6,8 +6,10 @@ Parsers skip what an earlier span of their kind covers, so each stretch of text
 very long runs of digits or word characters.
 
 Base kinds (leftmost, not overlapping within a kind): email, ip, card (13 to 19 digits, Luhn), phone (9 to 15 digits).
-Added to these: a card or phone number in a longer run of numbers. Added kinds: url_user (the user part of a scheme://user@ authority), iban (mod 97) and account (a number or key behind an
-identifier cue such as ``ssn``, ``iban``, ``account``, ``token =`` or ``passport``, where no base span lies).
+Added to these: a card or phone number in a longer run of numbers. Added kinds, where no base span lies: url_user (the user
+part of a scheme://user@ authority), ip6, iban (with or without a cue: the length of its country, mod 97) and account (a
+number or key behind an identifier cue such as ``ssn``, ``account``, ``token =`` or ``passport``; behind a password's cue and
+a colon or equals sign any run with letters and digits).
 
 Defined results: a null or empty text has no spans; places are code points, ends exclusive; repeated rows count each for
 itself; an empty table gives an empty result; extra columns are ignored.
@@ -16,7 +18,9 @@ itself; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +32,14 @@ from pyspark.sql import types as T
 from .tokens import release
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("url_user", "iban", "account")
+ADDED_KINDS = ("url_user", "ip6", "iban", "account")
 ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
 Span = tuple[str, int, int]
 
 #: Fixed: identifier cues, lower case. What follows one is an account if it has the form of one.
 CUES = ("iban", "ssn", "passport", "account", "acct", "token", "secret", "api_key", "apikey", "password", "passwd", "api-key", "access_key", "konto", "compte", "cuenta")
+#: Fixed: those whose value may be any run of characters.
+SECRETS = frozenset(("password", "passwd", "secret"))
 SCHEMES = ("://", "mailto:")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +52,17 @@ _GROUPED = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[\x
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+")
 _AUTHORITY = re.compile(r"[^\s/?#@]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_HEX = frozenset("0123456789ABCDEFabcdef:")
+_IP6 = re.compile(r"[0-9A-Fa-f:]+")
+_SECRET = re.compile(r"[\x20\t]?[:=][\x20\t]?")
+_RUN = re.compile(r"[^\s,;\"'<>]+")
+#: Fixed: characters of a bank account number by country, as the standard's registry lists them.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _CUED = re.compile(r"(?i)(?:\x20?(?:number|no|nr|id|key)\b)?\.?\x20{0,2}(?:is\x20|[:=#]\x20{0,2})?[\"']?([A-Za-z0-9])(?=[A-Za-z0-9_-]{4,}?[A-Za-z0-9])")
 _KEY = re.compile(r"(?i)[A-Za-z0-9_-]+")
 
@@ -68,7 +85,7 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in ("@", "+", *"0123456789", *SCHEMES, *{v for c in CUES for v in (c, c.upper(), c.capitalize())}):
+    for word in ("@", "+", ":", *"0123456789", *SCHEMES, *{v for c in CUES for v in (c, c.upper(), c.capitalize())}):
         found.add_word(word, word)
     found.make_automaton()
     return found
@@ -83,9 +100,10 @@ class Parser:
 
     def __init__(self, text: str):
         self.text, self.base, self.added = text, [], []
-        self.done = dict.fromkeys((*BASE_KINDS, "digits"), 0)
+        self.done = dict.fromkeys((*BASE_KINDS, "digits", "ip6", "iban"), 0)
         self.local_at = 0  # local parts reach back to here at most
         self.authority = 0  # end of the latest stretch that may be user:password
+        self.run = (0, 0, 0, 0)  # the latest run of a secret: begin and end of it, end of the secret, last place with a letter and a digit on
         self.key = (0, 0, 0, 0)  # the latest key: begin and end of its run, end of the key, last place with four digits on
 
     def at_sign(self, at: int) -> None:
@@ -105,6 +123,8 @@ class Parser:
         text = self.text
         run = _DIGITS.match(text, at)
         self.done["digits"] = run.end()
+        if at >= 2 and run.end() - at >= 2 and at - 2 >= self.done["iban"]:
+            self.iban(at - 2)
         if at >= self.done["ip"] and run.end() < len(text) and text[run.end()] == "." and (m := _IP.match(text, at)):
             self.done["ip"] = m.end()
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
@@ -118,6 +138,40 @@ class Parser:
                 elif len(digits) > 16 or len(m[0]) > len(digits):
                     self.cards_within(at, m[0])
 
+    def iban(self, start: int) -> None:
+        """An account number of its country's length that stands alone; single spaces may part it."""
+        text = self.text
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        if not length or (start and text[start - 1].isalnum()) or not (m := _IBAN.match(text, start, start + 2 * length)):
+            return
+        at = taken = 0
+        for at, c in enumerate(m[0], 1):
+            taken += c != " "
+            if taken == length:
+                break
+        stop = start + at
+        if taken == length and not (stop < len(text) and text[stop].isalnum()) and mod97(m[0][:at].replace(" ", "")):
+            self.added.append(("iban", start, stop))
+            self.done["iban"] = stop
+
+    def colon(self, at: int) -> None:
+        """The run of hexadecimal digits and colons around a colon, if it is an address."""
+        if at < self.done["ip6"]:
+            return
+        text, start = self.text, at
+        while start > self.done["ip6"] and text[start - 1] in _HEX:
+            start -= 1
+        stop = self.done["ip6"] = _IP6.match(text, at).end()
+        run = text[start:stop]
+        if not 6 <= len(run) <= 39 or (start and (text[start - 1].isalnum() or text[start - 1] in "_.")) or (stop < len(text) and (text[stop].isalnum() or text[stop] in "_.")):
+            return
+        if run.count(":") >= 2 and sum(c != ":" for c in run) >= 4 and not run.isalpha() and any(c.isdigit() for c in run):
+            try:
+                ipaddress.IPv6Address(run)
+            except ValueError:
+                return
+            self.added.append(("ip6", start, stop))
+
     def cards_within(self, at: int, run: str) -> None:
         """Cards in a run of digits that isn't one itself: a group that stands alone, or four groups of four."""
         groups = [(g.start(), g.end()) for g in _DIGITS.finditer(run)]
@@ -164,19 +218,27 @@ class Parser:
             self.key = (start, stop, end, at if digits == 4 else -1)
         return self.key[2:]
 
+    def run_from(self, start: int) -> tuple[int, int]:
+        """The end of the run that holds ``start``, and the last place from which it has a letter and a digit (-1: none)."""
+        if not self.run[0] <= start < self.run[1]:
+            m = _RUN.match(self.text, start)
+            if not m:
+                return start, -1
+            run = m[0].rstrip("_-.?)]}")
+            letter = next((i for i in range(len(run) - 1, -1, -1) if run[i].isalpha()), -1)
+            digit = next((i for i in range(len(run) - 1, -1, -1) if run[i].isdigit()), -1)
+            self.run = (start, m.end(), start + len(run), start + min(letter, digit) if min(letter, digit) >= 0 else -1)
+        return self.run[2:]
+
     def cue(self, start: int, end: int) -> None:
         text = self.text
         if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
             return
-        if text[start:end].lower() == "iban":
-            tail = re.compile(r"[\x20:#=]{0,3}").match(text, end)
-            if m := _IBAN.match(text, tail.end(), tail.end() + 64):
-                for stop in range(m.end(), tail.end() + 14, -1):
-                    code = text[tail.end() : stop].replace(" ", "")
-                    if 15 <= len(code) <= 34 and stop == len(text.rstrip()) or (stop < len(text) and not text[stop].isalnum()) or stop == m.end():
-                        if mod97(code):
-                            self.added.append(("iban", tail.end(), stop))
-                            return
+        if text[start:end].lower() in SECRETS and (m := _SECRET.match(text, end)):
+            stop, last = self.run_from(m.end())
+            if stop - m.end() >= 6 and m.end() <= last:
+                self.added.append(("account", m.end(), stop))
+                return
         if m := _CUED.match(text, end):
             stop, four = self.key_from(m.start(1))
             if m.start(1) <= four:
@@ -191,6 +253,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             parser.at_sign(last)
         elif word == "+":
             parser.plus(last)
+        elif word == ":":
+            parser.colon(last)
         elif len(word) == 1:
             parser.digit(last)
         elif word in SCHEMES:
@@ -198,11 +262,20 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         else:
             parser.cue(last + 1 - len(word), last + 1)
     base = sorted(parser.base, key=lambda s: (ORDER[s[0]], s[1]))
-    added, ends = [], {}
-    for s in sorted(set(parser.added), key=lambda s: (ORDER[s[0]], s[1], -s[2])):
-        if s[1] >= ends.get(s[0], 0) and not any(b[1] < s[2] and s[1] < b[2] for b in base) and not any(a[1] < s[2] and s[1] < a[2] for a in added):
-            added.append(s)
-            ends[s[0]] = s[2]
+    if not parser.added:
+        return base, []
+    taken: dict[str, tuple[list[int], list[int]]] = {}  # begins and ends by origin and kind, each in order and disjoint
+    for kind, start, end in base:
+        begins, ends = taken.setdefault(f"base {kind}", ([], []))
+        begins.append(start)
+        ends.append(end)
+    added = []
+    for kind, start, end in sorted(set(parser.added), key=lambda s: (ORDER[s[0]], s[1], -s[2])):
+        if not any((i := bisect_left(begins, end)) and ends[i - 1] > start for begins, ends in taken.values()):
+            added.append((kind, start, end))
+            begins, ends = taken.setdefault(kind, ([], []))
+            begins.append(start)
+            ends.append(end)
     return base, added
 
 

@@ -18,3 +18,34 @@ def test_many_anchors_are_parsed_once():
     for text in ("-tokenabc" * 100_000 + "1234", "mailto:" * 100_000, "mailto:" * 100_000 + "@"):
         pii.find(text)
     assert time.time() - begin < 20
+
+
+def test_addresses_and_accounts_without_cues():
+    assert pii.find("pay DE89 3704 0044 0532 0130 00 now")[1] == [("iban", 4, 31)]
+    assert pii.find("pay DE89370400440532013000, now")[1] == [("iban", 4, 26)]
+    assert not pii.find("pay DE88370400440532013000, XX89370400440532013000 now")[1]
+    assert pii.find("from 2001:db8::8a2e:370:7334 on")[1] == [("ip6", 5, 28)]
+    assert not pii.find("at 12:30:45 std::abc::def a::b ::1 ratio 1:2:3:4")[1]
+    assert pii.find("password: hunter2!x\npasswd = none secret=")[1] == [("account", 10, 19)]
+
+
+def test_time_grows_with_the_text():
+    for piece in ("token=abc12345 ", "iban DE89370400440532013000 ", "password:a1", "a1:", "4111 1111 1111 1111 2027 12, ", "a@b.cd "):
+        times = []
+        for size in (120_000, 1_000_000):
+            begin = time.process_time()
+            pii.find(piece * (size // len(piece)))
+            times.append(time.process_time() - begin)
+        assert times[1] < 25 * times[0] + 1, piece
+
+
+def test_spans_of_a_kind_do_not_overlap():
+    import random
+
+    rng = random.Random(8)
+    pieces = ["token=a1b2c3d4 ", "DE89370400440532013000", "4111111111111111", " 2027 ", "@", "a.b", "+49 30 1234567", "password:", "x1y2z3", "1.2.3.4", "::1:2", "https://u:p1@h ", "key ", ":", "2001:db8::1 "]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        base, added = pii.find(text)
+        for s in added:
+            assert not any(b[1] < s[2] and s[1] < b[2] for b in base + added if b is not s), text
