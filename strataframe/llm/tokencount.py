@@ -4,9 +4,9 @@ A text is cut into pre-tokens, whose token counts don't depend on their neighbou
 pre-tokens and their counts is broadcast; a pre-token that it lacks is encoded once by the worker's tokenizer and kept in
 the worker's cache, of bounded size. Nothing is shuffled.
 
-The frequent tier holds at most ``hot`` pre-tokens (a proven bound for what is broadcast). They are picked from at
-most ``sample_rows`` documents of a partition, a documented bound: the tier is a cache, and what is in it changes the speed
-alone; every pre-token of every whole text is counted either way.
+The frequent tier holds the ``hot`` most frequent pre-tokens of all texts (a proven bound for what is broadcast). Each task
+counts its own, prunes its table as it fills, and sends its ``hot`` most frequent ones on; these summaries are added up. No
+pre-token of a text is shuffled. The tier is a cache: what is in it changes the speed alone, since what it lacks is encoded.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings in a text are one token each, as the
 library treats them by default; repeated rows count each for itself; an empty table gives an empty result; extra columns
@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 #: Fixed: the pre-token pattern of byte-level BPE, with classes that ``pattern`` fills in.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
 
-#: Memory of a worker's cache of misses; when it is full, it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Pre-tokens of at most so many characters are kept, and so many of them: when a worker's cache is full, it starts anew.
+CACHE_ENTRIES = 400_000
 LONGEST_HOT = 64
 
 
@@ -54,10 +53,12 @@ class Lengths(dict):
         self._hot, self._model, self._most = hot, tokenizer.model, cache_entries + len(hot)
 
     def __missing__(self, pre_token: str) -> int:
-        if len(self) >= self._most:
-            self.clear()
-            self.update(self._hot)
-        n = self[pre_token] = len(self._model.tokenize(pre_token.encode().decode("latin-1").translate(BYTE_CHARS)))
+        n = len(self._model.tokenize(pre_token.encode().decode("latin-1").translate(BYTE_CHARS)))
+        if len(pre_token) <= LONGEST_HOT:
+            if len(self) >= self._most:
+                self.clear()
+                self.update(self._hot)
+            self[pre_token] = n
         return n
 
 
@@ -87,66 +88,85 @@ def character_classes(tokenizer) -> dict[str, str]:
     return {"L": ranges(letters), "N": ranges(numbers), "S": ranges(space)}
 
 
-@lru_cache(maxsize=2)
-def load(path: str):
-    """The tokenizer, what finds pre-tokens in a text of the basic plane, and what splits off special strings."""
-    from tokenizers import Tokenizer
+class Cutter:
+    """Cuts texts into special strings and pre-tokens as the library does."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        classes = character_classes(self.tokenizer)
+        self.basic = re.compile(PRE_TOKEN.format(**classes)).findall
+        self.words = re.compile("[{S}]*[^{S}]+|[{S}]+".format(**classes)).findall
+        self.library = self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def plain(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings. No pre-token begins before white space and ends after it, so words
+        with characters beyond the basic plane, with the white space before them, can go through the library's own cut."""
+        if basic(text):
+            return self.basic(text)
+        out: list[str] = []
+        for word in self.words(text):
+            out += self.basic(word) if max(word) < "\U00010000" else [word[a:b] for _, (a, b) in self.library(word)]
+        return out
+
+    def __call__(self, text: str) -> tuple[int, list[list[str]]]:
+        """The number of special strings, and the pre-tokens of what is between them."""
+        if self.special.search(text):
+            parts = self.special.split(text)
+            return len(parts) - 1, list(map(self.plain, parts))
+        return 0, [self.plain(text)]
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    special = "|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)"
-    return tokenizer, re.compile(PRE_TOKEN.format(**character_classes(tokenizer))).findall, re.compile(special)
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Cutter:
+    return Cutter(path)
 
 
 def basic(text: str) -> bool:
-    return len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
 
 
 class Counts:
-    """Counts the tokens of texts. One with characters beyond the basic plane goes to the library as a whole."""
+    """Counts the tokens of texts."""
 
     def __init__(self, path: str, hot: dict[str, int]):
-        self.tokenizer, self.pre_tokens, self.special = load(path)
-        self.lengths = Lengths(self.tokenizer, hot, CACHE_ENTRIES).__getitem__
+        self.cut = load(path)
+        self.lengths = Lengths(self.cut.tokenizer, hot, CACHE_ENTRIES)
 
     def __call__(self, text: str) -> int:
-        if not basic(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if self.special.search(text):
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(sum(map(self.lengths, self.pre_tokens(p))) for p in parts)
-        return sum(map(self.lengths, self.pre_tokens(text)))
+        special, parts = self.cut(text)
+        return special + sum(sum(map(self.lengths.__getitem__, p)) for p in parts)
 
 
-def frequent(docs: DataFrame, path: str, text_col: str, hot: int, sample_rows: int) -> dict[str, int]:
-    """The frequent tier, counted inside tasks over the first ``sample_rows`` rows of a partition. Taking ``hot`` rows runs
-    as few partitions as give them, nothing is shuffled, and only short strings come here."""
+def frequent(docs: DataFrame, path: str, text_col: str, hot: int) -> dict[str, int]:
+    """The frequent tier: pre-tokens and their token counts. At most ``hot`` rows a task are shuffled, and ``hot`` come here."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, find, special = load(path)
+        cut = load(path)
         seen: Counter[str] = Counter()
-        left = sample_rows
         for batch in batches:
-            for text in batch.column(0).slice(0, left).to_pylist():
-                if text and basic(text):
-                    for part in special.split(text):
-                        seen.update(find(part))
-                if len(seen) > 8 * hot:
-                    seen = Counter(dict(seen.most_common(4 * hot)))
-            left = max(0, left - batch.num_rows)
-        top = [t for t, _ in seen.most_common(hot) if len(t) <= LONGEST_HOT]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string())], names=["pre_token"])
-
-    found = docs.select(text_col).mapInArrow(count, "pre_token string").limit(hot).collect()
-    tokenizer, _, _ = load(path)
-    top = [r.pre_token for r in found]
-    return {t: len(e.ids) for t, e in zip(top, tokenizer.encode_batch(top, add_special_tokens=False), strict=True)}
-
-
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, hot: int = 20_000, sample_rows: int = 2_000) -> DataFrame:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    for part in cut(text)[1]:
+                        seen.update(part)
+                if len(seen) > 16 * hot:
+                    seen = Counter(dict(seen.most_common(8 * hot)))
+        top = [(t, n) for t, n in seen.most_common(hot) if len(t) <= LONGEST_HOT and n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre_token", "n"])
+
+    found = docs.select(text_col).mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    top = [r.pre_token for r in found.orderBy(F.desc("n"), "pre_token").limit(hot).collect()]
+    lengths = Lengths(load(path).tokenizer, {}, CACHE_ENTRIES)
+    return {t: lengths[t] for t in top}
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
-    tier = docs.sparkSession.sparkContext.broadcast(frequent(docs, tokenizer_path, text_col, hot, sample_rows))
+    tier = docs.sparkSession.sparkContext.broadcast(frequent(docs, tokenizer_path, text_col, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(tokenizer_path, tier.value)

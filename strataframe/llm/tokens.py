@@ -2,7 +2,8 @@
 
 A word is a run of bytes outside a separator class. Its 64-bit hash is a polynomial over random byte codes, taken from
 prefix sums, so the cost is a few array operations per byte and none per word. Documents are handled in blocks of
-bounded size; one document longer than a block makes a block of its own.
+bounded size; one document longer than a block makes a block of its own, whose text is hashed in segments that end at
+separators, and a word longer than a segment in parts: beyond the text itself it needs eight bytes a word.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
-_POW: list[np.ndarray] = [powers(_BASE, BLOCK_BYTES * 2), powers(_INV, BLOCK_BYTES * 2)]
+_POW = powers(_BASE, BLOCK_BYTES), powers(_INV, BLOCK_BYTES)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,8 +90,6 @@ def _hash_block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     n = len(raw)
     if not n:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    if n > len(_POW[0]):
-        _POW[0], _POW[1] = powers(_BASE, n * 2), powers(_INV, n * 2)
     codes = table[raw]
     word = codes != 0
     first = np.empty(n, bool)
@@ -113,13 +112,46 @@ def _hash_block(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return mix(h), np.searchsorted(starts, offsets)
 
 
+def _hash_long(raw: np.ndarray, table: np.ndarray, segment: int) -> np.ndarray:
+    """Word hashes of one text of any length."""
+    parts, at, n = [], 0, len(raw)
+    while at < n:
+        stop = min(n, at + segment)
+        if stop < n:
+            gaps = np.flatnonzero(table[raw[at:stop]] == 0)
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+            else:  # a word of a segment's length or more begins here
+                h = 0
+                while True:
+                    gap = np.flatnonzero(table[raw[at + h : at + h + segment]] == 0)
+                    if len(gap) or at + h + segment >= n:
+                        stop = at + h + int(gap[0]) if len(gap) else n
+                        break
+                    h += segment
+                total = 0
+                for lo in range(at, stop, segment):
+                    codes = table[raw[lo : min(stop, lo + segment)]] * _POW[0][: min(stop, lo + segment) - lo]
+                    total += int(codes.sum(dtype=U64)) * pow(_BASE, lo - at, 2**64)
+                parts.append(mix(np.array([total % 2**64], U64)))
+                at = stop
+                continue
+        parts.append(_hash_block(raw[at:stop], np.array([0, stop - at]), table)[0])
+        at = stop
+    return np.concatenate(parts)
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, table: np.ndarray = LOWER_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Word hashes of a text column, block by block."""
+    """Word hashes of a text column, block by block of at most ``block_bytes`` (itself at most BLOCK_BYTES) or one text."""
     raw, off = text_buffers(column)
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + block_bytes, "right")) - 1)
-        h, ptr = _hash_block(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], table)
+        if off[hi] - off[lo] > block_bytes:
+            h = _hash_long(raw[off[lo] : off[hi]], table, block_bytes)
+            ptr = np.array([0, len(h)])
+        else:
+            h, ptr = _hash_block(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], table)
         yield Block(lo, hi, h, ptr)
         lo = hi
 

@@ -196,7 +196,7 @@ def test_token_counts_match_the_library(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(frame(spark, rows), path, sample_rows=50).collect())
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(frame(spark, rows), path, hot=50).collect())
     want = []
     for i, t, *_ in rows:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
