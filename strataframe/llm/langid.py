@@ -2,8 +2,9 @@
 
 Bytes (ASCII letters case folded, other ASCII one code) are embedded; filters of widths 2, 3 and 4 pass over windows of
 fixed length; each filter's maximum over a window feeds a softmax. The network is trained in numpy on at most ``per_lang``
-documents a language (a documented bound on labelled rows), chosen by hash, so reruns agree. To predict, every window of
-every whole text is scored in batches and the windows' probabilities are averaged, weighted by their letters.
+labelled documents of each language (the documented bound of its sample), chosen by a hash of id and text, so reruns agree;
+all windows of their whole texts are drawn from, a document as often as another. To predict, every window of every whole
+text is scored in batches and the windows' probabilities are averaged, weighted by their letters.
 
 For prediction the embedding and the filters are multiplied out into tables by byte pair, so that a window costs two
 look-ups and an addition a byte, whatever the embedding's size.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
 from .tokens import release, text_buffers
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
@@ -61,27 +63,29 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, owner
 
 
-def sample(labelled: DataFrame, per_lang: int, max_langs: int, windows_per_doc: int) -> list[tuple[str, bytes]]:
-    """(language, window) of at most per_lang documents of each of the max_langs most frequent languages."""
-    frequent = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.filter(F.col("lang").isin(frequent)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id", "lang")
+def sample(labelled: DataFrame, per_lang: int, broadcast_rows: int = 1_000_000) -> list[tuple[str, bytes]]:
+    """(language, its windows) of at most per_lang different documents of each language: those with the smallest hashes.
+
+    Counts by language give a bound on the hash that about twice as many documents pass, so only those are ranked."""
+    keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
+    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.col("n"))  # identical rows pass together, and are one document
+    bound = counts.select("lang", (share * 2.0**63 - 1).cast("long").alias("bound"))
+    few = keyed.join(F.broadcast(bound) if bound.count() <= broadcast_rows else bound, "lang").filter(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("bound"))
+    order = Window.partitionBy("lang").orderBy(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)), "key")
+    chosen = few.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).drop("n")
+    chosen = written(chosen, "lang-sample")
+    texts = keyed.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, out = [], []
             codes, owner = windows(*text_buffers(batch.column(1)))
             begin = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            for i, lang in enumerate(batch.column(0).to_pylist()):
-                n = begin[i + 1] - begin[i]
-                for k in {int(j * n // windows_per_doc) for j in range(windows_per_doc)} if n else ():
-                    langs.append(lang)
-                    out.append(codes[begin[i] + k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
+            out = [codes[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "windows"])
 
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most per_lang * max_langs rows
-    rows = texts.select("lang", "text").mapInArrow(run, "lang string, window binary").toArrow()
-    return sorted(zip(rows["lang"].to_pylist(), rows["window"].to_pylist(), strict=True))
+    rows = texts.select("lang", "text").mapInArrow(run, "lang string, windows binary").toArrow()
+    return sorted((lang, w) for lang, w in zip(rows["lang"].to_pylist(), rows["windows"].to_pylist(), strict=True) if w)
 
 
 def _pooled(codes: np.ndarray, embedding: np.ndarray, filters: list[np.ndarray]):
@@ -98,10 +102,12 @@ def _pooled(codes: np.ndarray, embedding: np.ndarray, filters: list[np.ndarray])
 
 
 def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 5) -> Model:
-    """Adam on cross-entropy, batches balanced over the languages."""
+    """Adam on cross-entropy; a batch draws languages, of each a document, and of each a window, all alike."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in examples})
-    data = np.frombuffer(b"".join(w for _, w in examples), np.uint8).reshape(len(examples), WINDOW + TAIL)
+    data = np.frombuffer(b"".join(w for _, w in examples), np.uint8).reshape(-1, WINDOW + TAIL)
+    ends = np.cumsum([len(w) // (WINDOW + TAIL) for _, w in examples])
+    begins = np.append(0, ends[:-1])
     by_lang = [np.array([i for i, (lang, _) in enumerate(examples) if lang == name]) for name in langs]
     total = FILTERS * len(WIDTHS)
     params = [rng.normal(0, 0.5, (N_CODES, EMBED)), *(rng.normal(0, (width * EMBED) ** -0.5, (width * EMBED, FILTERS)) for width in WIDTHS), np.zeros(total), rng.normal(0, total**-0.5, (total, len(langs))), np.zeros(len(langs))]
@@ -109,7 +115,8 @@ def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 9
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         label = rng.integers(0, len(langs), batch)
-        codes = data[[rng.choice(by_lang[k]) for k in label]]
+        doc = np.array([rng.choice(by_lang[k]) for k in label])
+        codes = data[rng.integers(begins[doc], ends[doc])]
         embedding, filters, bias, weights, offset = params[0], params[1 : 1 + len(WIDTHS)], *params[-3:]
         pooled, places, inputs = _pooled(codes, embedding, filters)
         hidden = np.maximum(pooled + bias, 0)
@@ -134,9 +141,9 @@ def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 9
     return Model(langs, params[0], params[1 : 1 + len(WIDTHS)], *params[-3:])
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 64, windows_per_doc: int = 6, steps: int = 300) -> Model | None:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, steps: int = 300) -> Model | None:
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    examples = sample(rows, per_lang, max_langs, windows_per_doc)
+    examples = sample(rows, per_lang)
     return train(examples, steps=steps) if examples else None
 
 
