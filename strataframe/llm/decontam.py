@@ -10,11 +10,15 @@ OR, tells which windows can have a partner; only those, merged into stretches wi
 on the hash. A benchmark too large for the table merely lets more windows through. The benchmark's hashes are broadcast
 if counted to be at most ``broadcast_rows``, else shuffled.
 
-Words are runs of letters and digits, ASCII case folded, so punctuation does not matter.
+Words are runs of letters and digits, ASCII case folded, so punctuation does not matter; in scripts that set no spaces each
+character is a word.
+
+Items of the same words are one class, named by its smallest item and compared once. One row is returned for each pair of
+document and class that overlap, with the number of items of the class.
 
 Defined results: null or empty texts on either side match nothing; an item with fewer words than ``min_words`` matches
-nothing; repeated documents or items give the same pairs once; empty tables give an empty result; extra columns are
-ignored. One row is returned for each pair of document and item that overlap.
+where all its words stand in a row, one with fewer than ``LEAST_WORDS`` matches nothing; repeated documents give the same
+rows once; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -32,10 +36,19 @@ from .tokens import LOWER_ALNUM, U64, blocks, mix
 #: Places of each mask that must agree. Six places over eleven at most; the first takes exact passages quickly.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 9, 10))
 BITS = 25
+#: A mask covers so many words at least; a shorter item has no seed.
+LEAST_WORDS = len(MASKS[0])
+#: Fixed: scripts without spaces between words.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 #: Words kept on each side of a hit for the comparison; stretches grow to cover all their hits.
 AROUND = 96
 
 
+def spaced(text: Column) -> Column:
+    """The text with a space after each character of a script without spaces."""
+    return F.regexp_replace(text, f"([{_UNSPACED}])", " $1 ")
+
+
 def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     """Hash of the mask's places in each window; windows begin at all words that leave room."""
     m = len(h) - mask[-1]
@@ -59,7 +72,7 @@ def may_match(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return hits[((table[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """seed, item_id, item_at; and with seed null the item's words, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +81,7 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, min_words: int)
             for block in blocks(batch.column(1), LOWER_ALNUM):
                 for i in range(block.hi - block.lo):
                     h = block.hashes[block.ptr[i] : block.ptr[i + 1]]
-                    if len(h) < min_words:
+                    if len(h) < LEAST_WORDS:
                         continue
                     item = batch.column(0)[block.lo + i].as_py()
                     out[0].append(None), out[1].append(item), out[2].append(0), out[3].append(h.view(np.int64).tolist())
@@ -81,7 +94,7 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, min_words: int)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.column(0).type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], names=["seed", "item_id", "item_at", "words"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    return benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"seed long, item_id {kind}, item_at int, words array<long>")
+    return benchmark.select(F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("text")).mapInArrow(run, f"seed long, item_id {kind}, item_at int, words array<long>")
 
 
 def bit_table(seed_rows: DataFrame) -> np.ndarray:
@@ -133,7 +146,7 @@ def stretches(docs: DataFrame, table, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], seed_type)], names=["doc_id", "start", "words", "seeds"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, start int, words array<long>, seeds array<struct<seed: long, at: int>>")
+    return docs.select(F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("text")).mapInArrow(run, f"doc_id {kind}, start int, words array<long>, seeds array<struct<seed: long, at: int>>")
 
 
 def best_stretch(same: np.ndarray, min_words: int, min_share: float) -> tuple[int, int, int] | None:
@@ -155,19 +168,20 @@ def best_stretch(same: np.ndarray, min_words: int, min_share: float) -> tuple[in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, min_share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, doc_from, n_words, n_same: for each overlapping pair its longest overlap, in words.
+    """doc_id, item_id, n_items, doc_from, n_words, n_same: for each overlapping pair its longest overlap, in words.
 
     An overlap is a run of at least ``min_words`` words, aligned without gaps, that agrees in at least ``min_share`` of its
-    places and holds a seed hit. Items with fewer words are not compared.
+    places and holds a seed hit; for an item with fewer words, the whole item.
     """
-    items = written(item_seeds(benchmark, item_col, item_text_col, min_words), "benchmark")
-    seed_rows = items.filter(F.col("seed").isNotNull()).select("seed", "item_id", "item_at")
+    every = written(item_seeds(benchmark, item_col, item_text_col), "benchmark")
+    words = written(every.filter(F.col("seed").isNull()).groupBy(F.col("words").alias("item_words")).agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items")), "items")
+    seed_rows = every.filter(F.col("seed").isNotNull()).select("seed", "item_id", "item_at").distinct().join(words.select("item_id").distinct(), "item_id", "left_semi")
+    seed_rows = written(seed_rows, "item-seeds")
     small = seed_rows.count() <= broadcast_rows
     table = docs.sparkSession.sparkContext.broadcast(bit_table(seed_rows))
     found = written(stretches(docs, table, id_col, text_col).dropDuplicates(["doc_id", "start", "words"]).withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
     hits = found.select("doc_id", "stretch", F.explode("seeds").alias("s")).select("doc_id", "stretch", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
     pairs = hits.join(F.broadcast(seed_rows) if small else seed_rows, "seed").select("doc_id", "stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    words = items.filter(F.col("seed").isNull()).select("item_id", F.col("words").alias("item_words")).distinct()
     compared = pairs.join(found.drop("seeds"), ["doc_id", "stretch"]).join(F.broadcast(words) if small else words, "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +191,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             for i in range(batch.num_rows):
                 doc, item = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
                 lo, hi = max(0, shifts[i]), min(len(doc), shifts[i] + len(item))
-                if found_at := best_stretch(doc[lo:hi] == item[lo - shifts[i] : hi - shifts[i]], min_words, min_share):
+                least, share = (min_words, min_share) if len(item) >= min_words else (len(item), 1.0)
+                if found_at := best_stretch(doc[lo:hi] == item[lo - shifts[i] : hi - shifts[i]], least, share):
                     keep.append(i)
                     results.append((starts[i] + lo + found_at[0], found_at[1] - found_at[0], found_at[2]))
             columns = list(zip(*results, strict=True)) or [()] * 3
@@ -186,4 +201,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     overlaps = compared.select("doc_id", "item_id", "shift", "start", "words", "item_words").mapInArrow(verify, f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_from long, n_words long, n_same long")
     best = F.max(F.struct("n_words", "n_same", (-F.col("doc_from")).alias("back")))
-    return overlaps.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", (-F.col("b.back")).alias("doc_from"), F.col("b.n_words").alias("n_words"), F.col("b.n_same").alias("n_same"))
+    numbers = words.groupBy("item_id").agg(F.sum("n_items").alias("n_items"))  # one class, but for an id that is given to several texts
+    found = overlaps.groupBy("doc_id", "item_id").agg(best.alias("b")).join(F.broadcast(numbers) if small else numbers, "item_id")
+    return found.select("doc_id", "item_id", "n_items", (-F.col("b.back")).alias("doc_from"), F.col("b.n_words").alias("n_words"), F.col("b.n_same").alias("n_same"))
