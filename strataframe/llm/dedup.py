@@ -5,7 +5,9 @@ of a minimum hash. Two signatures that differ in at most ``distance`` symbols ha
 with at most one difference; each chunk is therefore indexed with every one of its symbols left out, and the equality join
 of these keys finds every pair under the signature distance. Pairs are confirmed on the full sets.
 
-Work is done on different texts only: documents with equal sets are one class from the start. Within a key, members are
+Work is done on different texts only: documents with equal sets are one class from the start, named by the hash of its set.
+Keys that more than ``SIDE`` classes share are told to all tasks if they are counted to be few enough, so that their members
+stay where they are; only those of other keys are shuffled by key. Within a key, members are
 first compared with one member, the key's centre (the one that shares most keys, so the original of a family of copies),
 never all with all; the confirmed links give components. Where a key's members then lie in several components, the
 members outside its largest component are compared with all members in blocks of bounded size, after those that can have
@@ -17,8 +19,8 @@ distributed, and each round's result is written to the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component; fewer than five words are one shingle; repeated rows come out as often as they go in, each with its document's
-component; rows with a null doc_id are kept, with null as component; an empty table gives an empty result; extra columns
-are ignored.
+component; texts that share a doc_id are linked; rows with a null doc_id are kept, with null as component; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -91,12 +93,12 @@ def _segments(block, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, form: Layout = LAYOUTS[85]) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), signature (binary, two bytes a symbol)."""
+    """doc_id, row (a hash of id and text), n_shingles, set_hash (null for an empty set), signature (binary, two bytes a symbol)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, prints, signs = [], [], []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 grams, begins = _segments(block, width)
                 ends = np.append(begins[1:], len(grams))
                 full = np.flatnonzero(ends > begins)
@@ -110,11 +112,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, form
                     n.append(len(distinct))
                     prints.append(int(np.bitwise_xor.reduce(mix(distinct + U64(len(distinct)))).view(np.int64)) if len(distinct) else None)
                 signs += [row.tobytes() for row in symbols]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "row", "n_shingles", "set_hash", "signature"])
             release()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash long, signature binary")
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, set_hash long, signature binary")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+class Keyed(NamedTuple):
+    """What joins of rows (key, n, ...) with a row a key need: which keys are hot (n above SIDE), if these may be broadcast."""
+
+    broadcast_hot: bool
+
+    def join(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``rows`` joined with ``table`` (key, ...), which has each key of theirs once at most. Rows of hot keys are not moved."""
+        if not self.broadcast_hot:
+            return rows.join(table, "key")
+        cold = rows.filter(F.col("n") <= SIDE).join(table, "key")
+        hot_keys = rows.filter(F.col("n") > SIDE).select("key").distinct()
+        return cold.union(rows.filter(F.col("n") > SIDE).join(F.broadcast(table.join(F.broadcast(hot_keys), "key", "left_semi")), "key"))
 
 
 def chunk_keys(classes: DataFrame, form: Layout = LAYOUTS[85]) -> DataFrame:
@@ -163,10 +183,11 @@ def near(pairs: DataFrame, classes: DataFrame, form: Layout = LAYOUTS[85]) -> Da
     return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_signature", "b_signature").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
     """Those of the pairs (a, b) with 100 * common >= percent * union on their full sets. Only documents in a pair are
     shuffled; which they are is broadcast if counted to be few enough, else joined by key."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = written(ids.join(classes.select("id", "row"), "id"), "pair-ids")
     texts = written(few_texts(docs, ids, broadcast_rows), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +211,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int, broad
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     of = {c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab"}
-    kind = docs.schema["id"].dataType.simpleString()
-    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_text", "b_text").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -222,9 +242,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def few_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
-    """A text for each of the written ids; these are broadcast if counted to be few enough, else joined by key."""
+    """id, text of each of the written ids, from its class's own row; these are broadcast if counted to be few enough, else
+    joined by key."""
     few = ids.count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.join(F.broadcast(ids) if few else ids, "row").dropDuplicates(["id"]).select("id", "text")
 
 
 def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -240,7 +261,7 @@ def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"shingle long, id {texts.schema['id'].dataType.simpleString()}")
 
 
-def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int, form: Layout) -> DataFrame:
+def rest_pairs(shared: DataFrame, keyed: Keyed, found: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int, form: Layout) -> DataFrame:
     """Pairs (a, b) under the signature distance that share a key but lie in different components so far.
 
     Two such texts share a rare shingle, which at most RARE of the texts have, or they don't. Those that do are found by an
@@ -248,28 +269,28 @@ def rest_pairs(shared: DataFrame, found: DataFrame, classes: DataFrame, docs: Da
     numbers of these bound what they share: a copy of an original that was changed in too many places can't be linked to
     another copy, and is left out before the members of a key are compared.
     """
-    placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
 
     def several(rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         return sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).filter("parts > 1").drop("parts")
 
-    members = written(placed.join(several(placed).select("key"), "key"), "mixed-keys")
-    ids = written(members.select("id").distinct(), "mixed-ids")
+    members = written(keyed.join(placed, several(placed).select("key")), "mixed-keys")
+    ids = written(members.select("id").distinct().join(classes.select("id", "row"), "id"), "mixed-ids")
     rows = written(shingle_rows(few_texts(docs, ids, broadcast_rows), width), "shingles")
     counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter(F.col("n") <= RARE), "rare-shingles")
     rare = written(rows.join(counts.filter("n > 1").select("shingle"), "shingle"), "rare-rows")
     alone = counts.filter("n = 1").groupBy(F.col("first").alias("id")).agg(F.count(F.lit(1)).alias("alone"))
     with_few = rare.groupBy("id").agg(F.count(F.lit(1)).alias("with_few"))
     frequent = F.col("n_shingles") - F.coalesce("alone", F.lit(0)) - F.coalesce("with_few", F.lit(0))
-    bounded = classes.join(ids, "id").join(alone, "id", "left").join(with_few, "id", "left").select("id", "signature", F.col("n_shingles").alias("size"), frequent.alias("common"))
+    bounded = classes.join(ids.select("id"), "id").join(alone, "id", "left").join(with_few, "id", "left").select("id", "signature", F.col("n_shingles").alias("size"), frequent.alias("common"))
     place = members.select("id", "component").distinct()
     sides = [rare.join(place, "id").select("shingle", F.col("id").alias(c), F.col("component").alias(f"{c}_component")) for c in "ab"]
     by_rare = sides[0].join(sides[1], "shingle").filter("a < b AND a_component <> b_component").select("a", "b").distinct()
     able = written(bounded.filter(100 * F.col("common") >= percent * F.col("size")), "able")
     members = written(members.join(able.select("id"), "id"), "able-members")
     # members outside the largest component, in blocks of SIDE, meet all members of their key, also in blocks
-    members = members.join(several(members), "key").join(able, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SIDE)).cast("int"))
+    members = keyed.join(members, several(members)).join(able, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / SIDE)).cast("int"))
     members = written(members, "rest-members")
     strays = members.filter("component <> largest").withColumnRenamed("part", "stray_part")
     parts = strays.groupBy("key", "stray_part").agg(F.max("members").alias("of"))
@@ -305,26 +326,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     form = layout(percent)
     signed = written(signatures(docs, id_col, text_col, width, form), "signatures")
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    grouped = usable.groupBy("set_hash", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("first"))
-    classes = written(grouped.select("set_hash", "n_shingles", F.col("first.doc_id").alias("id"), F.col("first.signature").alias("signature")), "classes")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    grouped = usable.groupBy(F.col("set_hash").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "n_shingles", "signature")).alias("first"))
+    classes = written(grouped.select("id", "doc_id", "first.*"), "classes")
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
     keys = chunk_keys(classes, form)
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(keys.join(counts, "key"), "shared-keys")
+    counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key-counts")
+    keyed = Keyed(counts.filter(F.col("n") > SIDE).count() <= broadcast_rows)
+    if keyed.broadcast_hot:
+        hot = counts.filter(F.col("n") > SIDE)
+        marked = keys.join(F.broadcast(hot), "key", "left")
+        shared = marked.filter(F.col("n").isNotNull()).union(marked.filter(F.col("n").isNull()).drop("n").join(counts, "key"))
+    else:
+        shared = keys.join(counts, "key")
+    shared = written(shared, "shared-keys")
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
     ranked = shared.select("key", "id").join(weight, "id")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("centre")))["centre"].alias("centre"))
-    pairs = shared.select("key", "id").join(centre, "key").filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(written(near(pairs, classes, form), "near"), texts, percent, width, broadcast_rows), "confirmed")
+    centre = written(ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("centre")))["centre"].alias("centre")), "centres")
+    pairs = keyed.join(shared.select("key", "id", "n"), centre).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(confirmed(written(near(pairs, classes, form), "near"), classes, texts, percent, width, broadcast_rows), "confirmed")
+    # texts that share a doc_id are linked through it
+    by_doc = usable.groupBy("doc_id").agg(F.min("set_hash").alias("b"), F.max("set_hash").alias("other")).filter("b <> other").select("doc_id", "b")
+    links = links.union(written(usable.join(by_doc, "doc_id").select(F.col("set_hash").alias("a"), "b").filter("a <> b").distinct(), "same-id"))
     found = written(components(links), "components")
-    more = written(rest_pairs(shared, found, classes, texts, percent, width, broadcast_rows, form), "rest")
+    more = written(rest_pairs(shared, keyed, found, classes, texts, percent, width, broadcast_rows, form), "rest")
     if not more.isEmpty():
-        links = links.union(written(confirmed(more, texts, percent, width, broadcast_rows), "confirmed"))
+        links = links.union(written(confirmed(more, classes, texts, percent, width, broadcast_rows), "confirmed"))
         found = written(components(links), "components")
 
-    # a class's component is the smallest document of all its classes; each class is named by its smallest document
-    placed = classes.join(found, "id", "left").select("set_hash", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    known = usable.select("doc_id", "set_hash", "n_shingles").join(placed, ["set_hash", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    # a component is named by the smallest document of all its classes
+    linked = written(classes.select("id", "doc_id").join(found, "id"), "linked")
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = classes.select("id", "doc_id").join(linked.join(names, "component").select("id", "name"), "id", "left").select(F.col("id").alias("set_hash"), F.coalesce("name", "doc_id").alias("component_id"))
+    known = usable.select("doc_id", "set_hash", "n_shingles").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
     rest = signed.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
