@@ -131,7 +131,7 @@ def carried(rows: DataFrame, value: Column, schema: StructType) -> DataFrame:
     return F.broadcast(rows.sparkSession.createDataFrame(out, schema))
 
 
-def latest_units(asked: DataFrame, offered: DataFrame) -> DataFrame:
+def latest_units(asked: DataFrame, offered: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``asked`` (key, conv_id, unit, row, ...) with the latest earlier row of ``offered`` (key, conv_id, unit, row, turn)
     that has the same unit, as ``of`` and ``of_turn``.
 
@@ -140,7 +140,8 @@ def latest_units(asked: DataFrame, offered: DataFrame) -> DataFrame:
     conversation's messages hold nor a conversation of any length makes a large group.
     """
     same = ["key", "conv_id", "unit"]
-    offered = offered.join(asked.select("key").distinct(), "key", "left_semi").withColumn("part", part_of(F.col("row")))
+    wanted = written(asked.select("key").distinct(), "quoted-keys")
+    offered = offered.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "key", "left_semi").withColumn("part", part_of(F.col("row")))
     both = offered.withColumn("asked", F.lit(None).cast(asked.select(F.struct("weight", "whole", "level")).schema[0].dataType)).unionByName(
         asked.select(*same, "row", F.lit(None).cast(offered.schema["turn"].dataType).alias("turn"), part_of(F.col("row")).alias("part"), F.struct("weight", "whole", "level").alias("asked"))
     )
