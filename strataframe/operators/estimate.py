@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, finite
 from .windows import effective_dates
 
+#: Experts are fitted one after another, so a registry with more groups is refused.
+MOST_EXPERTS = 64
+
 
 def normal_equations(df: DataFrame, features: Sequence[Column], target: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
     """X'WX and X'Wy in one aggregation: a row of p * (p + 3) / 2 sums comes to the driver."""

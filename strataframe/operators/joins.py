@@ -19,30 +19,33 @@ def asof_hour(left: DataFrame, hourly: DataFrame, keys: Sequence[str], ts: str,
     return left.join(right, on, "left").drop(*(f"__{k}" for k in keys)).withColumn("age_minutes", (epoch(F.col(ts)) - epoch(F.col("matched_hour"))) / 60)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], tolerance_s: float, tie: str, right_ts: str | None = None, salt_s: float | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], tolerance_s: float, tie: str, right_ts: str | None = None, span_s: float | None = None) -> DataFrame:
     """Last right row at or before each left row's time, at most ``tolerance_s`` old; ties in time go to the larger ``tie``.
 
-    Both sides are united and the last right row is carried forward in one sorted window, so nothing is paired. With
-    ``salt_s`` (at least the tolerance) time is cut into spans that are windows of their own, right rows also serving the
-    span after theirs: a key with a third of all rows is then spread over many tasks.
+    Both sides are united and the last right row is carried forward in sorted windows, so nothing is paired. Time is cut
+    into spans of ``span_s`` (the tolerance, a day at least, if not given) that are windows of their own: a key with a third
+    of all rows is spread over many tasks. A span begins with the last right row before it that is recent enough; where
+    the tolerance is longer than a span it comes from the last rows of the spans before, one row a span.
     """
-    right_ts = right_ts or ts
-    kept = left.withColumn("__id", F.monotonically_increasing_id()) if salt_s else left
+    right_ts, span_s = right_ts or ts, float(span_s or max(86_400, min(tolerance_s, 30 * 86_400)))
     payload = F.struct(F.col(right_ts).alias("__at"), *values)
-    a = kept.withColumns({"__t": epoch(F.col(ts)), "__side": F.lit(1), "__tie": F.lit(None).cast(right.schema[tie].dataType), "__right": F.lit(None).cast(right.select(payload).schema[0].dataType)})
+    a = left.withColumns({"__t": epoch(F.col(ts)), "__side": F.lit(1), "__tie": F.lit(None).cast(right.schema[tie].dataType), "__right": F.lit(None).cast(right.select(payload).schema[0].dataType)})
     b = right.filter(F.col(right_ts).isNotNull()).select(*(F.col(k) for k in keys), epoch(F.col(right_ts)).alias("__t"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), payload.alias("__right"))
-    parts = list(keys)
-    if salt_s:
-        if salt_s < tolerance_s:
-            raise ValueError("spans must not be shorter than the tolerance")
-        a = a.withColumn("__span", F.floor(F.col("__t") / salt_s))
-        b = b.withColumn("__span", F.explode(F.array(F.floor(F.col("__t") / salt_s), F.floor(F.col("__t") / salt_s) + 1)))
-        parts.append("__span")
-    w = Window.partitionBy(*parts).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
+    span = F.floor(F.col("__t") / span_s).cast("long")
+    ends = b.groupBy(*keys, span.alias("__span")).agg(F.max(F.struct("__t", "__tie", "__right")).alias("__end"))
+    # the last row of each span opens the next one; with a long tolerance, all later ones
+    if tolerance_s <= span_s:
+        opening = ends.select(*keys, (F.col("__span") + 1).alias("__span"), "__end.*", F.lit(0).alias("__side"))
+    else:
+        asked = a.select(*keys, span.alias("__span")).distinct().join(ends, [*keys, "__span"], "full_outer")
+        before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+        opening = asked.withColumn("__end", F.last("__end", ignorenulls=True).over(before)).filter("__end IS NOT NULL").select(*keys, "__span", "__end.*", F.lit(0).alias("__side"))
+    w = Window.partitionBy(*keys, "__span").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    right_rows = b.withColumn("__span", span).unionByName(opening)
+    both = a.withColumn("__span", span).unionByName(right_rows, allowMissingColumns=True).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
     age = F.col("__t") - epoch(F.col("__last.__at"))
     ok = age <= tolerance_s
-    return both.withColumns({**{v: F.when(ok, F.col(f"__last.{v}")) for v in values}, "matched_ts": F.when(ok, F.col("__last.__at")), "age_s": F.when(ok, age)}).drop("__t", "__side", "__tie", "__right", "__last", "__span", "__id")
+    return both.withColumns({**{v: F.when(ok, F.col(f"__last.{v}")) for v in values}, "matched_ts": F.when(ok, F.col("__last.__at")), "age_s": F.when(ok, age)}).drop("__t", "__side", "__tie", "__right", "__last", "__span")
 
 
 def bracket_interpolate(left: DataFrame, endpoints: DataFrame, keys: Sequence[str], ts: str, hour: str, value: str, name: str) -> DataFrame:
@@ -79,13 +82,16 @@ def contains_causal(samples: DataFrame, cells: DataFrame, keys: Sequence[str], i
     """The best cell whose box holds the sample's point and whose whole interval ended at or before the sample's time and
     began at most ``most_age_s`` before it.
 
-    samples: x, y, ts; cells: x0, y0, x1, y1, start_ts, end_ts. Boxes are spread over the grid squares they touch, so the
-    search is an equality join on (keys, square); every sample stays.
+    samples: x, y, ts; cells: x0, y0, x1, y1, start_ts, end_ts. Boxes are spread over the grid squares they touch and over
+    the one or two stretches of ``most_age_s`` in which they may serve, so the search is an equality join on (keys, square,
+    stretch) whose matches do not grow with the length of the period; every sample stays.
     """
     at = lambda v: F.floor(v / cell_size).cast("long")
-    points = samples.withColumns({"__gx": at(F.col("x")), "__gy": at(F.col("y"))})
+    stretch = lambda t: F.floor(t / most_age_s).cast("long")
+    points = samples.withColumns({"__gx": at(F.col("x")), "__gy": at(F.col("y")), "__gt": stretch(epoch(F.col("ts")))})
+    cells = cells.filter(epoch(F.col("end_ts")) <= epoch(F.col("start_ts")) + most_age_s).withColumn("__gt", F.explode(F.sequence(stretch(epoch(F.col("end_ts"))), stretch(epoch(F.col("start_ts")) + most_age_s))))
     spread = cells.withColumn("__gx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("__gy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
-    hit = points.join(spread, [*keys, "__gx", "__gy"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & (F.col("end_ts") <= F.col("ts")) & (epoch(F.col("ts")) - epoch(F.col("start_ts")) <= most_age_s))
+    hit = points.join(spread, [*keys, "__gx", "__gy", "__gt"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & (F.col("end_ts") <= F.col("ts")) & (epoch(F.col("ts")) - epoch(F.col("start_ts")) <= most_age_s))
     return samples.join(top(hit, [id_col], rank).select(id_col, *values), id_col, "left")
 
 
@@ -135,10 +141,12 @@ def latest_revision(items: DataFrame, keys: Sequence[str], order: Sequence[str],
     return same.groupBy(*keys).agg(F.count_distinct(fingerprint).alias("versions"), F.min(fingerprint).alias("__f")).select(*keys, F.when(F.col("versions") == 1, F.col("__f")).alias("selected"), F.when(F.col("versions") == 1, "selected").otherwise("unknown_conflicting_revisions").alias("status"))
 
 
-def unique_owner(cells: DataFrame, jobs: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+def unique_owner(cells: DataFrame, jobs: DataFrame, keys: Sequence[str], ts: str, span_s: float = 30 * 86_400.0) -> DataFrame:
     """Which job (job_id, start_ts, end_ts half-open) covers each cell's time, and how many do: more than one is an error
-    for the caller. The jobs table is small by nature and is broadcast by the optimiser if so."""
-    hit = cells.join(jobs, list(keys), "left").withColumn("__in", (F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts")))
+    for the caller. Jobs are spread over the spans of time they touch, so a cell meets only those of its own span."""
+    span = lambda t: F.floor(epoch(t) / span_s).cast("long")
+    spread = jobs.filter(F.col("start_ts") < F.col("end_ts")).withColumn("__span", F.explode(F.sequence(span(F.col("start_ts")), span(F.col("end_ts")))))
+    hit = cells.withColumn("__span", span(F.col(ts))).join(spread, [*keys, "__span"], "left").withColumn("__in", (F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts")))
     rest = [c for c in cells.columns]
     return hit.groupBy(*rest).agg(F.count_if(F.coalesce(F.col("__in"), F.lit(False))).alias("owners"), F.min(F.when(F.col("__in"), F.col("job_id"))).alias("job_id"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,39 +43,87 @@ def date_balanced(df: DataFrame, keys: Sequence[str], date: str, error: str, thr
     return daily.groupBy(*keys).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("dates"), *(F.avg(F.col(f"__{k}") / F.col("__n")).alias(f"date_{k}") for k in parts), *((F.sum(f"__{k}") / F.sum("__n")).alias(f"pixel_{k}") for k in parts))
 
 
+#: Fixed: reasons of an acceptance receipt, in their order; those of quarters come last.
+REASONS = ("missing_group", "insufficient_reference_rows", "insufficient_independent_dates", "insufficient_seasonal_dates", "missing_predictions", "training_overlap", "mae_target_or_coverage_failed")
+
+
 def acceptance(rows: DataFrame, registry: DataFrame, keys: Sequence[str], date: str, quarter: str, error: str, leaked: str, *, target: float, min_rows: int, min_dates: int, min_quarter_dates: int) -> DataFrame:
     """A receipt for each required group: counts, coverage, dates by quarter, metrics, all reasons of failure in order, and
-    whether it passed. Groups without rows fail with 'missing_group'."""
-    keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("reference_rows"), F.count(error).alias("predicted_rows"), F.count_distinct(date).alias("independent_dates"), F.max(F.col(leaked).cast("int")).alias("__leaked"), *(F.count_distinct(F.when(F.col(quarter) == q, F.col(date))).alias(f"q{q}_dates") for q in range(1, 5)))
-    stats = date_balanced(rows, keys, date, error).select(*keys, "date_mae", "pixel_mae", "date_bias")
-    seasons = date_balanced(rows, [*keys, quarter], date, error).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when((F.col("date_mae") > target) | (F.col("pixel_mae") > target), F.concat(F.lit("quarter_"), F.col(quarter), F.lit("_mae_target_failed"))))).alias("__late"))
-    out = registry_outer(registry, counts.join(stats, keys, "left").join(seasons, keys, "left"), keys, ["reference_rows", "predicted_rows", "independent_dates", "__leaked", *(f"q{q}_dates" for q in range(1, 5))])
+    whether it passed. Groups without rows fail with 'missing_group'.
+
+    One pass: rows are added up by date, dates by quarter, quarters by group.
+    """
+    keys, e = list(keys), F.col(error)
+    good = e.isNotNull() & ~F.isnan(e)
+    daily = rows.groupBy(*keys, quarter, date).agg(F.count(F.lit(1)).alias("__n"), F.count(e).alias("__p"), F.max(F.col(leaked).cast("int")).alias("__leaked"), F.count_if(good).alias("__k"), F.sum(F.when(good, F.abs(e))).alias("__s"), F.sum(F.when(good, e)).alias("__t"))
+    by_quarter = daily.groupBy(*keys, quarter).agg(
+        *(F.sum(f"__{c}").alias(f"__{c}") for c in "npkst"), F.count(date).alias("__dates"), F.max("__leaked").alias("__leaked"), F.count_if(F.col("__k") > 0).alias("__d"),
+        F.sum(F.col("__s") / F.nullif(F.col("__k"), F.lit(0))).alias("__sd"), F.sum(F.col("__t") / F.nullif(F.col("__k"), F.lit(0))).alias("__td"),
+    )
+    late = (F.col("__sd") / F.nullif(F.col("__d"), F.lit(0)) > target) | (F.col("__s") / F.nullif(F.col("__k"), F.lit(0)) > target)
+    whole = by_quarter.groupBy(*keys).agg(
+        F.sum("__n").alias("reference_rows"), F.sum("__p").alias("predicted_rows"), F.sum("__dates").alias("independent_dates"), F.max("__leaked").alias("__leaked"), *(F.coalesce(F.sum(F.when(F.col(quarter) == q, F.col("__dates"))), F.lit(0)).alias(f"q{q}_dates") for q in range(1, 5)),
+        (F.sum("__sd") / F.nullif(F.sum("__d"), F.lit(0))).alias("date_mae"), (F.sum("__s") / F.nullif(F.sum("__k"), F.lit(0))).alias("pixel_mae"), (F.sum("__td") / F.nullif(F.sum("__d"), F.lit(0))).alias("date_bias"),
+        F.array_sort(F.collect_list(F.when(late, F.concat(F.lit("quarter_"), F.col(quarter), F.lit("_mae_target_failed"))))).alias("__late"),  # four at most
+    )
+    out = registry_outer(registry, whole, keys, ["reference_rows", "predicted_rows", "independent_dates", "__leaked", *(f"q{q}_dates" for q in range(1, 5))])
     n = F.col("reference_rows")
     point = F.coalesce((n > 0) & (F.col("predicted_rows") == n) & (F.col("date_mae") <= target) & (F.col("pixel_mae") <= target), F.lit(False))
-    rules = [
-        (n == 0, "missing_group"), (n < min_rows, "insufficient_reference_rows"), (F.col("independent_dates") < min_dates, "insufficient_independent_dates"),
-        (F.least(*(F.col(f"q{q}_dates") for q in range(1, 5))) < min_quarter_dates, "insufficient_seasonal_dates"), (F.col("predicted_rows") != n, "missing_predictions"),
-        (F.col("__leaked") == 1, "training_overlap"), ((n > 0) & ~point, "mae_target_or_coverage_failed"),
-    ]
-    reasons = F.concat(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in rules))), F.coalesce(F.col("__late"), F.array().cast("array<string>")))
+    failed = [n == 0, n < min_rows, F.col("independent_dates") < min_dates, F.least(*(F.col(f"q{q}_dates") for q in range(1, 5))) < min_quarter_dates, F.col("predicted_rows") != n, F.col("__leaked") == 1, (n > 0) & ~point]
+    reasons = F.concat(F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in zip(failed, REASONS, strict=True)))), F.coalesce(F.col("__late"), F.array().cast("array<string>")))
     return out.withColumns({"prediction_coverage": F.when(n > 0, F.col("predicted_rows") / n).otherwise(0.0), "point_target_met": point, "reasons": F.array_join(reasons, ";"), "passed": F.size(reasons) == 0}).drop("__leaked", "__late")
 
 
+def order_bin(value: Column) -> Column:
+    """Whole numbers in the order of the values; values of one number differ by less than 0.1 %."""
+    size = F.floor(F.log2(F.abs(value)) * 1024)
+    return F.when(value > 0, size).when(value < 0, -size - (1 << 41)).when(value == 0, F.lit(-(1 << 40))).cast("long")
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and, for each name, the value of that rank from below (from 1, as a function of n); null where there is none.
+
+    Two levels: counts by bins of nearly equal values are added up in each task; only rows of the bins that hold a rank are
+    then ordered. So a key with a third of all rows is neither sorted nor held in one task.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, value.alias("__v"), order_bin(value).alias("__bin"))
+    bins = rows.groupBy(*keys, "__bin").agg(F.count("__v").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy("__bin")
+    placed = bins.withColumns({"__before": F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("__c").over(Window.partitionBy(*keys))})
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()))).alias("__r")
+    picks = placed.select("*", wanted).filter((F.col("__r.rank") > F.col("__before")) & (F.col("__r.rank") <= F.col("__before") + F.col("__c"))).select(*keys, "__bin", "__r.name", (F.col("__r.rank") - F.col("__before")).alias("__k"))
+    inside = rows.join(picks.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy("__v")).cast("long"))
+    found = inside.join(picks, [*keys, "__bin", "__k"]).groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks))
+    return bins.groupBy(*keys).agg(F.sum("__c").alias("n")).join(found, keys, "left")
+
+
+def quantile(df: DataFrame, keys: Sequence[str], value: Column, share: float, name: str) -> DataFrame:
+    """keys, n and the quantile, interpolated between the two values around it."""
+    at = lambda n: (n - 1) * share + 1
+    both = order_statistics(df, keys, value, {"__lo": lambda n: F.floor(at(n)), "__hi": lambda n: F.ceil(at(n))})
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    return both.withColumn(name, F.col("__lo") + part * (F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
+
+
 def order_radius(df: DataFrame, keys: Sequence[str], residual: str, coverage: float) -> DataFrame:
     """The ceil((n + 1) * coverage)-th smallest absolute residual; null where there are too few."""
-    counts = df.groupBy(*keys).agg(F.count(residual).alias("n")).withColumn("rank", F.ceil((F.col("n") + 1) * coverage))
-    ranked = df.select(*keys, F.abs(residual).alias("r")).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("r")))
-    joined = counts.join(ranked, list(keys))
-    return joined.groupBy(*keys, "n", "rank").agg(F.max(F.when(F.col("k") == F.col("rank"), F.col("r"))).alias("radius"))
+    rank = lambda n: F.ceil((n + 1) * coverage)
+    return order_statistics(df, keys, F.abs(residual), {"radius": rank}).withColumn("rank", rank(F.col("n")))
 
 
 def weighted_quantile_radius(df: DataFrame, keys: Sequence[str], error: str, weight: str, tie: str, level: float) -> DataFrame:
-    """The first absolute error at which the running weight reaches ``level`` of the total."""
-    w = Window.partitionBy(*keys).orderBy("__e", tie)
-    run = df.withColumn("__e", F.abs(error)).withColumn("__run", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = df.groupBy(*keys).agg(F.sum(weight).alias("__total"), F.max(F.abs(error)).alias("__most"))
-    return run.join(total, list(keys)).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__run") >= level * F.col("__total") - 1e-12, F.col("__e"))), F.max("__most")).alias("radius"))
+    """The first absolute error at which the running weight reaches ``level`` of the total: by bins first, then by rows of
+    the bin in which it does."""
+    keys = list(keys)
+    rows = df.select(*keys, F.abs(error).alias("__e"), F.col(weight).alias("__w"), F.col(tie).alias("__tie"), order_bin(F.abs(error)).alias("__bin"))
+    bins = rows.groupBy(*keys, "__bin").agg(F.sum("__w").alias("__bw"), F.max("__e").alias("__most"))
+    w = Window.partitionBy(*keys).orderBy("__bin")
+    placed = bins.withColumns({"__before": F.coalesce(F.sum("__bw").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "__goal": level * F.sum("__bw").over(Window.partitionBy(*keys)) - 1e-12})
+    picks = placed.filter((F.col("__before") < F.col("__goal")) & (F.col("__before") + F.col("__bw") >= F.col("__goal")))
+    inside = rows.join(picks, [*keys, "__bin"]).withColumn("__run", F.col("__before") + F.sum("__w").over(Window.partitionBy(*keys, "__bin").orderBy("__e", "__tie").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inside.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__run") >= F.col("__goal"), F.col("__e"))), F.max("__e")).alias("__radius"))
+    return bins.groupBy(*keys).agg(F.max("__most").alias("__most")).join(found, keys, "left").select(*keys, F.coalesce("__radius", "__most").alias("radius"))
 
 
 def interval_coverage(df: DataFrame, keys: Sequence[str], value: str, low: str, high: str, weight: str | None = None) -> DataFrame:
@@ -86,7 +134,8 @@ def interval_coverage(df: DataFrame, keys: Sequence[str], value: str, low: str,
 
 def tail_metrics(df: DataFrame, keys: Sequence[str], observed: str, error: str, hot: float, cold: float) -> DataFrame:
     e = F.abs(error)
-    return df.groupBy(*keys).agg(F.avg(F.when(F.col(observed) >= hot, e)).alias("hot_mae"), F.avg(F.when(F.col(observed) <= cold, e)).alias("cold_mae"), F.percentile(e, 0.9).alias("p90_abs_error"), F.count(e).alias("n"))
+    means = df.groupBy(*keys).agg(F.avg(F.when(F.col(observed) >= hot, e)).alias("hot_mae"), F.avg(F.when(F.col(observed) <= cold, e)).alias("cold_mae"))
+    return means.join(quantile(df, keys, e, 0.9, "p90_abs_error"), list(keys), "left")
 
 
 def support_counts(df: DataFrame, keys: Sequence[str], date: str, acquisition: str, fresh: Column, block: str, season: str) -> DataFrame:

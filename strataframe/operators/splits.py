@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import first_reason, ladder, passes
 from .contracts import ContractError
 
+MOST_FITS = 2_000
+
 
 def assign_splits(df: DataFrame, day: Column, held: Column, train_end: str, calibration_end: str) -> DataFrame:
     """Held regions first, then whole days: train and calibration periods include their last day."""
@@ -64,7 +66,10 @@ def fit_membership(rows: DataFrame, catalogue: DataFrame, granule: str, group: s
     touch_month = rows.join(cat.filter("mode = 'month'"), (F.col(month_start) == F.col("key")) | (F.col(month_end) == F.col("key")))
     touched = held_group.select("mode", "key", granule).union(touch_month.select("mode", "key", granule)).distinct()
     # the catalogue is a few hundred rows by design: each fitting row is repeated for every definition it may serve
-    modes = F.array(*(F.struct(F.lit(r.mode).alias("mode"), F.lit(r.key).alias("key")) for r in catalogue.limit(2_000).collect()))
+    definitions = catalogue.limit(MOST_FITS + 1).collect()
+    if len(definitions) > MOST_FITS:
+        raise ContractError(f"a catalogue has at most {MOST_FITS} definitions of fits")
+    modes = F.array(*(F.struct(F.lit(r.mode).alias("mode"), F.lit(r.key).alias("key")) for r in definitions))
     train = fit_rows.select("*", F.explode(modes).alias("d")).select("*", "d.mode", "d.key").drop("d").join(touched, ["mode", "key", granule], "left_anti").withColumn("role", F.lit("train"))
     return held.unionByName(train.select(held.columns))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_hour
+from ..store import written
 
 
 def _counted(df: DataFrame, keys: Sequence[str], child: str, name: str) -> DataFrame:
@@ -31,8 +32,9 @@ def balanced_weights(df: DataFrame, levels: Sequence[Sequence[str]], segment: Se
     parents = [list(segment)]
     for level in levels:
         parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
-    # distinct keys of each level come from those of the level below, so rows are aggregated once and joined once
-    leaf = df.groupBy(*parents[-1]).agg(F.count(F.lit(1)).alias("__leaf"))
+    # distinct keys of each level come from those of the level below; the lowest level's are written, so the rows are
+    # aggregated once and joined once whatever the number of levels
+    leaf = written(df.groupBy(*parents[-1]).agg(F.count(F.lit(1)).alias("__leaf")), "weights")
     below, table, product = leaf, leaf, F.col("__leaf").cast("double")
     for i in range(len(levels) - 1, -1, -1):
         count = F.count(F.lit(1)).alias(f"__n{i}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import month_fold, season
 from ..operators import contracts, estimate, joins, metrics, windows
 from ..session import load
+from ..store import written
 from .registry import query
 from .views import PREDICTED_SQL, SAMPLES_SQL, predicted, samples
 
@@ -62,7 +63,8 @@ _METRIC_COLUMNS = ("mae", "rmse", "bias", "fraction_gt_50", "fraction_gt_100", "
 
 
 def _scored(df: DataFrame, segment: list[str]) -> DataFrame:
-    weighted = windows.balanced_weights(df, LEVELS, segment)
+    used = dict.fromkeys([*segment, *(c for level in LEVELS for c in level), "e"])
+    weighted = written(windows.balanced_weights(df.select(*used), LEVELS, segment), "weighted")
     out = metrics.weighted_metrics(weighted, segment, "e", "weight", ["region_id", "acquisition_id"], ["region_id", "utc_day"], [50, 100])
     return out.select(*segment, "n", "date_count", "acquisition_count", *(_r(c, 8) for c in _METRIC_COLUMNS), "status")
 
@@ -114,7 +116,8 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     early = s.filter((F.col("utc_day") >= F.to_date(F.lit("1996-12-10"))) & (F.col("acquisition_id") % 7 == 0)).withColumn("fit", F.lit("early"))
     late = s.filter((F.col("utc_day") < F.to_date(F.lit("1997-02-01"))) & (F.col("acquisition_id") % 5 == 0) & (F.col("region_id") < "M")).withColumn("fit", F.lit("late"))
-    return joins.leakage(held, early.unionByName(late), "fit", "sample_id", "month", "region_id", "kind")
+    members = written(early.unionByName(late).select("fit", "sample_id", "month", "region_id"), "members")
+    return joins.leakage(held, members, "fit", "sample_id", "month", "region_id", "kind")
 
 
 @query(f"WITH {PREDICTED_SQL}, {_LEAK_SQL} SELECT fit, kind, count(*) AS n, count(*) FILTER (WHERE leaked) AS leaked_rows FROM leaks GROUP BY fit, kind")
@@ -215,10 +218,10 @@ def agg_13_effective_dates(spark: SparkSession, d: str) -> DataFrame:
     return windows.effective_dates(windows.balanced_weights(samples(spark, d), LEVELS), "weight", "utc_day").select(F.round("effective_dates", 4).alias("effective_dates"))
 
 
-@query(f"WITH {SAMPLES_SQL}, x AS (SELECT substr(region_id, 1, 1) AS letter, phase, count(DISTINCT utc_day) AS dates, count(DISTINCT month) AS months, count(DISTINCT ((year(ts) - 1995) * 12 + month(ts) - 1) % 3) AS folds FROM samples WHERE utc_day < DATE '1995-09-01' GROUP BY 1, 2) SELECT *, dates >= 20 AND months >= 3 AND folds >= 2 AS supported FROM x")
+@query(f"WITH {SAMPLES_SQL}, x AS (SELECT substr(region_id, 1, 1) AS letter, phase, count(DISTINCT utc_day) AS dates, count(DISTINCT month) AS months, count(DISTINCT ((year(ts) - 1995) * 12 + month(ts) - 1) % 3) AS folds FROM samples GROUP BY 1, 2) SELECT *, dates >= 1900 AND months >= 3 AND folds >= 2 AS supported FROM x")
 def agg_14_group_support(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).filter(F.col("utc_day") < F.to_date(F.lit("1995-09-01"))).withColumns({"letter": F.substring("region_id", 1, 1), "fold": month_fold(F.col("ts"), 1995)})
-    return metrics.group_support(s, ["letter", "phase"], "utc_day", "month", "fold", min_dates=20)
+    s = samples(spark, d).withColumns({"letter": F.substring("region_id", 1, 1), "fold": month_fold(F.col("ts"), 1995)})
+    return metrics.group_support(s, ["letter", "phase"], "utc_day", "month", "fold", min_dates=1900)
 
 
 @query()

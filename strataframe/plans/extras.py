@@ -23,8 +23,9 @@ def src_07_json_field(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS hours, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def src_07_parallel_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """Each type's day as one response of parallel arrays, read back as one row a value."""
-    day = load(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list(F.struct("event_id", "value")).alias("v"))
+    """Each type's hours as responses of parallel arrays, read back as one row a value."""
+    part = F.pmod(F.xxhash64("event_id"), F.lit(16))  # a response holds a part of an hour's values, so none grows with a type
+    day = load(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.hour("ts").alias("of_hour"), part.alias("part")).agg(F.collect_list(F.struct("event_id", "value")).alias("v"))
     raw = day.select("event_type", "day", F.to_json(F.struct(F.create_map(F.lit("value"), F.lit("u")).alias("hourly_units"), F.struct(F.transform("v", lambda x: x["value"]).alias("value"), F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.date_format(F.timestamp_seconds(i.cast("long") * 3600), "yyyy-MM-dd'T'HH:mm")).alias("time")).alias("hourly"))).alias("json"))
     rows = readers.hourly_response(raw, "json", ["value"], {"value": "u"})
     return rows.filter("problem IS NULL").groupBy("event_type", "day").agg(F.count("hour_utc").alias("hours"), F.round(F.sum("value"), 4).alias("total"))
@@ -53,9 +54,9 @@ def src_04_inventory(spark: SparkSession, d: str) -> DataFrame:
     return readers.inventory(rows).select(F.col("station_id").cast("long").alias("s_suppkey"), "elevation")
 
 
-@query("SELECT p_partkey, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM part, (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 2)) AS c) WHERE p_partkey < 500")
+@query("SELECT p_partkey, CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM part, (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 2)) AS c)")
 def src_12_grid_pixels(spark: SparkSession, d: str) -> DataFrame:
-    grids = load(spark, d, "part").filter("p_partkey < 500").select("p_partkey", F.lit(3).alias("rows"), F.lit(2).alias("columns"))
+    grids = load(spark, d, "part").select("p_partkey", F.lit(3).alias("rows"), F.lit(2).alias("columns"))
     return readers.grid_pixels(grids, "rows", "columns", ["p_partkey"]).select("p_partkey", "row", F.col("column").alias("col"))
 
 
@@ -102,7 +103,9 @@ def ml_01_boosted_offset(spark: SparkSession, d: str) -> DataFrame:
 def ml_08_group_experts(spark: SparkSession, d: str) -> DataFrame:
     rows = predicted(spark, d).withColumn("weight", F.lit(1.0))
     recipe = lambda: estimate.offset_pipeline(["a", "balance"], "product", "observed", "weight")
-    eligible = [r.phase for r in rows.groupBy("phase").agg(F.count_distinct("utc_day").alias("n")).filter("n >= 200 AND phase <> 'P'").orderBy("phase").limit(64).collect()]
+    eligible = [r.phase for r in rows.groupBy("phase").agg(F.count_distinct("utc_day").alias("n")).filter("n >= 200 AND phase <> 'P'").orderBy("phase").limit(estimate.MOST_EXPERTS + 1).collect()]
+    if len(eligible) > estimate.MOST_EXPERTS:
+        raise ValueError(f"at most {estimate.MOST_EXPERTS} experts are fitted")
     experts = {p: recipe().fit(rows.filter(F.col("phase") == p)) for p in eligible}
     return estimate.grouped_fallback(rows, "phase", eligible, experts, recipe().fit(rows)).select("sample_id", "route", F.round("routed_prediction", 3).alias("routed_prediction"))
 
@@ -121,30 +124,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return not (len(files) == 1 and files[0].rstrip("/").endswith(path.rsplit("/", 1)[-1]))
 
 
-def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there now, through the stream, as a table in memory."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
 @query("SELECT user_id, count(*) AS kept FROM (SELECT DISTINCT user_id, ts FROM events WHERE value >= 1 AND event_type <> 'error') GROUP BY 1")
 def str_01_screened_latest(spark: SparkSession, d: str) -> DataFrame:
     rules = [(F.col("value") >= 1, "too_small"), (F.col("event_type") != "error", "error_report")]
     out = streams.screened_latest(_stream(spark, d), rules, "user_id", "ts", "event_id", "value")
-    return _drained(spark, out, "screened_latest", "complete").groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
+    return streams.drained(out, "screened-latest", ["user_id", "ts"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("SELECT e.event_id, h.n AS reports_that_hour FROM events e LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2) h ON h.event_type = e.event_type AND h.hour = date_trunc('hour', e.ts)")
 def str_02_enriched(spark: SparkSession, d: str) -> DataFrame:
     hourly = load(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("reports_that_hour"))
-    return _drained(spark, streams.enriched(_stream(spark, d).select("event_id", "event_type", "ts"), hourly, "event_type", "ts", ["reports_that_hour"]), "enriched", "append").select("event_id", "reports_that_hour")
+    return streams.drained(streams.enriched(_stream(spark, d).select("event_id", "event_type", "ts"), hourly, "event_type", "ts", ["reports_that_hour"]), "enriched").select("event_id", "reports_that_hour")
 
 
-@query("WITH h AS (SELECT event_type, unnest(range(0, 6)) AS k, ts, value FROM events), w AS (SELECT event_type, date_trunc('hour', ts) + to_hours(CAST(k + 1 AS INT)) AS e, count(*) AS n, sum(value) AS s FROM h GROUP BY 1, 2) SELECT event_type, strftime(e, '%Y-%m-%d %H') AS window_end, n AS valid_hours, round(CASE WHEN n = 6 THEN s END, 4) AS total FROM w")
+@query("WITH h AS (SELECT event_type, unnest(range(0, 6)) AS k, ts, value FROM events), w AS (SELECT event_type, date_trunc('hour', ts) + to_hours(CAST(k + 1 AS INT)) AS e, count(DISTINCT date_trunc('hour', ts)) AS n, sum(value) AS s FROM h GROUP BY 1, 2) SELECT event_type, strftime(e, '%Y-%m-%d %H') AS window_end, n AS valid_hours, round(CASE WHEN n = 6 THEN s END, 4) AS total FROM w")
 def str_03_full_hours(spark: SparkSession, d: str) -> DataFrame:
     out = streams.full_hours(_stream(spark, d), "event_type", "ts", "value", 6)
-    return _drained(spark, out, "full_hours", "complete").select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "valid_hours", F.round("total", 4).alias("total"))
+    return streams.drained(out, "full-hours", ["event_type", "window_end"]).select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "valid_hours", F.round("total", 4).alias("total"))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import contracts, estimate, joins, metrics, splits, windows
 from ..session import load
+from ..store import new_path
 from ..sources import readers
 from .accuracy import LEVELS, _weights_sql
 from .registry import query
@@ -22,16 +23,24 @@ def _r(c: str, digits: int = 6):
 # sources
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def src_01_guarded_scan(spark: SparkSession, d: str) -> DataFrame:
     """The time column is read and checked before anything else is."""
-    return readers.guarded_scan(spark, f"{d}/orders.parquet", "o_orderdate", "1995-01-01", "2001-12-31").filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    return readers.guarded_scan(spark, f"{d}/orders.parquet", "o_orderdate", "1995-01-01", "2001-12-31").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT page_id, url, CAST(0 AS BIGINT) AS versions FROM pages WHERE page_id % 4 = 0")
+@query("""WITH b AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN url || '?v=2' ELSE url END AS url FROM pages WHERE page_id % 3 <> 1), u AS (SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT * FROM b)
+SELECT page_id, count(DISTINCT url) > 1 AS conflict, greatest(1, count(DISTINCT url)) AS versions, CASE WHEN count(DISTINCT url) = 1 THEN min(url) END AS url FROM u GROUP BY 1""")
 def src_13_merged_shards(spark: SparkSession, d: str) -> DataFrame:
-    rows, conflicts = readers.merged_shards(spark, [f"{d}/pages.parquet"], "page_id")
-    return rows.join(conflicts, "page_id", "left").filter("page_id % 4 = 0").select("page_id", "url", F.coalesce("versions", F.lit(0)).cast("long").alias("versions"))
+    """Two shards that share a third of the pages, some of them with another address: those are conflicts."""
+    p = load(spark, d, "pages").select("page_id", "url")
+    second = p.filter("page_id % 3 <> 1").withColumn("url", F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("?v=2"))).otherwise(F.col("url")))
+    shards = [new_path(spark, "shard"), new_path(spark, "shard")]
+    for path, rows in zip(shards, (p.filter("page_id % 3 <> 0"), second), strict=True):
+        rows.write.parquet(path)
+    rows, conflicts = readers.merged_shards(spark, shards, "page_id")
+    one = rows.groupBy("page_id").agg(F.min("url").alias("first"))
+    return one.join(conflicts, "page_id", "left").select("page_id", F.col("versions").isNotNull().alias("conflict"), F.coalesce("versions", F.lit(1)).cast("long").alias("versions"), F.when(F.col("versions").isNull(), F.col("first")).alias("url"))
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS n FROM events GROUP BY 1, 2")

@@ -190,11 +190,11 @@ def spl_05_leave_out(spark: SparkSession, d: str) -> DataFrame:
     return splits.fit_membership(g, catalogue, "granule", "region_id", "mid", "m0", "m1", ["NATION_0"]).groupBy("mode", "key", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SAMPLES_SQL}, c AS (SELECT region_id, phase, count(DISTINCT utc_day) AS dates FROM samples WHERE observed > 445 GROUP BY 1, 2) SELECT sample_id, CASE WHEN dates < 2 THEN 'excluded_sparse_fit' ELSE 'fit' END AS split FROM samples JOIN c USING (region_id, phase) WHERE observed > 445")
+@query(f"WITH {SAMPLES_SQL}, c AS (SELECT acquisition_id, phase, count(DISTINCT utc_day) AS dates FROM samples GROUP BY 1, 2) SELECT sample_id, CASE WHEN dates < 2 THEN 'excluded_sparse_fit' ELSE 'fit' END AS split FROM samples JOIN c USING (acquisition_id, phase)")
 def spl_08_sparse_groups(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).filter("observed > 445")
-    few = s.groupBy("region_id", "phase").agg(F.count_distinct("utc_day").alias("dates"))
-    return s.join(few, ["region_id", "phase"]).select("sample_id", F.when(F.col("dates") < 2, "excluded_sparse_fit").otherwise("fit").alias("split"))
+    s = samples(spark, d)
+    few = s.groupBy("acquisition_id", "phase").agg(F.count_distinct("utc_day").alias("dates"))
+    return s.join(few, ["acquisition_id", "phase"]).select("sample_id", F.when(F.col("dates") < 2, "excluded_sparse_fit").otherwise("fit").alias("split"))
 
 
 @query(f"WITH {SAMPLES_SQL} SELECT region_id, phase, count(*) AS rows, count(DISTINCT utc_day) AS dates, count(*) >= 80 AND count(DISTINCT utc_day) >= 2 AS eligible FROM samples GROUP BY 1, 2")
@@ -357,9 +357,9 @@ def sc_33_source_choice(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).select("sample_id", E.ladder([(ts <= F.to_timestamp(F.lit("1999-01-01")), "final"), (ts <= F.to_timestamp(F.lit("2000-06-01")), "provisional")], "forecast").alias("weather_source"))
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT region_id, phase, sample_id FROM samples ORDER BY region_id, phase DESC, observed DESC, sample_id LIMIT 500")
+@query(f"WITH {SAMPLES_SQL} SELECT region_id, phase, sample_id FROM samples ORDER BY region_id, phase DESC, observed DESC, sample_id")
 def srt_01_total_order(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).orderBy("region_id", F.desc("phase"), F.desc("observed"), "sample_id").limit(500).select("region_id", "phase", "sample_id")
+    return samples(spark, d).orderBy("region_id", F.desc("phase"), F.desc("observed"), "sample_id").select("region_id", "phase", "sample_id")
 
 
 @query(f"WITH {SAMPLES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY observed DESC, sample_id) AS k FROM samples) SELECT region_id, sample_id FROM k WHERE k <= 8 ORDER BY observed DESC, sample_id LIMIT 60")

@@ -17,25 +17,25 @@ def _r(c: str, digits: int = 6):
 
 
 _BOX_SQL = """pts AS (SELECT o_orderkey AS sample_id, o_orderdate AS ts, o_custkey % 100 * 10.0 + 5 AS x, o_orderkey % 100 * 10.0 + 5 AS y FROM orders),
-cells AS (SELECT l_orderkey * 10 + l_linenumber AS cell_id, min(l_shipdate) AS s, max(l_shipdate) + INTERVAL 1 HOUR AS e, min(l_suppkey) % 97 * 10.0 AS x0, min(l_partkey) % 89 * 10.0 AS y0, min(l_quantity) AS view FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey, l_linenumber)"""
+cells AS (SELECT l_orderkey * 10 + l_linenumber AS cell_id, min(l_shipdate) AS s, max(l_shipdate) + INTERVAL 1 HOUR AS e, min(l_suppkey) % 97 * 10.0 AS x0, min(l_partkey) % 89 * 10.0 AS y0, min(l_quantity) AS view FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 @query(f"""WITH {_BOX_SQL}, k AS (SELECT sample_id, cell_id, view, row_number() OVER (PARTITION BY sample_id ORDER BY e DESC, view, cell_id) AS k FROM pts JOIN cells ON x BETWEEN x0 AND x0 + 80 AND y BETWEEN y0 AND y0 + 60 AND e <= ts AND epoch(ts - s) <= 90 * 86400)
 SELECT pts.sample_id, cell_id, view FROM pts LEFT JOIN k ON k.sample_id = pts.sample_id AND k = 1""")
 def jn_09_causal_containment(spark: SparkSession, d: str) -> DataFrame:
     pts = load(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderdate").alias("ts"), (F.col("o_custkey") % 100 * 10.0 + 5).alias("x"), (F.col("o_orderkey") % 100 * 10.0 + 5).alias("y"), F.lit(1).alias("region"))
-    cells = load(spark, d, "lineitem").filter("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("start_ts"), (F.max("l_shipdate") + F.expr("INTERVAL 1 HOUR")).alias("end_ts"), (F.min("l_suppkey") % 97 * 10.0).alias("x0"), (F.min("l_partkey") % 89 * 10.0).alias("y0"), F.min("l_quantity").alias("view"))
+    cells = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("start_ts"), (F.max("l_shipdate") + F.expr("INTERVAL 1 HOUR")).alias("end_ts"), (F.min("l_suppkey") % 97 * 10.0).alias("x0"), (F.min("l_partkey") % 89 * 10.0).alias("y0"), F.min("l_quantity").alias("view"))
     cells = cells.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cell_id"), "start_ts", "end_ts", "x0", "y0", (F.col("x0") + 80).alias("x1"), (F.col("y0") + 60).alias("y1"), "view", F.lit(1).alias("region"))
     return joins.contains_causal(pts, cells, ["region"], "sample_id", 100.0, 90 * 86400, [F.desc("end_ts"), F.col("view"), F.col("cell_id")], ["cell_id", "view"]).select("sample_id", "cell_id", "view")
 
 
-_BLOCKS_SQL = "blocks AS (SELECT r * 500.0 AS y0, r * 500.0 + 500 AS y1, c * 500.0 AS x0, c * 500.0 + 500 AS x1 FROM (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 10)) AS c) WHERE (r + 2 * c) % 5 = 0)"
+_BLOCKS_SQL = "blocks AS (SELECT s_suppkey * 7 % 8 * 500.0 AS y0, s_suppkey * 7 % 8 * 500.0 + 500 AS y1, s_suppkey * 3 % 10 * 500.0 AS x0, s_suppkey * 3 % 10 * 500.0 + 500 AS x1 FROM supplier WHERE (s_suppkey * 7 % 8 + 2 * (s_suppkey * 3 % 10)) % 5 = 0)"
 
 
 @query(f"WITH {GRID_SQL}, {_BLOCKS_SQL}, m AS (SELECT row, col, min(sqrt(pow(greatest(x0 - (x + 50), (x - 50) - x1, 0), 2) + pow(greatest(y0 - (y + 50), (y - 50) - y1, 0), 2))) AS dist FROM grid, blocks GROUP BY 1, 2) SELECT row, col, dist <= 200 AS in_buffer, round(CASE WHEN dist <= 200 THEN dist END, 6) AS block_distance FROM m")
 def jn_16_block_distance(spark: SparkSession, d: str) -> DataFrame:
     cells = grid(spark, d).select("row", "col", "x", "y", F.lit(1).alias("region"), (F.col("row") * 1000 + F.col("col")).alias("cell"))
-    blocks = load(spark, d, "region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(9)))).filter((F.col("r") + 2 * F.col("c")) % 5 == 0)
+    blocks = load(spark, d, "supplier").select((F.col("s_suppkey") * 7 % 8).alias("r"), (F.col("s_suppkey") * 3 % 10).alias("c")).filter((F.col("r") + 2 * F.col("c")) % 5 == 0).distinct()
     blocks = blocks.select((F.col("c") * 500.0).alias("x0"), (F.col("c") * 500.0 + 500).alias("x1"), (F.col("r") * 500.0).alias("y0"), (F.col("r") * 500.0 + 500).alias("y1"), F.lit(1).alias("region"))
     out = joins.min_block_distance(cells, blocks, ["region"], "cell", 50.0, 200.0)
     return out.select("row", "col", "in_buffer", F.round(F.when(F.col("in_buffer"), F.col("block_distance")), 6).alias("block_distance"))

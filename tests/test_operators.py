@@ -76,7 +76,7 @@ def test_containment_is_causal(spark):
 def test_asof_takes_the_last_report_within_tolerance(spark, salt):
     left = spark.createDataFrame([(1, "a", T("2024-01-01T10:00:00")), (2, "a", T("2024-01-01T12:00:00")), (3, "b", T("2024-01-01T10:00:00")), (4, "a", T("2024-01-01T08:00:00")), (5, None, T("2024-01-01T10:00:00")), (6, "a", None)], "id int, key string, ts timestamp")
     right = spark.createDataFrame([("a", T("2024-01-01T10:00:00"), 1.0, 1), ("a", T("2024-01-01T10:00:00"), 2.0, 2), ("a", T("2024-01-01T10:29:00"), 3.0, 3), ("b", T("2024-01-01T10:00:01"), 4.0, 4), ("a", None, 9.0, 5)], "key string, ts timestamp, v double, n int")
-    got = {r.id: r.v for r in joins.asof_backward(left, right, ["key"], "ts", ["v"], 5400, "n", salt_s=salt).collect()}
+    got = {r.id: r.v for r in joins.asof_backward(left, right, ["key"], "ts", ["v"], 5400, "n", span_s=salt).collect()}
     assert got == {1: 2.0, 2: None, 3: None, 4: None, 5: None, 6: None}
 
 
