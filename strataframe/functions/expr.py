@@ -349,3 +349,8 @@ def local_time(ts: Column, zone: Column | str) -> tuple[Column, Column]:
     """Civil time in a zone, and whether going back gives the same instant (false in a repeated hour's second pass)."""
     local = F.from_utc_timestamp(ts, zone)
     return local, F.to_utc_timestamp(local, zone) == ts
+
+
+def acquisition_time(single: Column, range_start: Column) -> Column:
+    """A granule's time: its one instant or the start of its range; null where there are both or neither."""
+    return F.when(single.isNull() | range_start.isNull(), F.try_to_timestamp(F.coalesce(single, range_start)))

@@ -15,6 +15,12 @@ def error_metrics(error: Column) -> list[Column]:
     return [F.count(error).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias")]
 
 
+def balanced_metrics(error: Column, weight: Column, digits: int) -> list[Column]:
+    """Weighted error, root mean square and bias of a group whose weights add up to 1."""
+    parts = {"mae": F.sum(weight * F.abs(error)), "rmse": F.sqrt(F.sum(weight * error * error)), "bias": F.sum(weight * error)}
+    return [F.round(v, digits).alias(k) for k, v in parts.items()]
+
+
 def weighted_metrics(df: DataFrame, segment: Sequence[str], error: str, weight: str, acquisition: Sequence[str], date: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
     """Weighted error block of each segment. Weights add up to 1 in a segment; the contrast is the mean absolute error
     after each acquisition's weighted mean error is taken off."""
