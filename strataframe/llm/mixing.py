@@ -5,7 +5,8 @@ counts is taken, and the mix is cut at the source's exact budget, whole epochs f
 
 The prefix sum has two levels: the key's leading bits deal a source's documents evenly into ``buckets``, whose totals
 (a bounded number a source) give each bucket's offset, and the running sum inside a bucket needs only that bucket's rows.
-So a source that holds a third of all rows is spread over as many tasks as any other data, and no text is shuffled.
+So a source that holds a third of all rows is spread over as many tasks as any other data, and no text is shuffled. Sources
+themselves are ranked and levelled in one task, a row each: they are kinds of data, thousands at most, not hosts.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a source without words has target 0; null is a
 source of its own, last in order; repeated rows count each for itself (their keys tie, sizes order them, so the rows of a

@@ -77,6 +77,7 @@ RULES = {
     "short": lambda: F.col("n_words") < MIN_WORDS,
     "repeats": lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
+    "dup_lines": lambda: 10 * F.col("n_dup_lines") > F.col("n_words"),
     "word_length": lambda: (F.col("word_chars") > 12 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
 }
 
@@ -117,7 +118,7 @@ def host_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & (F.col("host_verdict") == "keep")).alias("kept"), "host", "host_verdict")
 
 
-_RULES_SQL = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "10 * n_symbols > n_words", "word_length": "word_chars > 12 * n_words OR word_chars < 2 * n_words"}
+_RULES_SQL = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "10 * n_symbols > n_words", "dup_lines": "10 * n_dup_lines > n_words", "word_length": "word_chars > 12 * n_words OR word_chars < 2 * n_words"}
 
 
 def _sql() -> str:

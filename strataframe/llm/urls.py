@@ -9,7 +9,8 @@ table has a row a host and joins back by key (adaptive execution splits a skewed
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged as the empty host; a page with
 several labels is bad if any is; a label that is null on both counts is no outcome; repeated rows count each for itself;
-without labels the prior is one half and nothing is blocked; extra columns are ignored.
+user parts and ports belong to the host but not to its domain; an address is a domain of its own; without labels the prior
+is one half and nothing is blocked; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,13 +45,24 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+#: An address has no registered domain: it is one of its own, and all addresses share a suffix.
+ADDRESS, ADDRESSES = r"^[0-9]+(\.[0-9]+){3}$|^\[", "[]"
+
+
+def name_of(host: Column) -> Column:
+    """The host without user part, port and dots at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.*(:[0-9]*)?$", "")
+
+
 def suffix_of(host: Column) -> Column:
+    """Of a ``name_of`` a host."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(ADDRESS), ADDRESSES).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """Of a ``name_of`` a host."""
+    return F.when(host.rlike(ADDRESS), host).when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _prior(level: DataFrame) -> tuple[float, float]:
@@ -60,7 +72,8 @@ def _prior(level: DataFrame) -> tuple[float, float]:
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """From (host, n, bad), a row a host, the posterior (host, rate, strength, n_labels) of each."""
-    hosts = outcomes.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    name = name_of(F.col("host"))
+    hosts = outcomes.select("host", domain_of(name).alias("domain"), suffix_of(name).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     (mean, ks), (_, kd), (_, kh) = _prior(suffixes), _prior(domains), _prior(hosts)
@@ -90,7 +103,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, z: float = 1.645,
 
 def _sql() -> str:
     two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
-    last = lambda k: f"array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:{k}]), '.')"
+    last = lambda k: f"array_to_string(list_reverse(list_reverse(string_split(name, '.'))[1:{k}]), '.')"
     cases, verdicts = [], []
     for action, text in sorted(RULES, key=lambda r: -len(r[1])):
         name, _, start = text.partition("/")
@@ -106,7 +119,8 @@ rows AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
    CASE WHEN tail IS NULL THEN '' ELSE regexp_extract(substr(tail, length(raw) + 1), '^[^?#]*') END AS path FROM h),
 o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS outcome FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
 hc AS (SELECT host, CAST(count(outcome) AS DOUBLE) AS n, CAST(coalesce(sum(outcome), 0) AS DOUBLE) AS bad FROM rows LEFT JOIN o ON page_id = doc_id GROUP BY host),
-hosts AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM hc),
+hn AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.*(:[0-9]*)?$', '') AS name FROM hc), ha AS (SELECT *, regexp_matches(name, '{ADDRESS}') AS address FROM hn),
+hosts AS (SELECT *, CASE WHEN address THEN name WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN address THEN '{ADDRESSES}' WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM ha),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 ps AS (SELECT mean, {strength} AS k FROM ({prior("suffixes")})), pd AS (SELECT {strength} AS k FROM ({prior("domains")})), ph AS (SELECT {strength} AS k FROM ({prior("hosts")})),

@@ -119,3 +119,6 @@ def test_reputation_blocks_surely_bad_hosts(spark):
 def test_suffixes(spark):
     rows = spark.createDataFrame([("a.b.co.uk",), ("x.example.com",), ("localhost",), ("",)], "host string").select(urls.domain_of(urls.F.col("host")), urls.suffix_of(urls.F.col("host"))).collect()
     assert [tuple(r) for r in rows] == [("b.co.uk", "co.uk"), ("example.com", "com"), ("localhost", "localhost"), ("", "")]
+    hosts = spark.createDataFrame([("u:p@w.example.com:8080",), ("example.com.",), ("10.20.30.40:80",), ("10.99.30.40",), ("[2001:db8::1]:80",)], "host string").select(urls.name_of(urls.F.col("host")).alias("name"))
+    got = hosts.select(urls.domain_of(urls.F.col("name")), urls.suffix_of(urls.F.col("name"))).collect()
+    assert [tuple(r) for r in got] == [("example.com", "com"), ("example.com", "com"), ("10.20.30.40", "[]"), ("10.99.30.40", "[]"), ("[2001:db8::1]", "[]")]

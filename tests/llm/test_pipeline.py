@@ -25,7 +25,7 @@ def test_stages_and_run(spark):
         if name == "language_id":
             assert not {90_001, 90_002, 90_003} & set(after) and len(after) >= 0.97 * (len(before) - 3)
         elif name == "near_dedup":
-            want = brute_components([(i, r.text) for i, r in before.items()])
+            want = brute_components([(i, r.text) for i, r in before.items()], corpus_pipeline.NEAR_PERCENT)
             assert set(after) == {c for _, c in want.values()} and len(after) < len(before)
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -51,7 +51,7 @@ def families(seed=3, n=60):
     return [(i * 3 + 1, t, "en", "s") for i, t in enumerate(docs)]
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {i: shingles(t) for i, t, *_ in rows if i is not None}
     parent = {i: i for i in sets}
 
@@ -64,7 +64,7 @@ def brute_components(rows):
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 85 * len(sets[a] | sets[b]):
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
                 ra, rb = sorted((root(a), root(b)))
                 parent[rb] = ra
     return {i: (len(sets[i]), root(i)) for i in ids}

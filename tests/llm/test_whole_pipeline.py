@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strataframe.llm import dedup
 
@@ -35,3 +37,13 @@ def test_contaminated_row_without_id_goes(spark):
     rows = [(None, item), (None, "nothing of the benchmark is here"), (5, item)]
     got = corpus_pipeline.decontamination(spark, frame(spark, rows), SF).collect()
     assert [(r.doc_id, r.text) for r in got] == [rows[1]]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """Each stage keeps the columns it got, whatever their names, and an empty table stays empty."""
+    rows = frame(spark, [(1, "some words of a text that is long enough for a language to be told"), (2, "zwei Worte und noch einige mehr, damit die Sprache erkennbar ist")])
+    for docs in (rows.limit(0), rows.withColumns({c: F.lit(1) for c in ("row", "id", "key", "component_id", "size", "set_hash", "spans")})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.count() <= docs.count()
+            assert name == "mixing" or out.columns == docs.columns
