@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next one's documents. Stages that reject documents decide each row by a key of its own content, whatever its doc_id: a
-document may have none, or one that others have too; rows that are equal throughout are one document. All stages but the last return the columns of documents; the last returns the mix: doc_id, size,
-source_size, target, taken for each document that it takes.
+document may have none, or one that others have too. All stages but the last return the columns of documents; the last
+returns the mix: doc_id, size, source_size, target, taken for each document that it takes.
+
+Defined results: a null text, an empty one or one without a letter goes in the first stage; rows that are equal throughout
+are one document, of which near_dedup keeps one row; of near copies the smallest doc_id stays, a row without one only where
+no other has one; a null source is a source of its own; personal data in a null text is none; extra columns pass through all
+stages but the last, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from strataframe.llm.store import written
 MIN_LANGUAGE_SCORE = 0.35
 #: Near copies have at least this percentage of their five-word shingles in common.
 NEAR_PERCENT = 80
-KEY = "row_key"
+KEY = "__row_key__"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
