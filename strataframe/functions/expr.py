@@ -162,7 +162,7 @@ def zone_id(lat: Column, lon: Column) -> Column:
 _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 
 
-def _series() -> tuple[float, list[float], float]:
+def krueger_series() -> tuple[float, list[float], float]:
     n = _FLAT / (2 - _FLAT)
     radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
     alpha = [
@@ -176,7 +176,7 @@ def _series() -> tuple[float, list[float], float]:
 
 def utm(lat: Column, lon: Column, central: Column) -> tuple[Column, Column]:
     """Easting and northing (without the southern offset) by the Krüger series, in metres."""
-    radius, alpha, e = _series()
+    radius, alpha, e = krueger_series()
     phi, lam = F.radians(lat), F.radians(lon - central)
     s = F.sin(phi)
     atanh = lambda x: 0.5 * F.log((1 + x) / (1 - x))

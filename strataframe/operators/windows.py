@@ -141,9 +141,20 @@ def round_robin_cap(df: DataFrame, strata: Sequence[str], key: str, seed: object
     return ranked.orderBy("__turn", "__hash", key).limit(most).drop("__hash", "__turn")
 
 
-def turns(df: DataFrame, queue: Sequence[str], order: Sequence[Column], name: str = "turn") -> DataFrame:
-    """Place of each row in its queue; ordering by (turn, queue) interleaves the queues."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*queue).orderBy(*order)))
+def turns(df: DataFrame, queue: Sequence[str], order: Sequence[Column], name: str = "turn", span: Column | None = None) -> DataFrame:
+    """Place of each row in its queue; ordering by (turn, queue) interleaves the queues.
+
+    ``span``: a value that rises with the order, such as the day of a time. Rows are then numbered within their span and the
+    spans' counts added up, so a queue with a third of all rows is spread over as many tasks as it has spans.
+    """
+    if span is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*queue).orderBy(*order)))
+    cut = df.withColumn("__span", span)
+    counts = cut.groupBy(*queue, "__span").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*queue).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = cut.withColumn(name, F.row_number().over(Window.partitionBy(*queue, "__span").orderBy(*order)))
+    joined = _back(inside, counts.withColumn("__before", before).drop("__n"), [*queue, "__span"])
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__before", "__span")
 
 
 def coverage_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..session import load
 from ..sources import readers
 from ..streaming import streams
 from .registry import query
-from .views import PREDICTED_SQL, predicted, samples
+from .views import PREDICTED_SQL, SAMPLES_SQL, predicted, samples
 
 LEVELS = (["region_id", "phase"], ["utc_day"], ["acquisition_id"], ["surface"])
 
@@ -143,7 +143,7 @@ def str_03_full_hours(spark: SparkSession, d: str) -> DataFrame:
     return streams.drained(out, "full-hours", ["event_type", "window_end"]).select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "valid_hours", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(f"WITH {SAMPLES_SQL} SELECT sample_id, round(0.5 * observed + 0.001 * balance, 6) AS prediction FROM samples")
 def udf_01_table_model(spark: SparkSession, d: str) -> DataFrame:
     """Any predict(frame) over a wide table, batch by batch; refused as a whole if a feature isn't finite."""
     rows = samples(spark, d).select("sample_id", "observed", "balance")
@@ -154,4 +154,4 @@ def udf_01_table_model(spark: SparkSession, d: str) -> DataFrame:
         for f in frames:
             yield f[["sample_id"]].assign(prediction=0.5 * f["observed"] + 0.001 * f["balance"])
 
-    return rows.mapInPandas(predict, "sample_id long, prediction double")
+    return rows.mapInPandas(predict, "sample_id long, prediction double").select("sample_id", F.round("prediction", 6).alias("prediction"))

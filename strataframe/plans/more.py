@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import contracts, estimate, joins, metrics, splits, windows
 from ..session import load
-from ..store import new_path
 from ..sources import readers
+from ..store import new_path
 from .accuracy import LEVELS, _weights_sql
 from .registry import query
+from .screening import solar_sql
 from .temporal import events
-from .views import GRID_SQL, HOURLY_SQL, PREDICTED_SQL, SAMPLES_SQL, grid, hourly_events, predicted, samples, stations
+from .views import GRID_SQL, HOURLY_SQL, PREDICTED_SQL, SAMPLES_SQL, STATIONS_SQL, grid, hourly_events, predicted, samples, stations
 
 
 def _r(c: str, digits: int = 6):
@@ -178,13 +179,15 @@ def jn_19_same_swath(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("event_id", "acq", E.ladder([(F.col("acq").isNull(), "none"), (F.col("age_s") <= 1800, "inside")], "past").alias("swath"))
 
 
-@query(f"WITH {PREDICTED_SQL} SELECT region_id, count(*) AS rows, round(max(abs(0.75 * a + 0.25 * c - (a + 0.25 * (c - a)))), 6) AS worst FROM predicted WHERE a IS NOT NULL GROUP BY 1")
+@query(f"WITH {PREDICTED_SQL} SELECT region_id, count(*) AS rows, count(*) FILTER (WHERE sample_id % 307 = 0) AS differing, round(coalesce(max(CASE WHEN sample_id % 307 = 0 THEN (sample_id % 5 + 1) / 1e1 END), 0), 6) AS worst FROM predicted WHERE a IS NOT NULL GROUP BY 1")
 def jn_25_aligned_blend(spark: SparkSession, d: str) -> DataFrame:
-    """Saved arms aligned by id must reproduce the blend (also the replay check, AGG-34)."""
+    """Saved arms aligned by id must reproduce the blend; some of those saved do not."""
     p = predicted(spark, d).filter("a IS NOT NULL")
-    blend = p.select("sample_id", (0.75 * F.col("a") + 0.25 * F.col("c")).alias("saved"))
+    k = F.col("sample_id")
+    blend = p.select("sample_id", (0.75 * F.col("a") + 0.25 * F.col("c") + F.when(k % 307 == 0, (k % 5 + 1) / 10).otherwise(0.0)).alias("saved"))
     both = contracts.join_validated(p, blend, ["sample_id"])
-    return both.groupBy("region_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("saved") - (F.col("a") + 0.25 * (F.col("c") - F.col("a"))))), 6).alias("worst"))
+    gap = F.abs(F.col("saved") - (F.col("a") + 0.25 * (F.col("c") - F.col("a"))))
+    return both.groupBy("region_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(gap > 1e-9).alias("differing"), F.round(F.max(gap), 6).alias("worst"))
 
 
 @query("WITH c AS (SELECT l_orderkey, min(l_tax) AS t FROM lineitem GROUP BY 1) SELECT count(*) AS copies, count(*) FILTER (WHERE l_tax IS DISTINCT FROM t) AS different FROM lineitem JOIN c USING (l_orderkey)")
@@ -300,7 +303,10 @@ def sc_32_reported_shift(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, d).filter("a IS NOT NULL").select("sample_id", F.round(c("a") + (c("observed") - c("b")), 8).alias("shifted"), F.when(F.abs(c("observed") - c("b")) > 200, "background").otherwise("reported").alias("basis"))
 
 
-@query()
+_TILE_SUN = solar_sql("SELECT station_id, TIMESTAMP '2024-06-21 12:00:00' AS ts, CAST(lat AS DOUBLE) + o.i AS lat, CAST(lon AS DOUBLE) + o.j AS lon FROM stations, (SELECT unnest([{'i': 0, 'j': 0}, {'i': 2, 'j': 2}, {'i': 2, 'j': -2}, {'i': -2, 'j': 2}, {'i': -2, 'j': -2}]) AS o)", "station_id")
+
+
+@query(f"WITH {STATIONS_SQL}, {_TILE_SUN}, b AS (SELECT station_id, min(elevation) AS lo, max(elevation) AS hi FROM solar GROUP BY 1) SELECT station_id, round(lo, 4) AS least, round(hi, 4) AS most, CASE WHEN lo >= 6 THEN 'day' WHEN hi <= -6 THEN 'night' ELSE 'mixed' END AS phase FROM b")
 def sc_34_tile_phase(spark: SparkSession, d: str) -> DataFrame:
     """Solar elevation at a tile's centre and corners; the phase of its darkest and brightest."""
     at = F.to_timestamp(F.lit("2024-06-21 12:00:00"))
@@ -324,11 +330,12 @@ def srt_05_near_best(spark: SparkSession, d: str) -> DataFrame:
     return metrics.near_best(m, "mae", 3.0, [F.col("size"), F.col("region_id")]).select("region_id")
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT CAST(0 AS BIGINT) AS lost, count(*) FILTER (WHERE utc_day >= DATE '2000-01-01') AS added, CAST(0 AS BIGINT) AS changed FROM samples")
+@query(f"WITH {SAMPLES_SQL} SELECT count(*) FILTER (WHERE o AND sample_id % 101 = 0) AS lost, count(*) FILTER (WHERE NOT o AND sample_id % 101 <> 0) AS added, count(*) FILTER (WHERE o AND sample_id % 101 <> 0 AND sample_id % 103 = 0) AS changed FROM (SELECT sample_id, utc_day < DATE '2000-01-01' AS o FROM samples)")
 def set_04_preserving_append(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d)
     old = s.filter(F.col("utc_day") < F.to_date(F.lit("2000-01-01")))
-    return contracts.compare_identity(old, s, "sample_id", ["observed", "region_id"]).select("lost", "added", "changed")
+    appended = s.filter(F.col("sample_id") % 101 != 0).withColumn("observed", F.col("observed") + F.when(F.col("sample_id") % 103 == 0, 1.0).otherwise(0.0))
+    return contracts.compare_identity(old, appended, "sample_id", ["observed", "region_id"]).select("lost", "added", "changed")
 
 
 @query(f"WITH {SAMPLES_SQL} SELECT CASE WHEN year(ts) < 2000 THEN 'fit' ELSE 'evaluation' END AS target, year(ts) AS year, count(*) AS n FROM samples GROUP BY 1, 2")

@@ -296,20 +296,25 @@ def sc_14_civil_time(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local"), same.alias("unambiguous"))
 
 
-def _solar_sql() -> str:
+def solar_sql(base: str, keep: str) -> str:
+    """Steps to the solar elevation (as ``elevation``, in degrees) of a base query with ts, lat and lon."""
     r = "pi() / 180"
     steps = [
-        ("q1", "SELECT *, (epoch(ts) / 86400 + 2440587.5 - 2451545) / 36525 AS t, CAST(user_id % 120 - 60 AS DOUBLE) AS lat, CAST(user_id * 37 % 360 - 180 AS DOUBLE) AS lon FROM events"),
+        ("q0", base),
+        ("q1", "SELECT *, (epoch(ts) / 86400 + 2440587.5 - 2451545) / 36525 AS t FROM q0"),
         ("q2", f"SELECT *, (280.46646 + t * (36000.76983 + 0.0003032 * t)) % 360 AS l, (357.52911 + t * (35999.05029 - 0.0001537 * t)) * {r} AS m, 0.016708634 - t * (0.000042037 + 0.0000001267 * t) AS e, (125.04 - 1934.136 * t) * {r} AS om FROM q1"),
         ("q3", f"SELECT *, (l + sin(m) * (1.914602 - t * (0.004817 + 0.000014 * t)) + sin(2 * m) * (0.019993 - 0.000101 * t) + 0.000289 * sin(3 * m) - 0.00569 - 0.00478 * sin(om)) * {r} AS la, (23 + (26 + (21.448 - t * (46.815 + t * (0.00059 - 0.001813 * t))) / 60) / 60 + 0.00256 * cos(om)) * {r} AS ep, l * {r} AS lr FROM q2"),
         ("q4", "SELECT *, asin(sin(ep) * sin(la)) AS de, pow(tan(ep / 2), 2) AS y FROM q3"),
         ("q5", f"SELECT *, 4 / ({r}) * (y * sin(2 * lr) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * lr) - 0.5 * y * y * sin(4 * lr) - 1.25 * e * e * sin(2 * m)) AS eq FROM q4"),
         ("q6", f"SELECT *, ((((epoch(ts) % 86400) / 60 + eq + 4 * lon + 1440) % 1440) / 4 - 180) * {r} AS ha FROM q5"),
     ]
-    return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in steps) + f" SELECT event_id, round(asin(greatest(-1, least(1, sin(lat * {r}) * sin(de) + cos(lat * {r}) * cos(de) * cos(ha)))) / ({r}), 6) AS elevation FROM q6"
+    return ", ".join(f"{n} AS ({s})" for n, s in steps) + f", solar AS (SELECT {keep}, asin(greatest(-1, least(1, sin(lat * {r}) * sin(de) + cos(lat * {r}) * cos(de) * cos(ha)))) / ({r}) AS elevation FROM q6)"
 
 
-@query(_solar_sql())
+_SUN = solar_sql("SELECT *, CAST(user_id % 120 - 60 AS DOUBLE) AS lat, CAST(user_id * 37 % 360 - 180 AS DOUBLE) AS lon FROM events", "event_id")
+
+
+@query(f"WITH {_SUN} SELECT event_id, round(elevation, 6) AS elevation FROM solar")
 def sc_15_solar_elevation(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.round(E.solar_elevation(F.col("ts"), (F.col("user_id") % 120 - 60).cast("double"), (F.col("user_id") * 37 % 360 - 180).cast("double")), 6).alias("elevation"))
 

@@ -9,7 +9,7 @@ from ..functions import expr as E
 from ..operators import joins, windows
 from ..session import load
 from .registry import query
-from .views import GRID_SQL, SAMPLES_SQL, grid, samples, stations
+from .views import GRID_SQL, SAMPLES_SQL, STATIONS_SQL, grid, samples, stations
 
 
 def _r(c: str, digits: int = 6):
@@ -113,7 +113,17 @@ def sc_25_quad_geometry(spark: SparkSession, d: str) -> DataFrame:
     return q.select("s_suppkey", F.round(E.shoelace(F.col("xs"), F.col("ys")), 6).alias("area"), E.in_convex(F.col("xs"), F.col("ys"), (k % 30).cast("double"), (k % 50).cast("double")).alias("inside"))
 
 
-@query()
+def _utm_sql() -> str:
+    series = E.krueger_series()
+    radius, alpha, e = f"{series[0]:.17e}", [f"{a:.17e}" for a in series[1]], f"{series[2]:.17e}"
+    x = " + ".join(["eta", *(f"{a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    y = " + ".join(["xi", *(f"{a} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    return f"""WITH {STATIONS_SQL}, p AS (SELECT station_id, sin(radians(lat)) AS s, radians(lon - (floor((lon + 180) / 6) * 6 - 177)) AS lam FROM stations),
+t AS (SELECT *, sinh(atanh(s) - {e} * atanh({e} * s)) AS t FROM p), x AS (SELECT station_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT station_id, round(500000 + 9.996e-1 * {radius} * ({x}), 3) AS easting, round(9.996e-1 * {radius} * ({y}), 3) AS northing FROM x"""
+
+
+@query(_utm_sql())
 def sc_20_projection(spark: SparkSession, d: str) -> DataFrame:
     """Easting and northing; tested against published points."""
     zone = F.floor((F.col("lon") + 180) / 6) * 6 - 177

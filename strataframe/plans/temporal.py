@@ -157,7 +157,7 @@ def win_06_round_robin_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SAMPLES_SQL} SELECT sample_id, row_number() OVER (PARTITION BY region_id ORDER BY ts, sample_id) AS turn, region_id FROM samples")
 def win_07_turns(spark: SparkSession, d: str) -> DataFrame:
-    return windows.turns(samples(spark, d), ["region_id"], [F.col("ts"), F.col("sample_id")]).select("sample_id", F.col("turn").cast("long").alias("turn"), "region_id")
+    return windows.turns(samples(spark, d), ["region_id"], [F.col("ts"), F.col("sample_id")], span=F.to_date("ts")).select("sample_id", F.col("turn").cast("long").alias("turn"), "region_id")
 
 
 @query(f"WITH {HOURLY_SQL} SELECT a.key, strftime(a.hour, '%Y-%m-%d %H') AS hour, b.value AS lag_1, c.value AS lag_24 FROM hourly a LEFT JOIN hourly b ON b.key = a.key AND b.hour = a.hour - INTERVAL 1 HOUR LEFT JOIN hourly c ON c.key = a.key AND c.hour = a.hour - INTERVAL 24 HOUR")
