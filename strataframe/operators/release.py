@@ -24,17 +24,21 @@ def support_code(rules: Sequence[Column]) -> Column:
     return E.ladder([(F.coalesce(c, F.lit(False)), i) for i, c in enumerate(rules, 1)], 0)
 
 
-def clear_of_gaps(cells: DataFrame, row: str, col: str, good: Column, size: float, buffer: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds ``clear``: the cell and all cells whose centre is within ``buffer`` are good; a cell that isn't there is not.
+def clear_of_gaps(cells: DataFrame, row: str, col: str, good: Column, size: float, buffer: float, keys: Sequence[str] = (), absent_is_good: bool = False) -> DataFrame:
+    """Adds ``clear``: the cell and all cells whose centre is within ``buffer`` are good; a cell that isn't there is not,
+    unless ``absent_is_good``.
 
-    Good cells are spread over the offsets within the buffer and counted where they arrive, so it is one equality join.
+    Good cells (or bad ones, where absent ones are good) are spread over the offsets within the buffer and counted where they
+    arrive, so it is one equality join.
     """
     reach = int(buffer // size)
     around = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if np.hypot(i, j) * size <= buffer]
     offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around)))
-    sent = cells.filter(F.coalesce(good, F.lit(False))).select(*keys, row, col, offsets.alias("__o"))
+    ok = F.coalesce(good, F.lit(False))
+    sent = cells.filter(~ok if absent_is_good else ok).select(*keys, row, col, offsets.alias("__o"))
     count = sent.groupBy(*keys, (F.col(row) + F.col("__o.i")).alias(row), (F.col(col) + F.col("__o.j")).alias(col)).agg(F.count(F.lit(1)).alias("__n"))
-    return cells.join(count, [*keys, row, col], "left").withColumn("clear", F.coalesce(F.col("__n") == len(around), F.lit(False))).drop("__n")
+    clear = F.col("__n").isNull() if absent_is_good else F.coalesce(F.col("__n") == len(around), F.lit(False))
+    return cells.join(count, [*keys, row, col], "left").withColumn("clear", clear).drop("__n")
 
 
 def swath_gates(qc: Column, lst: Column, error: Column, view: Column, ocean: Column) -> dict[str, Column]:

@@ -99,6 +99,16 @@ def ml_01_boosted_offset(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(rows).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("observed"))).alias("mae"))
 
 
+@query()
+def ml_01_offset_from_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Trees learn the offset from the baseline, with balanced weights; the prediction is baseline plus offset."""
+    known = predicted(spark, d).filter("a IS NOT NULL").withColumn("offset", F.col("observed") - F.col("a"))
+    rows = windows.balanced_weights(known, LEVELS)
+    model = estimate.offset_pipeline(["a", "balance"], "phase", "offset", "weight", "trees", maxIter=8, maxDepth=3).fit(rows)
+    after = F.abs(F.col("a") + F.col("prediction") - F.col("observed"))
+    return model.transform(rows).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("offset")).alias("baseline_mae"), F.avg(after).alias("mae"))
+
+
 @query()
 def ml_08_group_experts(spark: SparkSession, d: str) -> DataFrame:
     rows = predicted(spark, d).withColumn("weight", F.lit(1.0))

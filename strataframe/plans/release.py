@@ -93,6 +93,21 @@ def flt_10_nodata_buffer(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("row", "col", E.first_reason(rules).alias("reason"))
 
 
+_SOURCES = ("313", "314", "315", "322", "335", "343", "344", "346", "220", "221", "222", "223", "347", "348", "345", "382")
+_VARIABLES = ("temperature", "relative_humidity", "wind_speed")
+_CODED = {"variable": f"element_at(array({', '.join(map(repr, _VARIABLES))}), CAST(l_linenumber % 3 AS INT) + 1)", "source": f"element_at(array({', '.join(map(repr, _SOURCES))}), CAST(l_suppkey % 16 AS INT) + 1)", "code": "CASE WHEN l_partkey % 11 = 10 THEN ' ' ELSE CAST(l_partkey % 11 AS STRING) END"}
+_CODED_SQL = {k: v.replace("array(", "list_value(").replace("element_at(", "list_extract(").replace("STRING", "VARCHAR") for k, v in _CODED.items()}
+_PASS_SQL = " OR ".join(f"(source IN {s if len(s) > 1 else f'({s[0]!r})'} AND code IN {c if len(c) > 1 else f'({c[0]!r})'}{f' AND variable IN {v}' if v else ''})" for s, v, c in readers.PASSING_CODES)
+
+
+@query(f"WITH r AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _CODED_SQL.items())} FROM lineitem) SELECT variable, source, trim(code) AS code, trim(code) = '' OR {_PASS_SQL} AS usable, count(*) AS n FROM r GROUP BY ALL")
+def flt_11_code_whitelist(spark: SparkSession, d: str) -> DataFrame:
+    """Quality codes by source and variable."""
+    r = load(spark, d, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in _CODED.items()))
+    usable = readers.quality_usable(F.col("variable"), F.col("code"), F.col("source"))
+    return r.groupBy("variable", "source", F.trim("code").alias("code"), usable.alias("usable")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _NEW_RULES = (("lst IS NOT NULL", "not_admitted"), ("screened", "no_source_screen"), ("fit_support", "no_fit_support"), ("length(digest) = 64", "no_source_digest"), ("year(ts) IN (1996, 1997, 1998)", "outside_years"), ("surface <> '5-LOW'", "not_a_fine_label"), ("a IS NOT NULL AND balance IS NOT NULL AND light <> 'twilight'", "incomplete_predictors"), ("NOT in_buffer", "holdout_buffer"))
 
 
@@ -304,6 +319,18 @@ def spl_09_block_partitions(spark: SparkSession, d: str) -> DataFrame:
     return release.block_partitions(pts, "ts", "x", "y", (200, 300, 400, 500), 50, 1996).select("sample_id", "train", "development", "calibration", "test", "spatial_test")
 
 
+_HELD = "(row // 10 + 2 * (col // 10)) % 5 = 0"
+
+
+@query(f"WITH {GRID_SQL}, h AS (SELECT *, {_HELD} AS held FROM grid), near AS (SELECT DISTINCT a.row, a.col FROM h a JOIN h b ON b.held AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) * 100 <= 200) SELECT h.row, h.col, CASE WHEN held THEN 'holdout' WHEN near.row IS NOT NULL THEN 'buffer' WHEN h.row % 10 = 0 OR h.col % 10 = 0 THEN 'boundary' ELSE 'fit_safe' END AS part FROM h LEFT JOIN near ON near.row = h.row AND near.col = h.col")
+def spl_10_buffered_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Held blocks, cells within 200 m of one, cells at a block's edge, and the rest."""
+    held = F.expr("(row div 10 + 2 * (col div 10)) % 5 = 0")
+    cells = release.clear_of_gaps(grid(spark, d).withColumn("held", held), "row", "col", ~F.col("held"), 100.0, 200.0, absent_is_good=True)
+    edge = (F.col("row") % 10 == 0) | (F.col("col") % 10 == 0)
+    return cells.select("row", "col", E.ladder([(F.col("held"), "holdout"), (~F.col("clear"), "buffer"), (edge, "boundary")], "fit_safe").alias("part"))
+
+
 @query(f"""WITH {SAMPLES_SQL}, g AS (SELECT DISTINCT region_id, CAST(utc_day AS VARCHAR) AS date, phase FROM samples) SELECT region_id, date, phase, CASE WHEN region_id < 'NATION_2' THEN 'original' ELSE 'catalogue' END AS family,
 CASE WHEN region_id = 'NATION_1' THEN 'original_reference' WHEN region_id < 'NATION_2' THEN 'original_development' WHEN region_id < 'NATION_7' THEN 'new_development' ELSE 'reserved_new_geography' END AS geography_role, region_id || '|' || date || '|' || phase AS group_id FROM g""")
 def spl_07_registry_roles(spark: SparkSession, d: str) -> DataFrame:

@@ -25,15 +25,21 @@ def strings_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFra
     return spark.read.csv(path, header=True, sep=separator, inferSchema=False, nullValue="\u0000", emptyValue="").na.fill("")
 
 
-#: Fixed: quality codes that pass, by kind of source.
-PASSING_ISD = ("0", "1", "4", "5", "9")
+#: Fixed: what the archive documents. Of these sources these codes pass, for the variables named or for all; no other code does.
+PASSING_CODES = (
+    (("313", "314", "315", "322", "335", "343", "344", "346"), None, ("0", "1", "4", "5", "9")),
+    (("220", "221", "222", "223", "347", "348"), None, ("1",)),
+    (("345",), ("relative_humidity", "wind_speed"), ("0",)),
+)
 
 
-def quality_usable(variable: Column, quality: Column, source: Column, *, first: Sequence[str] = ("313", "314", "315", "322", "335", "343", "344", "346"), second: Sequence[str] = ("220", "221", "222", "223", "347", "348")) -> Column:
-    """A blank code is usable; sources of the first kind pass codes 0, 1, 4, 5 and 9, those of the second only 1, source 345
-    passes 0 for humidity and wind; any other code of any other source is not usable."""
+def quality_usable(variable: Column, quality: Column, source: Column) -> Column:
+    """Whether a reading counts: its code is blank or passes by ``PASSING_CODES``."""
     q, s = F.trim(quality), F.trim(source)
-    return F.when(q == "", True).when(s.isin(*first), q.isin(*PASSING_ISD)).when(s.isin(*second), q == "1").when((s == "345") & variable.isin("relative_humidity", "wind_speed"), q == "0").otherwise(False)
+    passing = F.lit(False)
+    for sources, variables, codes in PASSING_CODES:
+        passing = passing | (s.isin(*sources) & q.isin(*codes) & (variable.isin(*variables) if variables else F.lit(True)))
+    return (q == "") | passing
 
 
 def station_long(wide: DataFrame, variables: Sequence[str], station: str = "STATION", date: str = "DATE", sentinels: Sequence[str] = ("9999", "99999", "999.9", "")) -> DataFrame:
