@@ -184,9 +184,22 @@ def jn_03_nearest_station_asof(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.substring_index("station", ":", -1).alias("station"), _r("station_km"), _r("age_minutes", 4), _r("air"), "source")
 
 
-@query()
+_PAIR = "s_suppkey, dx, dy, row, col"
+_OVERLAY_SQL = f"""WITH {GRID_SQL}, q AS (SELECT s_suppkey, s_suppkey * 37 % 4500 * 1e0 AS x0, s_suppkey * 53 % 3500 * 1e0 AS y0, s_suppkey % 50 AS k FROM supplier),
+m AS (SELECT s_suppkey, o.dx AS dx, o.dy AS dy, [x0 + o.dx, x0 + 400 + o.dx, x0 + 430 + o.dx, x0 - 60 + o.dx] AS xs, [y0 + o.dy, y0 + 30 + k + o.dy, y0 + 360 + o.dy, y0 + 290 + o.dy] AS ys FROM q, (SELECT unnest([{{'dx': 0e0, 'dy': 0e0}}, {{'dx': 9e1, 'dy': 0e0}}, {{'dx': 0e0, 'dy': -9e1}}]) AS o)),
+a AS (SELECT *, abs(xs[1] * ys[2] - xs[2] * ys[1] + xs[2] * ys[3] - xs[3] * ys[2] + xs[3] * ys[4] - xs[4] * ys[3] + xs[4] * ys[1] - xs[1] * ys[4]) / 2 AS area, list_min(xs) AS mn, list_max(xs) AS mx FROM m),
+p AS (SELECT a.*, row, col, value, size > 10 AS ok, x - 50 AS l, x + 50 AS r, y - 50 AS b, y + 50 AS t FROM a JOIN grid ON x + 50 > mn AND x - 50 < mx AND y + 50 > list_min(ys) AND y - 50 < list_max(ys)),
+e AS (SELECT {_PAIR}, l, r, b, t, mn, mx, xs[i] AS ax, ys[i] AS ay, xs[i % 4 + 1] AS bx, ys[i % 4 + 1] AS dy2 FROM p, (SELECT unnest([1, 2, 3, 4]) AS i)),
+k AS (SELECT DISTINCT {_PAIR}, greatest(l, mn, least(r, mx, v)) AS v FROM (SELECT *, unnest([l, r, ax, CASE WHEN dy2 <> ay THEN ax + (b - ay) / (dy2 - ay) * (bx - ax) END, CASE WHEN dy2 <> ay THEN ax + (t - ay) / (dy2 - ay) * (bx - ax) END]) AS v FROM e) WHERE v IS NOT NULL),
+h AS (SELECT {_PAIR}, v, greatest(0, least(max(t), max(ay + (v - ax) / (bx - ax) * (dy2 - ay))) - greatest(max(b), min(ay + (v - ax) / (bx - ax) * (dy2 - ay)))) AS h FROM k JOIN e USING ({_PAIR}) WHERE v BETWEEN least(ax, bx) AND greatest(ax, bx) GROUP BY {_PAIR}, v),
+s AS (SELECT {_PAIR}, (lead(v) OVER n - v) * (h + lead(h) OVER n) / 2 AS part FROM h WINDOW n AS (PARTITION BY {_PAIR} ORDER BY v)), w AS (SELECT {_PAIR}, sum(part) AS w FROM s GROUP BY {_PAIR} HAVING sum(part) > 1e-9)
+SELECT s_suppkey, dx, dy, round(sum(w * value) FILTER (WHERE ok) / sum(w) FILTER (WHERE ok), 6) AS mean, round(coalesce(sum(w) FILTER (WHERE ok), 0) / max(area), 6) AS valid_fraction, count(*) FILTER (WHERE ok) AS cells FROM w JOIN p USING ({_PAIR}) GROUP BY 1, 2, 3"""
+
+
+@query(_OVERLAY_SQL)
 def jn_18_polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """Convex quadrilaterals over the grid, as given and shifted; tested against exact areas."""
+    """Convex quadrilaterals over the grid, as given and shifted. The SQL integrates the height in common between the places
+    where it bends."""
     k = F.col("s_suppkey")
     x0, y0 = (k * 37 % 4500).cast("double"), (k * 53 % 3500).cast("double")
     quads = load(spark, d, "supplier").select("s_suppkey", F.array(x0, x0 + 400, x0 + 430, x0 - 60).alias("xs"), F.array(y0, y0 + 30 + k % 50, y0 + 360, y0 + 290).alias("ys"))

@@ -118,3 +118,21 @@ def test_order_statistics_without_sorting_a_key(spark):
     for share in (0.0, 0.1, 0.5, 0.9, 1.0):
         q = {r.key: r.q for r in metrics.quantile(df, ["key"], F.col("v"), share, "q").collect()}
         assert q["k"] == pytest.approx(np.quantile(values, share)) and q["one"] == 2.0 and q["none"] is None
+
+
+def test_full_windows_need_different_hours(spark):
+    from strataframe.streaming import streams
+
+    rows = [("a", f"2024-01-01 00:{m:02d}:00", 1.0) for m in range(6)] + [("b", f"2024-01-01 {h:02d}:30:00", 2.0) for h in range(6)] + [("b", "2024-01-01 02:45:00", 3.0), ("c", "2024-01-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "key string, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
+    got = {(r.key, r.window_end.hour): (r.valid_hours, r.total) for r in streams.full_hours(df, "key", "ts", "v", 6).collect()}
+    assert got["a", 6] == (1, None) and got["b", 6] == (6, 15.0) and got["b", 5] == (5, None) and got["c", 6] == (0, None)
+
+
+def test_places_in_a_queue_by_spans(spark):
+    from strataframe.operators import windows
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(str(q), int(t), i) for i, (q, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 40, 200)))] + [(None, 1, 999)], "q string, t int, id int")
+    whole, cut = (sorted(map(tuple, windows.turns(df, ["q"], [F.col("t"), F.col("id")], span=s).select("id", "turn").collect())) for s in (None, F.floor(F.col("t") / 7)))
+    assert whole == cut
