@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .store import written
+from .tokens import bounded_batches
 
 #: Bits of a number from ``monotonically_increasing_id`` that count rows inside a partition.
 RANK_BITS = 33
@@ -159,6 +160,7 @@ def latest_units(asked: DataFrame, offered: DataFrame, broadcast_rows: int = 1_0
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, clean, n_quotes, reply_to (turn; null: none), linked (by a quote), branch_depth, reply_order
     (from 1 in each conversation), links (level and turn of each level that has a link, shallowest first)."""
+    bounded_batches(messages.sparkSession)
     base = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     # all messages in one order, in ranges of bounded size: rows that are equal throughout are told apart by a number
     order = ["conv_id", "turn", "role", "text_hash", "tie"]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import U64, blocks, mix, ngrams, release, shingle_sets
+from .tokens import U64, blocks, bounded_batches, mix, ngrams, release, shingle_sets
 
 BITS = 14
 
@@ -323,6 +323,7 @@ def rest_pairs(shared: DataFrame, keyed: Keyed, found: DataFrame, classes: DataF
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     form = layout(percent)
     signed = written(signatures(docs, id_col, text_col, width, form), "signatures")
     usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import release, text_buffers
+from .tokens import bounded_batches, release, text_buffers
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
 TAIL = WIDTHS[-1] - 1
@@ -142,6 +142,7 @@ def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 9
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, steps: int = 300) -> Model | None:
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     examples = sample(rows, per_lang)
     return train(examples, steps=steps) if examples else None
@@ -176,6 +177,7 @@ def has_letter(text: str) -> bool:
 
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 18) -> DataFrame:
     """The columns of ``docs`` that hold id and text, then lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

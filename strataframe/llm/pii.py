@@ -25,12 +25,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .tokens import release
+from .tokens import bounded_batches, release
 
+#: Texts of a batch that are held as strings at once.
+SLICE = 512
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url_user", "ip6", "iban", "account")
 ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *ADDED_KINDS))}
@@ -287,7 +288,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, max(1, whole.num_rows), SLICE)):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, added = find(text or "")
@@ -298,6 +299,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -315,13 +317,17 @@ def redact_text(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(texts):
-    out = texts.map(lambda t: t if t is None else redact_text(t))
-    release()
-    return out
-
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows with personal data in ``text_col`` replaced; null stays null, other columns pass as they are."""
+    bounded_batches(docs.sparkSession)
 
-def redacted(text: Column) -> Column:
-    """Null stays null."""
-    return _redacted(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                texts = [t if t is None else redact_text(t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, text_col, pa.array(texts, pa.string()))
+            release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import bounded_batches
+
 
 #: Fixed: the pre-token pattern of byte-level BPE, with classes that ``pattern`` fills in.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -166,6 +168,7 @@ def frequent(docs: DataFrame, path: str, text_col: str, hot: int) -> dict[str, i
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
+    bounded_batches(docs.sparkSession)
     tier = docs.sparkSession.sparkContext.broadcast(frequent(docs, tokenizer_path, text_col, hot))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

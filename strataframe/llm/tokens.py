@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 18
@@ -54,6 +55,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+#: Bytes of texts that a batch from Spark to Python holds, about; both sides keep a few copies of it for each core.
+BATCH_BYTES = 8 << 20
+_BATCHES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes batches small unless the session sets their size itself: with texts, the usual one takes a large part of an
+    executor's memory beyond its heap."""
+    if (spark.conf.get(_BATCHES, None) or "").rstrip("b") == _DEFAULT:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Gives freed memory back to the system, so that a worker that serves many stages does not keep the peak of each."""
     pa.default_memory_pool().release_unused()
