@@ -23,30 +23,39 @@ rows once; empty tables give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import LOWER_ALNUM, U64, blocks, mix
+from .tokens import LOWER_ALNUM, U64, blocks, bounded_batches, mix, release, text_buffers
 
 #: Places of each mask that must agree. Six places over eleven at most; the first takes exact passages quickly.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 9, 10))
 BITS = 25
 #: A mask covers so many words at least; a shorter item has no seed.
 LEAST_WORDS = len(MASKS[0])
-#: Fixed: scripts without spaces between words.
-_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Fixed: scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han), and the first bytes of their characters.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
 #: Words kept on each side of a hit for the comparison; stretches grow to cover all their hits.
 AROUND = 96
 
 
-def spaced(text: Column) -> Column:
-    """The text with a space after each character of a script without spaces."""
-    return F.regexp_replace(text, f"([{_UNSPACED}])", " $1 ")
+def spaced(column: pa.Array) -> pa.Array:
+    """Texts with a space after each character of a script without spaces; texts without such characters as they are."""
+    raw, offsets = text_buffers(column)
+    rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_LEADS[raw]), "right") - 1)
+    if not len(rows):
+        return column
+    texts = column.to_pylist()
+    for i in rows:
+        texts[i] = _UNSPACED.sub(r" \1 ", texts[i])
+    return pa.array(texts, pa.large_string())
 
 
 def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
@@ -78,7 +87,7 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for block in blocks(batch.column(1), LOWER_ALNUM):
+            for block in blocks(spaced(batch.column(1)), LOWER_ALNUM):
                 for i in range(block.hi - block.lo):
                     h = block.hashes[block.ptr[i] : block.ptr[i + 1]]
                     if len(h) < LEAST_WORDS:
@@ -94,7 +103,7 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.column(0).type), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], names=["seed", "item_id", "item_at", "words"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    return benchmark.select(F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("text")).mapInArrow(run, f"seed long, item_id {kind}, item_at int, words array<long>")
+    return benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"seed long, item_id {kind}, item_at int, words array<long>")
 
 
 def bit_table(seed_rows: DataFrame) -> np.ndarray:
@@ -122,7 +131,7 @@ def stretches(docs: DataFrame, table, id_col: str, text_col: str) -> DataFrame:
         seed_type = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
         for batch in batches:
             out = [[], [], [], []]
-            for block in blocks(batch.column(1), LOWER_ALNUM):
+            for block in blocks(spaced(batch.column(1)), LOWER_ALNUM):
                 found = []
                 for salt, mask in enumerate(MASKS):
                     s = seeds(block.hashes, mask, salt)
@@ -144,9 +153,10 @@ def stretches(docs: DataFrame, table, id_col: str, text_col: str) -> DataFrame:
                     out[2].append(block.hashes[lo:hi].view(np.int64).tolist())
                     out[3].append([{"seed": int(s), "at": int(a)} for s, a in zip(seed[part], at[part] - lo, strict=True)])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], seed_type)], names=["doc_id", "start", "words", "seeds"])
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), spaced(F.col(text_col)).alias("text")).mapInArrow(run, f"doc_id {kind}, start int, words array<long>, seeds array<struct<seed: long, at: int>>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, start int, words array<long>, seeds array<struct<seed: long, at: int>>")
 
 
 def best_stretch(same: np.ndarray, min_words: int, min_share: float) -> tuple[int, int, int] | None:
@@ -173,6 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     An overlap is a run of at least ``min_words`` words, aligned without gaps, that agrees in at least ``min_share`` of its
     places and holds a seed hit; for an item with fewer words, the whole item.
     """
+    bounded_batches(docs.sparkSession)
     every = written(item_seeds(benchmark, item_col, item_text_col), "benchmark")
     words = written(every.filter(F.col("seed").isNull()).groupBy(F.col("words").alias("item_words")).agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items")), "items")
     seed_rows = every.filter(F.col("seed").isNotNull()).select("seed", "item_id", "item_at").distinct().join(words.select("item_id").distinct(), "item_id", "left_semi")
