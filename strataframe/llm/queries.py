@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, tokencount, urls
+from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, substrings, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,7 +75,8 @@ QUERIES = {
         op8_quality_rules,
         op9_language_id,
         op10_mixing,
+        op12_substring_dedup,
     )
 }
 #: For those that SQL can express at a bearable cost; the others are tested against brute force.
-ORACLE_SQL = {"op6_url_filter": urls.SQL, "op8_quality_rules": quality.SQL, "op10_mixing": mixing.SQL}
+ORACLE_SQL = {"op6_url_filter": urls.SQL, "op8_quality_rules": quality.SQL, "op10_mixing": mixing.SQL, "op12_substring_dedup": substrings.SQL}

@@ -24,7 +24,7 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _INV = pow(_BASE, -1, 2**64)
 
 
-def _table(separators: bytes, lower: bool) -> np.ndarray:
+def word_table(separators: bytes, lower: bool) -> np.ndarray:
     """Byte codes with A-Z folded when ``lower``; 0 for a separator, which no word byte has."""
     codes = _CODES.copy()
     if lower:
@@ -35,8 +35,8 @@ def _table(separators: bytes, lower: bool) -> np.ndarray:
 
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 PUNCT = bytes(b for b in range(128) if not chr(b).isalnum())
-LOWER_WORDS = _table(SPACES, lower=True)
-LOWER_ALNUM = _table(PUNCT, lower=True)
+LOWER_WORDS = word_table(SPACES, lower=True)
+LOWER_ALNUM = word_table(PUNCT, lower=True)
 
 
 def powers(base: int, n: int) -> np.ndarray:
