@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, substrings, tokencount, urls
+from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, substrings, tokencount, trie, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,7 +80,8 @@ QUERIES = {
         op9_language_id,
         op10_mixing,
         op12_substring_dedup,
+        op13_prefix_trie,
     )
 }
 #: For those that SQL can express at a bearable cost; the others are tested against brute force.
-ORACLE_SQL = {"op6_url_filter": urls.SQL, "op8_quality_rules": quality.SQL, "op10_mixing": mixing.SQL, "op12_substring_dedup": substrings.SQL}
+ORACLE_SQL = {"op6_url_filter": urls.SQL, "op8_quality_rules": quality.SQL, "op10_mixing": mixing.SQL, "op12_substring_dedup": substrings.SQL, "op13_prefix_trie": trie.SQL}
