@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, substrings, tokencount, trie, urls
+from . import chat, decontam, dedup, langid, lm, mixing, pii, quality, repair, substrings, tokencount, trie, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op8_quality_rules,
         op9_language_id,
         op10_mixing,
+        op11_structure_repair,
         op12_substring_dedup,
         op13_prefix_trie,
     )
