@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, finite
 from .windows import effective_dates
 
-#: Experts are fitted one after another, so a registry with more groups is refused.
-MOST_EXPERTS = 64
-
 
 def normal_equations(df: DataFrame, features: Sequence[Column], target: Column, weight: Column) -> tuple[np.ndarray, np.ndarray]:
     """X'WX and X'Wy in one aggregation: a row of p * (p + 3) / 2 sums comes to the driver."""
@@ -103,12 +100,4 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, pipeline) -> DataFrame:
     return out
 
 
-def grouped_fallback(df: DataFrame, group: str, eligible: Sequence[str], experts: dict[str, object], shared: object) -> DataFrame:
-    """Predictions of each group's expert where there is one, else of the shared model."""
-    out = shared.transform(df.filter(~F.col(group).isin(*eligible)) if eligible else df).select(*df.columns, F.col("prediction").alias("routed_prediction"), F.lit("shared").alias("route"))
-    for g in eligible:
-        out = out.unionByName(experts[g].transform(df.filter(F.col(group) == g)).select(*df.columns, F.col("prediction").alias("routed_prediction"), F.lit(g).alias("route")))
-    return out
-
-
-__all__ = ["effective_dates", "feature_gate", "grouped_fallback", "linear", "normal_equations", "offset_pipeline", "out_of_fold", "ridge", "scalar_shrink", "shrunk_correction", "standardised"]
+__all__ = ["effective_dates", "feature_gate", "linear", "normal_equations", "offset_pipeline", "out_of_fold", "ridge", "scalar_shrink", "shrunk_correction", "standardised"]

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import first_reason, ladder, passes
 from .contracts import ContractError
 
-MOST_FITS = 2_000
-
 
 def assign_splits(df: DataFrame, day: Column, held: Column, train_end: str, calibration_end: str) -> DataFrame:
     """Held regions first, then whole days: train and calibration periods include their last day."""
@@ -55,25 +53,6 @@ def independent_failures(df: DataFrame, rules: Sequence[tuple[Column, str]]) ->
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def fit_membership(rows: DataFrame, catalogue: DataFrame, granule: str, group: str, month_mid: str, month_start: str, month_end: str, never: Sequence[str]) -> DataFrame:
-    """(mode, key, role) membership in long form for held groups, held months and the full fit. A granule that the held
-    side touches leaves fitting as a whole; groups in ``never`` are never fitted. ``catalogue``: mode, key."""
-    fit_rows = rows.filter(~F.col(group).isin(*never)) if never else rows
-    cat = catalogue.select(F.col("mode"), F.col("key"))
-    held_group = rows.join(cat.filter("mode IN ('pilot', 'reference')"), F.col(group) == F.col("key"))
-    held_month = fit_rows.join(cat.filter("mode = 'month'"), F.col(month_mid) == F.col("key"))
-    held = held_group.unionByName(held_month).withColumn("role", F.lit("held"))
-    touch_month = rows.join(cat.filter("mode = 'month'"), (F.col(month_start) == F.col("key")) | (F.col(month_end) == F.col("key")))
-    touched = held_group.select("mode", "key", granule).union(touch_month.select("mode", "key", granule)).distinct()
-    # the catalogue is a few hundred rows by design: each fitting row is repeated for every definition it may serve
-    definitions = catalogue.limit(MOST_FITS + 1).collect()
-    if len(definitions) > MOST_FITS:
-        raise ContractError(f"a catalogue has at most {MOST_FITS} definitions of fits")
-    modes = F.array(*(F.struct(F.lit(r.mode).alias("mode"), F.lit(r.key).alias("key")) for r in definitions))
-    train = fit_rows.select("*", F.explode(modes).alias("d")).select("*", "d.mode", "d.key").drop("d").join(touched, ["mode", "key", granule], "left_anti").withColumn("role", F.lit("train"))
-    return held.unionByName(train.select(held.columns))
-
-
 def require_disjoint(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """The union of parts with their name; a key in two parts, or twice in one, is an error."""
     out = None

@@ -1,6 +1,6 @@
 """Queries over the given tables, one for each operator, registered by name."""
 
-from . import accuracy, extras, more, release, screening, spatial, temporal
+from . import accuracy, extras, more, release, screening, spatial, temporal, trials
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "accuracy", "extras", "more", "release", "screening", "spatial", "temporal"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accuracy", "extras", "more", "release", "screening", "spatial", "temporal", "trials"]

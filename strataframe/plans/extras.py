@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expr as E
 from ..operators import estimate, windows
 from ..session import load
 from ..sources import readers
@@ -85,13 +84,6 @@ def ml_02_linear_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(rows).select("sample_id", F.round("prediction", 3).alias("prediction"))
 
 
-@query()
-def ml_03_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = predicted(spark, d).withColumns({"weight": F.lit(1.0), "fold": E.month_fold(F.col("ts"), 1995).cast("int")})
-    oof = estimate.out_of_fold(rows, "fold", 3, estimate.offset_pipeline(["a", "balance"], "phase", "observed", "weight"))
-    return oof.select("sample_id", "fold", F.round("oof_prediction", 3).alias("oof_prediction"))
-
-
 @query()
 def ml_01_boosted_offset(spark: SparkSession, d: str) -> DataFrame:
     rows = windows.balanced_weights(predicted(spark, d), LEVELS)
@@ -109,17 +101,6 @@ def ml_01_offset_from_baseline(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(rows).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("offset")).alias("baseline_mae"), F.avg(after).alias("mae"))
 
 
-@query()
-def ml_08_group_experts(spark: SparkSession, d: str) -> DataFrame:
-    rows = predicted(spark, d).withColumn("weight", F.lit(1.0))
-    recipe = lambda: estimate.offset_pipeline(["a", "balance"], "product", "observed", "weight")
-    eligible = [r.phase for r in rows.groupBy("phase").agg(F.count_distinct("utc_day").alias("n")).filter("n >= 200 AND phase <> 'P'").orderBy("phase").limit(estimate.MOST_EXPERTS + 1).collect()]
-    if len(eligible) > estimate.MOST_EXPERTS:
-        raise ValueError(f"at most {estimate.MOST_EXPERTS} experts are fitted")
-    experts = {p: recipe().fit(rows.filter(F.col("phase") == p)) for p in eligible}
-    return estimate.grouped_fallback(rows, "phase", eligible, experts, recipe().fit(rows)).select("sample_id", "route", F.round("routed_prediction", 3).alias("routed_prediction"))
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema

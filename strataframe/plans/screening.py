@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import contracts, splits, windows
+from ..operators import contracts, splits, trials, windows
 from ..session import load
 from .registry import query
 from .views import PREDICTED_SQL, SAMPLES_SQL, areas, predicted, samples, stations
@@ -187,7 +187,10 @@ def spl_05_leave_out(spark: SparkSession, d: str) -> DataFrame:
     n = load(spark, d, "nation")
     one = n.filter("n_nationkey = 0")
     catalogue = n.filter("n_nationkey BETWEEN 1 AND 4").select(F.lit("pilot").alias("mode"), F.col("n_name").alias("key")).union(one.select(F.lit("month"), F.explode(F.array(F.lit("1996-03"), F.lit("1998-07"))))).union(one.select(F.lit("reference"), "n_name"))
-    return splits.fit_membership(g, catalogue, "granule", "region_id", "mid", "m0", "m1", ["NATION_0"]).groupBy("mode", "key", "role").agg(F.count(F.lit(1)).alias("n"))
+    excluded = trials.exclusions(g, catalogue, "granule", "region_id", "m0", "m1")
+    train = trials.train_counts(g.filter("region_id <> 'NATION_0'"), catalogue, excluded, "granule").select("mode", "key", F.lit("train").alias("role"), "n")
+    held = trials.held_rows(g, catalogue, "region_id", "mid", ["NATION_0"]).groupBy("mode", "key").agg(F.count(F.lit(1)).alias("n"))
+    return train.union(held.select("mode", "key", F.lit("held"), "n"))
 
 
 @query(f"WITH {SAMPLES_SQL}, c AS (SELECT acquisition_id, phase, count(DISTINCT utc_day) AS dates FROM samples GROUP BY 1, 2) SELECT sample_id, CASE WHEN dates < 2 THEN 'excluded_sparse_fit' ELSE 'fit' END AS split FROM samples JOIN c USING (acquisition_id, phase)")
