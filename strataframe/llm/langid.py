@@ -1,9 +1,9 @@
 """Language identification by a byte convolutional network.
 
 Bytes (ASCII letters case folded, other ASCII one code) are embedded; filters of widths 2, 3 and 4 pass over windows of
-fixed length; each filter's maximum over a window feeds a softmax. The network is trained in numpy on at most ``per_lang``
-labelled documents of each language (the documented bound of its sample), chosen by a hash of id and text, so reruns agree;
-all windows of their whole texts are drawn from, a document as often as another. To predict, every window of every whole
+fixed length; each filter's maximum over a window feeds a softmax. The network is trained in numpy on windows of at most
+``per_lang`` labelled documents of each language (the documented bound of its sample), chosen by a hash of id and text, so
+reruns agree; the windows may lie anywhere in their whole texts, and a document is drawn as often as another. To predict, every window of every whole
 text is scored in batches and the windows' probabilities are averaged, weighted by their letters.
 
 For prediction the embedding and the filters are multiplied out into tables by byte pair, so that a window costs two
@@ -31,6 +31,8 @@ from .tokens import bounded_batches, release, text_buffers
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
 TAIL = WIDTHS[-1] - 1
 UNKNOWN = "und"
+#: Windows of a training step.
+BATCH = 96
 CODES = np.zeros(256, np.uint8)
 CODES[65:91] = CODES[97:123] = np.arange(1, 27)
 CODES[128:] = np.arange(27, 155)
@@ -51,40 +53,59 @@ def held_out(id_column: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == 0
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of the texts (WINDOW + TAIL each, 0 beyond a text's end), and each window's text."""
+class Windows(NamedTuple):
+    """All windows of some texts, by place: where each begins, where its text ends, and whose it is."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+
+    def codes(self, raw: np.ndarray, which: slice | np.ndarray) -> np.ndarray:
+        """Codes of some of the windows (WINDOW + TAIL each, 0 beyond a text's end)."""
+        places = self.begin[which][:, None] + np.arange(WINDOW + TAIL)
+        return CODES[raw[np.minimum(places, len(raw) - 1)]] * (places < self.end[which][:, None])
+
+
+def windows(offsets: np.ndarray) -> Windows:
     counts = -(-np.diff(offsets) // WINDOW)
     owner = np.repeat(np.arange(len(counts)), counts)
-    begins = np.repeat(offsets[:-1], counts) + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
-    places = begins[:, None] + np.arange(WINDOW + TAIL)
-    codes = np.concatenate([CODES[raw], np.zeros(WINDOW + TAIL, np.uint8)])[places]
-    last = np.flatnonzero(places[:, -1] >= offsets[1:][owner])
-    codes[last] *= places[last] < offsets[1:][owner[last], None]
-    return codes, owner
+    begin = np.repeat(offsets[:-1], counts) + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+    return Windows(begin, offsets[1:][owner], owner)
 
 
-def sample(labelled: DataFrame, per_lang: int, broadcast_rows: int = 1_000_000) -> list[tuple[str, bytes]]:
-    """(language, its windows) of at most per_lang different documents of each language: those with the smallest hashes.
+def sample(labelled: DataFrame, per_lang: int, draws: int, broadcast_rows: int = 1_000_000) -> list[tuple[str, bytes]]:
+    """(language, some of its windows) of at most per_lang different documents of each language: those with the smallest hashes.
 
-    Counts by language give a bound on the hash that about twice as many documents pass, so only those are ranked."""
+    Counts by language give a bound on the hash that about twice as many documents pass, so only those are ranked. Training
+    draws ``draws`` windows, languages, documents of a language and windows of a document alike; so of a language no more than
+    its share of 2 * draws documents are taken, and of a document as many windows as its share of the draws, chosen by a hash
+    where the text is. What comes to the driver is at most 3 * draws windows and two a language, whatever the texts' length."""
     keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
-    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    per_lang = min(per_lang, -(-2 * draws // max(1, counts.count())))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.col("n"))  # identical rows pass together, and are one document
     bound = counts.select("lang", (share * 2.0**63 - 1).cast("long").alias("bound"))
     few = keyed.join(F.broadcast(bound) if bound.count() <= broadcast_rows else bound, "lang").filter(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("bound"))
     order = Window.partitionBy("lang").orderBy(F.col("key").bitwiseAND(F.lit((1 << 63) - 1)), "key")
-    chosen = few.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).drop("n")
+    chosen = few.select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
     chosen = written(chosen, "lang-sample")
-    texts = keyed.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+    documents = chosen.groupBy("lang").agg(F.max("n").alias("of"))
+    languages = max(1, documents.count())
+    chosen = chosen.join(documents, "lang").select("lang", "key", F.ceil(F.lit(draws / languages) / F.col("of")).cast("int").alias("quota"))
+    texts = keyed.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, ["lang", "key"]).dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, owner = windows(*text_buffers(batch.column(1)))
-            begin = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            out = [codes[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            raw, off = text_buffers(batch.column(1))
+            found, out = windows(off), []
+            first = np.searchsorted(found.owner, np.arange(batch.num_rows + 1))
+            for i, (key, quota) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                n = int(first[i + 1] - first[i])
+                some = np.arange(n) if n <= quota else np.sort(np.random.default_rng(key % 2**64).choice(n, quota, replace=False))
+                out.append(found.codes(raw, first[i] + some).tobytes() if n else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "windows"])
 
-    rows = texts.select("lang", "text").mapInArrow(run, "lang string, windows binary").toArrow()
+    rows = texts.select("lang", "text", "key", "quota").mapInArrow(run, "lang string, windows binary").toArrow()
     return sorted((lang, w) for lang, w in zip(rows["lang"].to_pylist(), rows["windows"].to_pylist(), strict=True) if w)
 
 
@@ -101,7 +122,7 @@ def _pooled(codes: np.ndarray, embedding: np.ndarray, filters: list[np.ndarray])
     return np.concatenate(values, axis=1), places, inputs
 
 
-def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 96, rate: float = 0.01, seed: int = 5) -> Model:
+def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = BATCH, rate: float = 0.01, seed: int = 5) -> Model:
     """Adam on cross-entropy; a batch draws languages, of each a document, and of each a window, all alike."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in examples})
@@ -144,7 +165,7 @@ def train(examples: list[tuple[str, bytes]], *, steps: int = 300, batch: int = 9
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, steps: int = 300) -> Model | None:
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    examples = sample(rows, per_lang)
+    examples = sample(rows, per_lang, steps * BATCH)
     return train(examples, steps=steps) if examples else None
 
 
@@ -175,7 +196,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 18) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2048) -> DataFrame:
     """The columns of ``docs`` that hold id and text, then lang_pred and score."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,19 +207,21 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-            lo = 0
-            while model and lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + block_bytes, "right")) - 1)
-                codes, owner = windows(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                if len(codes):
+            found = windows(off)
+            if model and len(found.owner):
+                texts, row = np.unique(found.owner, return_inverse=True)
+                sums, weights, plain = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+                for lo in range(0, len(row), at_once):
+                    codes, part = found.codes(raw, slice(lo, lo + at_once)), row[lo : lo + at_once]
                     weight = (codes[:, :WINDOW] != 0).sum(axis=1).astype(np.float64) + 1e-9
-                    sums = np.add.reduceat(probabilities(model, tables, codes) * weight[:, None], first := np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
-                    means = sums / np.add.reduceat(weight, first)[:, None]
-                    plain = np.add.reduceat(((codes[:, :WINDOW] > 0) & (codes[:, :WINDOW] < 27)).sum(axis=1), first)
-                    for i, best, p, n in zip(owner[first], means.argmax(axis=1), means.max(axis=1), plain, strict=True):
-                        if n or has_letter(batch.column(1)[int(lo + i)].as_py()):
-                            langs[lo + i], scores[lo + i] = model.langs[best], float(min(1.0, p))
-                lo = hi
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    sums[part[first]] += np.add.reduceat(probabilities(model, tables, codes) * weight[:, None], first, axis=0)
+                    weights[part[first]] += np.add.reduceat(weight, first)
+                    plain[part[first]] += np.add.reduceat(((codes[:, :WINDOW] > 0) & (codes[:, :WINDOW] < 27)).sum(axis=1), first)
+                means = sums / weights[:, None]
+                for i, best, p, n in zip(texts.tolist(), means.argmax(axis=1), means.max(axis=1), plain, strict=True):
+                    if n or has_letter(batch.column(1)[i].as_py()):
+                        langs[i], scores[i] = model.langs[best], float(min(1.0, p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
             release()
 

@@ -366,6 +366,20 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_rows_without_an_id_or_with_the_same_one(spark, monkeypatch):
+    """They are spread by their texts; equal rows are one row with a count, and come out as often as they go in."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, f"w{i} " * (i % 9), "en", "a") for i in range(2000)] + [(5, "same words here", "en", "a")] * 1500 + [(i, "x y", "en", "b") for i in range(100)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t.split())) for i, t, *_ in rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.target].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(by) == 2 and all(sum(r.taken for r in docs) == pytest.approx(target, abs=1) for target, docs in by.items())
+    assert len({r.taken for r in got if r.doc_id == 5}) <= 3  # before, at and after the cut
+
+
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}

@@ -24,19 +24,42 @@ def test_every_language_is_learned_and_reruns_agree(spark):
 
 
 def test_the_sample_is_bounded_and_covers_whole_texts(spark):
-    """Copies of one row count once, and the windows of a chosen text are all there."""
+    """Copies of one row count once, and the windows of a chosen text are all there where the draws would reach them."""
     rows = [(i, f"text number {i} " * 30, "en", "s") for i in range(300)] + [(7, "the same row " * 30, "en", "s")] * 200 + [(1000, "short", "de", "s")]
-    got = langid.sample(frame(spark, rows).select("doc_id", "text", "lang"), 20)
+    got = langid.sample(frame(spark, rows).select("doc_id", "text", "lang"), 20, 400)
     assert sum(lang == "en" for lang, _ in got) == 20 and ("de", 1) in {(lang, len(w) // (langid.WINDOW + langid.TAIL)) for lang, w in got}
     assert all(len(w) // (langid.WINDOW + langid.TAIL) >= 3 for lang, w in got if lang == "en")
 
 
+def test_what_the_driver_gets_does_not_grow_with_texts_or_languages(spark):
+    draws, size = 500, langid.WINDOW + langid.TAIL
+    rows = [(1000 * k + i, f"{k} {i} " * 60_000 if i == 0 else f"{k} word{i} " * 40, f"l{k}", "s") for k in range(60) for i in range(30)]
+    got = langid.sample(frame(spark, rows).select("doc_id", "text", "lang"), 400, draws)
+    assert {lang for lang, _ in got} == {f"l{k}" for k in range(60)} and sum(len(w) // size for _, w in got) <= 3 * draws
+    long = [(1, "a word of the long one " * 50_000, "en", "s"), (2, "ein Wort und noch eines", "de", "s")]
+    ends = langid.sample(frame(spark, long).select("doc_id", "text", "lang"), 10, 100)
+    assert sorted((lang, len(w) // size) for lang, w in ends) == [("de", 1), ("en", 50)]
+
+
+def test_a_very_long_text_is_predicted_in_bounded_memory():
+    """Windows of a text of 100 MB are known by place, and their codes made a part at a time."""
+    import resource
+
+    raw = np.frombuffer(b"some words of a text " * 5_000_000, np.uint8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = langid.windows(np.array([0, len(raw)]))
+    total = sum(int(found.codes(raw, slice(lo, lo + 2048)).astype(bool).sum()) for lo in range(0, len(found.owner), 2048))
+    assert total >= 80_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 def test_pair_tables_give_the_plain_convolution():
     rng = np.random.default_rng(3)
     total = langid.FILTERS * len(langid.WIDTHS)
     model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.N_CODES, langid.EMBED)), [rng.normal(size=(w * langid.EMBED, langid.FILTERS)) for w in langid.WIDTHS], rng.normal(size=total), rng.normal(size=(total, 3)) / 8, rng.normal(size=3))
     texts = ["", "a", "Some WORDS in Ünïcode " * 12, "x" * langid.WINDOW, "日本語テキスト" * 30]
-    codes, owner = langid.windows(*langid.text_buffers(pa.array(texts)))
+    raw, offsets = langid.text_buffers(pa.array(texts))
+    found = langid.windows(offsets)
+    codes, owner = found.codes(raw, slice(None)), found.owner
     got = langid.probabilities(model, langid.pair_tables(model), codes)
     place = 0
     for k, text in enumerate(texts):
