@@ -23,12 +23,24 @@ from strataframe.llm.store import written
 MIN_LANGUAGE_SCORE = 0.35
 #: Near copies have at least this percentage of their five-word shingles in common.
 NEAR_PERCENT = 80
-KEY = "__row_key__"
+#: The column that tells rows apart, and what is put before its name while a table has a column of that name.
+KEY, MORE = "__row_key__", "_"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With a 64-bit hash of all of a row's values, nulls told apart."""
-    return docs.withColumn(KEY, F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+    """With 128 bits of a hash of all of a row's values, nulls told apart. A column of the key's name gets another one."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    key = F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(k), *values)) for k in (0, 1)))
+    aside = KEY
+    while aside in docs.columns:
+        aside = MORE + aside
+    return docs.select(*(F.col(f"`{c}`").alias(aside if c == KEY else c) for c in docs.columns), key.alias(KEY))
+
+
+def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs of rows that were keyed."""
+    names = dict(zip((c for c in rows.columns if c != KEY), docs.columns, strict=True))
+    return rows.select(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
 
 
 def _few(rows: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -46,7 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
     rows = _keyed(docs)
     found = langid.identify(rows, id_col=KEY).filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return _without(rows, found.select(F.col("doc_id").alias(KEY)).distinct()).select(docs.columns)
+    return _without(rows, found.select(F.col("doc_id").alias(KEY)).distinct()).transform(_as_before, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,19 +71,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("first"))
     kept = _without(rows, members.join(_few(first), "component_id").filter(F.col(KEY) != F.col("first")).select(KEY))
     again = _few(found.groupBy(KEY).count().filter("count > 1").select(KEY))
-    return kept.join(again, KEY, "left_anti").union(kept.join(again, KEY, "left_semi").dropDuplicates([KEY])).select(docs.columns)
+    return kept.join(again, KEY, "left_anti").union(kept.join(again, KEY, "left_semi").dropDuplicates([KEY])).transform(_as_before, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(docs)
-    return _without(rows, decontam.decontaminate(rows, benchmark, id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()).select(docs.columns)
+    return _without(rows, decontam.decontaminate(rows, benchmark, id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()).transform(_as_before, docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    return pii.redacted(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
+    rows = pii.redacted(docs)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

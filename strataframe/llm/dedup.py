@@ -5,7 +5,8 @@ of a minimum hash. Two signatures that differ in at most ``distance`` symbols ha
 with at most one difference; each chunk is therefore indexed with every one of its symbols left out, and the equality join
 of these keys finds every pair under the signature distance. Pairs are confirmed on the full sets.
 
-Work is done on different texts only: documents with equal sets are one class from the start, named by the hash of its set.
+Work is done on different texts only: documents with equal sets are one class from the start, known by 128 bits of its set
+and numbered when the classes are written.
 Keys that more than ``SIDE`` classes share are told to all tasks if they are counted to be few enough, so that their members
 stay where they are; only those of other keys are shuffled by key. Within a key, members are
 first compared with one member, the key's centre (the one that shares most keys, so the original of a family of copies),
@@ -14,13 +15,16 @@ members outside its largest component are compared with all members in blocks of
 no further link have been ruled out by what they share (see ``rest_pairs``); only pairs under the signature distance leave
 a block. So no link is lost, and a family of copies costs its size, not its square.
 
+A pair is joined with its second side first, so that the original of a large family comes in last and is not moved once for
+each of its copies; adaptive execution splits such a family's rows.
+
 Components come from alternating rounds of hooking to the smallest neighbour until nothing changes; links stay
 distributed, and each round's result is written to the shared folder.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component; fewer than five words are one shingle; repeated rows come out as often as they go in, each with its document's
-component; texts that share a doc_id are linked; rows with a null doc_id are kept, with null as component; an empty table
-gives an empty result; extra columns are ignored.
+component; texts that share a doc_id are not linked by it, the smallest doc_id of a component only names it; rows with a null
+doc_id are kept, with null as component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,6 +63,8 @@ class Layout(NamedTuple):
 LAYOUTS = {85: Layout(10, 5), 80: Layout(12, 4)}
 CHUNKS, WIDTH = LAYOUTS[85]
 SYMBOLS, DISTANCE = LAYOUTS[85].symbols, LAYOUTS[85].distance
+#: Columns of 128-bit keys: of a row, and of a set of shingles.
+ROW, SET = ["row_a", "row_b"], ["set_a", "set_b"]
 #: A shingle that at most so many of the texts in question have is rare.
 RARE = 64
 #: Members of a key on one side of a comparison of blocks.
@@ -93,12 +99,13 @@ def _segments(block, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, form: Layout = LAYOUTS[85]) -> DataFrame:
-    """doc_id, row (a hash of id and text), n_shingles, set_hash (null for an empty set), signature (binary, two bytes a symbol)."""
+    """doc_id, row_a and row_b (hashes of id and text), n_shingles, set_a and set_b (of its set; null for an empty one), signature
+    (binary, two bytes a symbol)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, signs = [], [], []
-            for block in blocks(batch.column(2)):
+            n, prints, signs = [], ([], []), []
+            for block in blocks(batch.column(3)):
                 grams, begins = _segments(block, width)
                 ends = np.append(begins[1:], len(grams))
                 full = np.flatnonzero(ends > begins)
@@ -110,17 +117,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5, form
                 for i, (a, b) in enumerate(zip(begins, ends, strict=True)):
                     distinct = np.unique(grams[a:b])
                     n.append(len(distinct))
-                    prints.append(int(np.bitwise_xor.reduce(mix(distinct + U64(len(distinct)))).view(np.int64)) if len(distinct) else None)
+                    for k, out in enumerate(prints):  # two sums over hashes that are mixed in two ways
+                        out.append(int(mix(distinct * _MULTIPLY[k] + _ADD[k]).sum(dtype=U64).view(np.int64)) if len(distinct) else None)
                 signs += [row.tobytes() for row in symbols]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "row", "n_shingles", "set_hash", "signature"])
+            columns = [*batch.columns[:3], pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in prints), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *ROW, "n_shingles", *SET, "signature"])
             release()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, set_hash long, signature binary")
+    return docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, row_a long, row_b long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)).alias(name) for k, name in enumerate(ROW)]
 
 
 class Keyed(NamedTuple):
@@ -180,14 +189,14 @@ def near(pairs: DataFrame, classes: DataFrame, form: Layout = LAYOUTS[85]) -> Da
 
     of = {c: classes.select(F.col("id").alias(c), F.col("signature").alias(f"{c}_signature")) for c in "ab"}
     kind = classes.schema["id"].dataType.simpleString()
-    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_signature", "b_signature").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", "a_signature", "b_signature").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, broadcast_rows: int) -> DataFrame:
     """Those of the pairs (a, b) with 100 * common >= percent * union on their full sets. Only documents in a pair are
     shuffled; which they are is broadcast if counted to be few enough, else joined by key."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = written(ids.join(classes.select("id", "row"), "id"), "pair-ids")
+    ids = written(ids.join(classes.select("id", *ROW), "id"), "pair-ids")
     texts = written(few_texts(docs, ids, broadcast_rows), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +220,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     of = {c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab"}
-    return pairs.join(of["a"], "a").join(of["b"], "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -221,6 +230,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")) if large else both.groupBy("a").agg(F.min("b").alias("least"))
+        least = written(least, "least")  # so that both sides are shuffled for the join, and a hub's links can be split there
         joined = both.join(least, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -245,7 +255,7 @@ def few_texts(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame
     """id, text of each of the written ids, from its class's own row; these are broadcast if counted to be few enough, else
     joined by key."""
     few = ids.count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "row").dropDuplicates(["id"]).select("id", "text")
+    return docs.join(F.broadcast(ids) if few else ids, ROW).dropDuplicates(["id"]).select("id", "text")
 
 
 def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -276,7 +286,7 @@ def rest_pairs(shared: DataFrame, keyed: Keyed, found: DataFrame, classes: DataF
         return sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members")).filter("parts > 1").drop("parts")
 
     members = written(keyed.join(placed, several(placed).select("key")), "mixed-keys")
-    ids = written(members.select("id").distinct().join(classes.select("id", "row"), "id"), "mixed-ids")
+    ids = written(members.select("id").distinct().join(classes.select("id", *ROW), "id"), "mixed-ids")
     rows = written(shingle_rows(few_texts(docs, ids, broadcast_rows), width), "shingles")
     counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter(F.col("n") <= RARE), "rare-shingles")
     rare = written(rows.join(counts.filter("n > 1").select("shingle"), "shingle"), "rare-rows")
@@ -326,10 +336,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bounded_batches(docs.sparkSession)
     form = layout(percent)
     signed = written(signatures(docs, id_col, text_col, width, form), "signatures")
-    usable = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    grouped = usable.groupBy(F.col("set_hash").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "n_shingles", "signature")).alias("first"))
-    classes = written(grouped.select("id", "doc_id", "first.*"), "classes")
-    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    usable = signed.filter(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
+    grouped = usable.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*ROW, "n_shingles", "signature")).alias("first"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *SET, "doc_id", "first.*"), "classes")
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 
     keys = chunk_keys(classes, form)
     counts = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key-counts")
@@ -346,9 +356,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     centre = written(ranked.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("centre")))["centre"].alias("centre")), "centres")
     pairs = keyed.join(shared.select("key", "id", "n"), centre).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(written(near(pairs, classes, form), "near"), classes, texts, percent, width, broadcast_rows), "confirmed")
-    # texts that share a doc_id are linked through it
-    by_doc = usable.groupBy("doc_id").agg(F.min("set_hash").alias("b"), F.max("set_hash").alias("other")).filter("b <> other").select("doc_id", "b")
-    links = links.union(written(usable.join(by_doc, "doc_id").select(F.col("set_hash").alias("a"), "b").filter("a <> b").distinct(), "same-id"))
     found = written(components(links), "components")
     more = written(rest_pairs(shared, keyed, found, classes, texts, percent, width, broadcast_rows, form), "rest")
     if not more.isEmpty():
@@ -358,7 +365,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # a component is named by the smallest document of all its classes
     linked = written(classes.select("id", "doc_id").join(found, "id"), "linked")
     names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
-    named = classes.select("id", "doc_id").join(linked.join(names, "component").select("id", "name"), "id", "left").select(F.col("id").alias("set_hash"), F.coalesce("name", "doc_id").alias("component_id"))
-    known = usable.select("doc_id", "set_hash", "n_shingles").join(named, "set_hash").select("doc_id", "n_shingles", "component_id")
-    rest = signed.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.select("id", *SET, "doc_id").join(linked.join(names, "component").select("id", "name"), "id", "left").select(*SET, F.coalesce("name", "doc_id").alias("component_id"))
+    known = usable.select("doc_id", *SET, "n_shingles").join(written(named, "named"), SET).select("doc_id", "n_shingles", "component_id")
+    rest = signed.filter(F.col("set_a").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -323,11 +323,12 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
                 texts = [t if t is None else redact_text(t) for t in part.column(at).to_pylist()]
-                yield part.set_column(at, text_col, pa.array(texts, pa.string()))
+                yield part.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
             release()
 
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index(text_col)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name may hold a dot
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -42,8 +42,9 @@ def test_contaminated_row_without_id_goes(spark):
 def test_empty_tables_and_clashing_columns(spark):
     """Each stage keeps the columns it got, whatever their names, and an empty table stays empty."""
     rows = frame(spark, [(1, "some words of a text that is long enough for a language to be told"), (2, "zwei Worte und noch einige mehr, damit die Sprache erkennbar ist")])
-    for docs in (rows.limit(0), rows.withColumns({c: F.lit(1) for c in ("row", "id", "key", "component_id", "size", "set_hash", "spans")})):
+    for docs in (rows.limit(0), rows.withColumns({c: F.lit(1) for c in ("row", "id", "key", "component_id", "size", "set_a", "row_a", "spans", "__row_key__", "___row_key__")}), rows.drop("n_chars").withColumn("a.b", F.lit(2))):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
             assert out.count() <= docs.count()
             assert name == "mixing" or out.columns == docs.columns
+            assert name == "mixing" or "__row_key__" not in docs.columns or {r["__row_key__"] for r in out.collect()} <= {1}
