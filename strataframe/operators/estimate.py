@@ -53,6 +53,22 @@ def shrunk_correction(raw: Column, supported: Column, shrink: float, cap: float)
     return F.when(F.coalesce(supported, F.lit(False)), clip(raw * shrink, -cap, cap)).otherwise(0.0)
 
 
+def gated_correction(df: DataFrame, active: Column, terms: Sequence[Column], residual: Column, *, alpha: float, cap: float) -> Column:
+    """A ridge of the residual on standardised terms, fitted on active rows, as a column: clipped to the cap where active, 0
+    elsewhere. Two aggregations over the active rows; the intercept is not penalised. A row of which a term or the residual
+    isn't finite is not fitted; its correction is 0 unless its terms are known. Without a row to fit there is no correction."""
+    known = F.lit(True)
+    for t in terms:
+        known = known & finite(t.cast("double"))
+    fitted = df.filter(active & known & finite(residual.cast("double")))
+    row = fitted.agg(F.avg(residual).alias("base"), *(x for k, t in enumerate(terms) for x in (F.avg(t).alias(f"u{k}"), F.stddev_pop(t).alias(f"s{k}")))).first()
+    if row["base"] is None:
+        return F.lit(0.0)
+    scaled = [(t - row[f"u{k}"]) / max(row[f"s{k}"], 1e-8) for k, t in enumerate(terms)]
+    raw = linear(scaled, ridge(fitted, scaled, residual - row["base"], F.lit(1.0), alpha)) + row["base"]
+    return F.when(F.coalesce(active & known, F.lit(False)), clip(raw, -cap, cap)).otherwise(0.0)
+
+
 def scalar_shrink(df: DataFrame, keys: Sequence[str], weight: str, difference: Column, error: Column, date: str, regularisation: float = 20.0, min_dates: int = 6) -> DataFrame:
     """gamma = N * sum(w d e) / (N * sum(w d d) + regularisation) within [0, 1], N the effective dates of each group's
     normalised weights; 0 with too few dates."""
@@ -100,4 +116,4 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, pipeline) -> DataFrame:
     return out
 
 
-__all__ = ["effective_dates", "feature_gate", "linear", "normal_equations", "offset_pipeline", "out_of_fold", "ridge", "scalar_shrink", "shrunk_correction", "standardised"]
+__all__ = ["effective_dates", "feature_gate", "gated_correction", "linear", "normal_equations", "offset_pipeline", "out_of_fold", "ridge", "scalar_shrink", "shrunk_correction", "standardised"]

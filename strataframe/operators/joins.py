@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import all_of, ceil_hour, epoch, floor_hour, haversine_km
+from ..functions.expr import EARTH_KM, all_of, ceil_hour, epoch, floor_hour, haversine_km
 from .contracts import require_unique
 from .windows import top
 
@@ -95,15 +96,38 @@ def contains_causal(samples: DataFrame, cells: DataFrame, keys: Sequence[str], i
     return samples.join(top(hit, [id_col], rank).select(id_col, *values), id_col, "left")
 
 
+def _band(lat: Column, height: float) -> Column:
+    return F.floor((lat + 90) / height).cast("long")
+
+
+def _cells_of(band: Column, height: float) -> Column:
+    """How many cells a latitude band has around the earth: each about as wide as the band is high, where it is narrowest."""
+    edge = F.least(F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90)), F.lit(90.0))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360 / height))).cast("long")
+
+
 def within_distance(places: DataFrame, stations: DataFrame, place_id: str, station_id: str, km: float, limit: int) -> DataFrame:
-    """Stations within ``km`` of a place, ranked by distance, then id, at most ``limit`` each. Both sides have lat, lon.
+    """Stations within ``km`` of a place on the sphere, ranked by distance, then id, at most ``limit`` each. Both sides have lat, lon.
 
-    Latitude bands as high as the distance make it an equality join on the band and its neighbours.
+    An index of cells makes it an equality join: latitude bands as high as the distance, cut into cells about as wide at their
+    narrowest. A station is in one cell; a place looks into those that its circle reaches, across the antimeridian and all
+    around where the circle holds a pole. So a place meets the stations of some ten cells, wherever it is.
     """
-    band = km / 110.0
-    a = places.withColumn("__band", F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)))
-    b = stations.select(F.col(station_id), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.floor(F.col("lat") / band).alias("__band"))
-    near = a.join(b, "__band").withColumn("distance_km", haversine_km("lat", "lon", "__lat", "__lon")).filter(F.col("distance_km") <= km)
+    height = max(math.degrees(km / EARTH_KM), 1e-6) * (1 + 1e-9)
+    at = lambda lon, n: F.floor((lon + 180) / 360 * n).cast("long")
+    lat, lon = F.col("lat"), F.col("lon")
+    ratio = math.sin(min(math.radians(height), math.pi / 2)) / F.cos(F.radians(lat))
+    reach = F.when(F.abs(lat) + height >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    top_band = math.floor(180 / height)
+    bands = F.sequence(F.greatest(_band(lat, height) - 1, F.lit(0)), F.least(_band(lat, height) + 1, F.lit(top_band)))
+    a = places.filter(lat.isNotNull() & lon.isNotNull()).withColumn("__reach", reach).withColumn("__band", F.explode(bands)).withColumn("__n", _cells_of(F.col("__band"), height))
+    low = at(lon - F.col("__reach"), F.col("__n"))
+    cells = F.sequence(low, F.least(at(lon + F.col("__reach"), F.col("__n")), low + F.col("__n") - 1))
+    a = a.withColumn("__cell", F.explode(cells)).withColumn("__cell", F.pmod("__cell", "__n")).drop("__n", "__reach")
+    b = stations.filter(lat.isNotNull() & lon.isNotNull()).select(F.col(station_id), lat.alias("__lat"), lon.alias("__lon"), _band(lat, height).alias("__band"))
+    n = _cells_of(F.col("__band"), height)
+    b = b.withColumn("__cell", F.pmod(at(F.col("__lon"), n), n))
+    near = a.join(b, ["__band", "__cell"]).withColumn("distance_km", haversine_km("lat", "lon", "__lat", "__lon")).filter(F.col("distance_km") <= km)
     return top(near.select(place_id, station_id, "distance_km"), [place_id], [F.col("distance_km"), F.col(station_id)], limit, "station_rank")
 
 

@@ -89,8 +89,9 @@ def order_bin(value: Column) -> Column:
 def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, n and, for each name, the value of that rank from below (from 1, as a function of n); null where there is none.
 
-    Two levels: counts by bins of nearly equal values are added up in each task; only rows of the bins that hold a rank are
-    then ordered. So a key with a third of all rows is neither sorted nor held in one task.
+    Two levels: counts by bins of nearly equal values are added up in each task; only the different values of the bins that
+    hold a rank are then counted, again in each task first, and ordered. So a key with a third of all rows is neither sorted
+    nor held in one task, and a value that a third of all rows share is a row a task.
     """
     keys = list(keys)
     rows = df.select(*keys, value.alias("__v"), order_bin(value).alias("__bin"))
@@ -99,8 +100,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: Column, ranks: d
     placed = bins.withColumns({"__before": F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("__c").over(Window.partitionBy(*keys))})
     wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()))).alias("__r")
     picks = placed.select("*", wanted).filter((F.col("__r.rank") > F.col("__before")) & (F.col("__r.rank") <= F.col("__before") + F.col("__c"))).select(*keys, "__bin", "__r.name", (F.col("__r.rank") - F.col("__before")).alias("__k"))
-    inside = rows.join(picks.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy("__v")).cast("long"))
-    found = inside.join(picks, [*keys, "__bin", "__k"]).groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks))
+    values = rows.join(picks.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi").groupBy(*keys, "__bin", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    inside = values.withColumn("__to", F.sum("__m").over(Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    held = (F.col("__k") > F.col("__to") - F.col("__m")) & (F.col("__k") <= F.col("__to"))
+    found = inside.join(picks, [*keys, "__bin"]).filter(held).groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks))
     return bins.groupBy(*keys).agg(F.sum("__c").alias("n")).join(found, keys, "left")
 
 
@@ -118,16 +121,17 @@ def order_radius(df: DataFrame, keys: Sequence[str], residual: str, coverage: fl
     return order_statistics(df, keys, F.abs(residual), {"radius": rank}).withColumn("rank", rank(F.col("n")))
 
 
-def weighted_quantile_radius(df: DataFrame, keys: Sequence[str], error: str, weight: str, tie: str, level: float) -> DataFrame:
-    """The first absolute error at which the running weight reaches ``level`` of the total: by bins first, then by rows of
-    the bin in which it does."""
+def weighted_quantile_radius(df: DataFrame, keys: Sequence[str], error: str, weight: str, level: float) -> DataFrame:
+    """The first absolute error at which the running weight reaches ``level`` of the total: by bins first, then by the different
+    errors of the bin in which it does, so equal errors are one row a task."""
     keys = list(keys)
-    rows = df.select(*keys, F.abs(error).alias("__e"), F.col(weight).alias("__w"), F.col(tie).alias("__tie"), order_bin(F.abs(error)).alias("__bin"))
+    rows = df.select(*keys, F.abs(error).alias("__e"), F.col(weight).alias("__w"), order_bin(F.abs(error)).alias("__bin"))
     bins = rows.groupBy(*keys, "__bin").agg(F.sum("__w").alias("__bw"), F.max("__e").alias("__most"))
     w = Window.partitionBy(*keys).orderBy("__bin")
     placed = bins.withColumns({"__before": F.coalesce(F.sum("__bw").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "__goal": level * F.sum("__bw").over(Window.partitionBy(*keys)) - 1e-12})
     picks = placed.filter((F.col("__before") < F.col("__goal")) & (F.col("__before") + F.col("__bw") >= F.col("__goal")))
-    inside = rows.join(picks, [*keys, "__bin"]).withColumn("__run", F.col("__before") + F.sum("__w").over(Window.partitionBy(*keys, "__bin").orderBy("__e", "__tie").rowsBetween(Window.unboundedPreceding, 0)))
+    values = rows.join(picks.select(*keys, "__bin"), [*keys, "__bin"], "left_semi").groupBy(*keys, "__bin", "__e").agg(F.sum("__w").alias("__w")).join(picks, [*keys, "__bin"])
+    inside = values.withColumn("__run", F.col("__before") + F.sum("__w").over(Window.partitionBy(*keys, "__bin").orderBy("__e").rowsBetween(Window.unboundedPreceding, 0)))
     found = inside.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__run") >= F.col("__goal"), F.col("__e"))), F.max("__e")).alias("__radius"))
     return bins.groupBy(*keys).agg(F.max("__most").alias("__most")).join(found, keys, "left").select(*keys, F.coalesce("__radius", "__most").alias("radius"))
 

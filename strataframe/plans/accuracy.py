@@ -194,7 +194,7 @@ def agg_09_order_radius(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PREDICTED_SQL}, ok AS (SELECT *, a - observed AS e FROM predicted WHERE a IS NOT NULL), {_weights_sql('ok', 'phase')}, k AS (SELECT phase, abs(e) AS r, sum(weight) OVER (PARTITION BY phase ORDER BY abs(e), sample_id ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY phase) AS total FROM w) SELECT phase, round(coalesce(min(CASE WHEN run >= 0.9 * total - 1e-12 THEN r END), max(r)), 6) AS radius FROM k GROUP BY phase")
 def agg_10_weighted_quantile(spark: SparkSession, d: str) -> DataFrame:
     ok = predicted(spark, d).filter("a IS NOT NULL").withColumn("e", F.col("a") - F.col("observed"))
-    return metrics.weighted_quantile_radius(windows.balanced_weights(ok, LEVELS, ["phase"]), ["phase"], "e", "weight", "sample_id", 0.9).select("phase", _r("radius"))
+    return metrics.weighted_quantile_radius(windows.balanced_weights(ok, LEVELS, ["phase"]), ["phase"], "e", "weight", 0.9).select("phase", _r("radius"))
 
 
 @query(f"WITH {PREDICTED_SQL}, b0 AS (SELECT region_id, utc_day, sqrt(avg((c - observed) * (c - observed))) AS rmse FROM predicted WHERE c IS NOT NULL GROUP BY 1, 2) SELECT region_id, count(*) AS blocks, round(avg(rmse), 6) AS mean, round(quantile_cont(rmse, 0.5), 6) AS median, round(quantile_cont(rmse, 0.9), 6) AS p90 FROM b0 GROUP BY region_id")

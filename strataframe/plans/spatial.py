@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..functions import grid as grid_places
 from ..operators import joins, windows
 from ..session import load
 from .registry import query
@@ -131,6 +132,35 @@ def sc_20_projection(spark: SparkSession, d: str) -> DataFrame:
     return stations(spark, d).select("station_id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
 
 
+def _grid_sql() -> str:
+    """The same projections in SQL: forward, then back from the coordinates that were found."""
+    (radius, alpha, e), (beta, delta) = E.krueger_series(), grid_places.inverse_series()
+    scaled, num = grid_places.UTM_SCALE * radius, lambda x: f"({x:.17e})"
+    series = lambda names, c, f, g, a, b: " ".join(f"{names} {num(k)} * {f}({2 * j} * {a}) * {g}({2 * j} * {b})" for j, k in enumerate(c, 1))
+    geographic = "chi " + " ".join(f"+ {num(d)} * sin({2 * j} * chi)" for j, d in enumerate(delta, 1))
+    return f"""WITH p AS (SELECT s_suppkey AS place, s_suppkey * 7919 % 17999 / 100.0 - 89.99 AS lat, s_suppkey * 104729 % 36000 / 100.0 - 179.995 AS lon FROM supplier),
+z AS (SELECT *, floor((lon + 180) / 6) AS k, CASE WHEN lat >= 84 THEN 'ups-n' WHEN lat < -80 THEN 'ups-s' ELSE 'utm-' || lpad(CAST(CAST(floor((lon + 180) / 6) + 1 AS INT) AS VARCHAR), 2, '0') || CASE WHEN lat >= 0 THEN 'n' ELSE 's' END END AS zone FROM p),
+a AS (SELECT *, radians(lon - (k * 6 - 177)) AS lam, sin(radians(lat)) AS s, {num(grid_places.E)} * sin(radians(abs(lat))) AS es FROM z),
+b AS (SELECT *, sinh(atanh(s) - {num(e)} * atanh({num(e)} * s)) AS t, {num(grid_places.UPS_RADIUS)} * tan(pi() / 4 - radians(abs(lat)) / 2) * pow((1 + es) / (1 - es), {num(grid_places.E / 2)}) AS rho FROM a),
+c AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, zone LIKE 'ups%' AS cap, CASE WHEN lat < 0 THEN 1e7 ELSE 0 END AS south FROM b),
+f AS (SELECT *, CASE WHEN cap THEN 2e6 + rho * sin(radians(lon)) ELSE 500000 + {num(scaled)} * (eta {series("+", alpha, "cos", "sinh", "xi", "eta")}) END AS easting,
+  CASE WHEN cap THEN 2e6 + CASE WHEN lat >= 0 THEN -rho ELSE rho END * cos(radians(lon)) ELSE south + {num(scaled)} * (xi {series("+", alpha, "sin", "cosh", "xi", "eta")}) END AS northing FROM c),
+g AS (SELECT *, (northing - south) / {num(scaled)} AS y0, (easting - 500000) / {num(scaled)} AS x0, easting - 2e6 AS px, northing - 2e6 AS py FROM f),
+h AS (SELECT *, y0 {series("-", beta, "sin", "cosh", "y0", "x0")} AS y, x0 {series("-", beta, "cos", "sinh", "y0", "x0")} AS x FROM g),
+i AS (SELECT *, CASE WHEN cap THEN pi() / 2 - 2 * atan(sqrt(px * px + py * py) / {num(grid_places.UPS_RADIUS)}) ELSE asin(sin(y) / cosh(x)) END AS chi FROM h)
+SELECT place, zone, round(easting, 3) AS easting, round(northing, 3) AS northing, round(degrees({geographic}) * CASE WHEN cap AND lat < 0 THEN -1 ELSE 1 END, 8) AS lat_back,
+  round(CASE WHEN cap THEN degrees(atan2(px, CASE WHEN lat >= 0 THEN -py ELSE py END)) ELSE k * 6 - 177 + degrees(atan2(sinh(x), cos(y))) END, 8) AS lon_back FROM i"""
+
+
+@query(_grid_sql())
+def sc_20_grid_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places all over the earth to their zone, polar caps among them, and back again."""
+    k = F.col("s_suppkey")
+    places = load(spark, d, "supplier").select(k.alias("place"), (k * 7919 % 17999 / 100.0 - 89.99).alias("lat"), (k * 104729 % 36000 / 100.0 - 179.995).alias("lon"))
+    back = grid_places.off_grid(grid_places.on_grid(places))
+    return back.select("place", "zone", *(F.round(c, 3).alias(c) for c in ("easting", "northing")), *(F.round(c, 8).alias(c) for c in ("lat_back", "lon_back")))
+
+
 @query("SELECT s_suppkey, 'g100-' || CAST(floor(s_suppkey * 7919 % 600000 / 51200.0) AS BIGINT) || '-' || CAST(floor(s_suppkey * 104729 % 900000 / 51200.0) AS BIGINT) AS tile, CAST(floor(s_suppkey * 7919 % 600000 / 100.0) % 512 AS INT) AS cell_col FROM supplier")
 def sc_23_tiles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
