@@ -23,6 +23,8 @@ from strataframe.llm.store import written
 MIN_LANGUAGE_SCORE = 0.35
 #: Near copies have at least this percentage of their five-word shingles in common.
 NEAR_PERCENT = 80
+#: A benchmark item with fewer words says too little to reject a document for.
+LEAST_ITEM_WORDS = 6
 #: The column that tells rows apart, and what is put before its name while a table has a column of that name.
 KEY, MORE = "__row_key__", "_"
 
@@ -78,7 +80,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that overlap with a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(docs)
-    return _without(rows, decontam.decontaminate(rows, benchmark, id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()).transform(_as_before, docs)
+    return _without(rows, decontam.decontaminate(rows, benchmark, id_col=KEY, least_words=LEAST_ITEM_WORDS).select(F.col("doc_id").alias(KEY)).distinct()).transform(_as_before, docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ Items of the same words are one class, named by its smallest item and compared o
 document and class that overlap, with the number of items of the class.
 
 Defined results: null or empty texts on either side match nothing; an item with fewer words than ``min_words`` matches
-where all its words stand in a row, one with fewer than ``LEAST_WORDS`` matches nothing; repeated documents give the same
-rows once; empty tables give an empty result; extra columns are ignored.
+where all its words stand in a row, and one that is shorter than the masks has one seed of all its words; an item with fewer
+than ``least_words`` words is not looked for; repeated documents give the same rows once; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from .tokens import LOWER_ALNUM, U64, blocks, bounded_batches, mix, release, tex
 #: Places of each mask that must agree. Six places over eleven at most; the first takes exact passages quickly.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 9, 10))
 BITS = 25
-#: A mask covers so many words at least; a shorter item has no seed.
-LEAST_WORDS = len(MASKS[0])
+#: A mask covers so many words at least; a shorter item has a seed of its whole length.
+SHORT = len(MASKS[0])
 #: Fixed: scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han), and the first bytes of their characters.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 _LEADS = np.isin(np.arange(256), [0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0])
@@ -81,7 +81,12 @@ def may_match(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return hits[((table[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def masks_for(lengths: set[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(salt, mask): all masks, and one over all places for each length of a short item."""
+    return [*enumerate(MASKS), *((len(MASKS) + n, tuple(range(n))) for n in sorted(lengths) if n < SHORT)]
+
+
+def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """seed, item_id, item_at; and with seed null the item's words, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +95,11 @@ def item_seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for block in blocks(spaced(batch.column(1)), LOWER_ALNUM):
                 for i in range(block.hi - block.lo):
                     h = block.hashes[block.ptr[i] : block.ptr[i + 1]]
-                    if len(h) < LEAST_WORDS:
+                    if len(h) < max(1, least_words):
                         continue
                     item = batch.column(0)[block.lo + i].as_py()
                     out[0].append(None), out[1].append(item), out[2].append(0), out[3].append(h.view(np.int64).tolist())
-                    for salt, mask in enumerate(MASKS):
+                    for salt, mask in masks_for({len(h)}):
                         s = seeds(h, mask, salt).view(np.int64).tolist()
                         out[0] += s
                         out[1] += [item] * len(s)
@@ -123,7 +128,7 @@ def bit_table(seed_rows: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def stretches(docs: DataFrame, table, id_col: str, text_col: str) -> DataFrame:
+def stretches(docs: DataFrame, table, masks: list[tuple[int, tuple[int, ...]]], id_col: str, text_col: str) -> DataFrame:
     """doc_id, start, words, seeds: stretches of documents around windows that may match, seeds as (seed, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def stretches(docs: DataFrame, table, id_col: str, text_col: str) -> DataFrame:
             out = [[], [], [], []]
             for block in blocks(spaced(batch.column(1)), LOWER_ALNUM):
                 found = []
-                for salt, mask in enumerate(MASKS):
+                for salt, mask in masks:
                     s = seeds(block.hashes, mask, salt)
                     at = may_match(s, bits)
                     doc = np.searchsorted(block.ptr, at, "right") - 1
@@ -177,20 +182,21 @@ def best_stretch(same: np.ndarray, min_words: int, min_share: float) -> tuple[in
     return lo, hi, int(same[lo:hi].sum())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, min_share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, min_share: float = 0.8, least_words: int = 1, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_items, doc_from, n_words, n_same: for each overlapping pair its longest overlap, in words.
 
     An overlap is a run of at least ``min_words`` words, aligned without gaps, that agrees in at least ``min_share`` of its
     places and holds a seed hit; for an item with fewer words, the whole item.
     """
     bounded_batches(docs.sparkSession)
-    every = written(item_seeds(benchmark, item_col, item_text_col), "benchmark")
+    every = written(item_seeds(benchmark, item_col, item_text_col, least_words), "benchmark")
     words = written(every.filter(F.col("seed").isNull()).groupBy(F.col("words").alias("item_words")).agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items")), "items")
     seed_rows = every.filter(F.col("seed").isNotNull()).select("seed", "item_id", "item_at").distinct().join(words.select("item_id").distinct(), "item_id", "left_semi")
     seed_rows = written(seed_rows, "item-seeds")
     small = seed_rows.count() <= broadcast_rows
     table = docs.sparkSession.sparkContext.broadcast(bit_table(seed_rows))
-    found = written(stretches(docs, table, id_col, text_col).dropDuplicates(["doc_id", "start", "words"]).withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
+    short = {r[0] for r in words.select(F.size("item_words")).filter(F.size("item_words") < SHORT).distinct().collect()}  # five lengths at most
+    found = written(stretches(docs, table, masks_for(short), id_col, text_col).dropDuplicates(["doc_id", "start", "words"]).withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
     hits = found.select("doc_id", "stretch", F.explode("seeds").alias("s")).select("doc_id", "stretch", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
     pairs = hits.join(F.broadcast(seed_rows) if small else seed_rows, "seed").select("doc_id", "stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     compared = pairs.join(found.drop("seeds"), ["doc_id", "stretch"]).join(F.broadcast(words) if small else words, "item_id")

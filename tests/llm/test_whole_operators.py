@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from strataframe.llm import dedup, langid
+from strataframe.llm import decontam, dedup, langid
 
 from .test_text_operators import brute_components, families, frame, overlap
 
@@ -97,3 +97,16 @@ def test_items_in_classes_short_ones_and_scripts_without_spaces(spark):
     got = overlap(spark, docs, items)
     assert set(got) == {(1, 10), (2, 12), (3, 13), (5, 15)}
     assert got[1, 10] == (1, 20, 20) and got[3, 13][1:] == (7, 7)
+    short = [(20, "Saturn"), (21, "moon of Mars"), (22, "largest moon"), (23, "of mars moon"), (24, "..."), (25, ""), (26, None), (27, "what is the largest moon")]
+    got = overlap(spark, docs, short)
+    assert got == {(3, 20): (7, 1, 1), (4, 21): (4, 3, 3), (3, 22): (4, 2, 2), (4, 22): (3, 2, 2), (3, 27): (1, 5, 5), (4, 27): (0, 5, 5)}
+    assert decontam.decontaminate(frame(spark, docs), spark.createDataFrame(short, "item_id long, text string"), least_words=6).count() == 0
+
+
+def test_a_seed_that_many_items_share(spark):
+    """Three hundred items begin alike; every document that holds one is found with that one."""
+    lead = "one two three four five six seven eight"
+    items = [(i, lead + " " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(300)]
+    docs = [(i, f"d{i} " * 5 + (items[i][1] if i < 100 else lead) + " end", "en", "s") for i in range(200)]
+    got = overlap(spark, docs, items)
+    assert set(got) == {(i, i) for i in range(100)}
