@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_reason
+from ..store import written
 from .joins import registry_outer
 
 
@@ -41,6 +42,27 @@ def explode_segments(df: DataFrame, families: dict[str, Sequence[str]]) -> DataF
     return df.select("*", F.explode(pairs).alias("__s")).select("*", "__s.segment_type", "__s.segment").drop("__s")
 
 
+def segment_means(df: DataFrame, families: dict[str, Sequence[str]], levels: Sequence[Sequence[str]], keys: Sequence[str], totals: dict[str, Column], means: dict[str, Column]) -> DataFrame:
+    """keys, segment_type, segment, n, the totals (sums over rows) and the means, each nested by level: the mean over a segment's
+    groups of the first level of the means over a group's children, and so on down to the mean over rows. That is what balanced
+    weights give, without a weight: rows are added up once, by the columns of all families and levels, and that table is
+    rolled up for every family and averaged level by level."""
+    keys = list(keys)
+    columns = list(dict.fromkeys([*(c for cols in families.values() for c in cols), *(c for level in levels for c in level)]))
+    sums = {**totals, **{f"__{k}": v for k, v in means.items()}}
+    leaf = written(df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(k) for k, v in sums.items())), "leaves")
+    segment = [*keys, "segment_type", "segment"]
+    parents = [segment]
+    for level in levels:
+        parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
+    cells = written(explode_segments(leaf, families).groupBy(*parents[-1]).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums)), "cells")
+    up = cells.select(*parents[-1], *((F.col(f"__{k}") / F.col("n")).alias(k) for k in means))
+    for parent in parents[-2::-1]:
+        up = up.groupBy(*parent).agg(*(F.avg(k).alias(k) for k in means))
+    counts = cells.groupBy(*segment).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in totals))
+    return counts.join(up, segment)
+
+
 def date_balanced(df: DataFrame, keys: Sequence[str], date: str, error: str, thresholds: Sequence[float] = (5, 7)) -> DataFrame:
     """Means within each date, then over dates, next to plain means over rows; rows without a finite error are left out."""
     e = F.col(error)

@@ -90,9 +90,10 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PREDICTED_SQL}, {_LONG_SQL}, ok AS (SELECT * FROM long WHERE e IS NOT NULL), {_SEG_SQL.format('ok')}, {_weights_sql('seg1', 'model, segment_type, segment')} SELECT model, segment_type, segment, count(*) AS n, count(*) FILTER (WHERE abs(e) > 50) AS rows_gt_50, count(*) FILTER (WHERE abs(e) > 100) AS rows_gt_100, round(sum(weight * abs(e)), 8) AS mae FROM w GROUP BY ALL")
 def agg_04_model_segments(spark: SparkSession, d: str) -> DataFrame:
-    long = metrics.explode_segments(_long(spark, d).filter("e IS NOT NULL"), FAMILIES)
-    keys = ["model", "segment_type", "segment"]
-    return windows.balanced_weights(long, LEVELS, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("e") > 50).alias("rows_gt_50"), F.count_if(F.abs("e") > 100).alias("rows_gt_100"), F.round(F.sum(F.col("weight") * F.abs("e")), 8).alias("mae"))
+    over = lambda t: F.when(F.abs("e") > t, 1).otherwise(0)
+    totals = {"rows_gt_50": over(50), "rows_gt_100": over(100)}
+    out = metrics.segment_means(_long(spark, d).filter("e IS NOT NULL"), FAMILIES, LEVELS, ["model"], totals, {"mae": F.abs("e")})
+    return out.select("model", "segment_type", "segment", "n", *totals, _r("mae", 8))
 
 
 _DAILY_SQL = "daily AS (SELECT region_id, utc_day, count(*) AS k, sum(abs(c - observed)) AS s, sum(c - observed) AS t, sum(CASE WHEN abs(c - observed) > 50 THEN 1.0 ELSE 0 END) AS g FROM predicted WHERE c IS NOT NULL GROUP BY 1, 2)"
