@@ -224,10 +224,14 @@ def compute_once(df: DataFrame, keys: Sequence[str], compute) -> DataFrame:
     return df.join(compute(df.select(*keys).distinct()), list(keys), "left")
 
 
-def schedule(tiles: DataFrame, hours: DataFrame) -> DataFrame:
-    """The work list of every tile and hour. The hours, bounded by the request, are sent along as one array; no side is
-    shuffled, and rows are made where they are used."""
-    stamps = [r[0] for r in hours.orderBy(hours.columns[0]).limit(10_001).collect()]
-    if len(stamps) > 10_000:
-        raise ValueError("a schedule covers at most 10,000 hours")
-    return tiles.withColumn(hours.columns[0], F.explode(F.array(*map(F.lit, stamps))))
+def schedule(tiles: DataFrame, hours: DataFrame, days: int = 30) -> DataFrame:
+    """The work list of every tile and whole hour. Each tile gets the stretches of ``days`` days between the first and the last
+    hour, and hours join on their stretch: an equality join, whatever the request's length. A null hour is none."""
+    stamp = hours.columns[0]
+    of = F.floor(epoch(F.col(stamp)) / (days * 86400)).cast("long")
+    known = hours.filter(F.col(stamp).isNotNull()).withColumn("__stretch", of)
+    ends = known.agg(F.min("__stretch"), F.max("__stretch")).first()
+    if ends[0] is None:
+        return tiles.limit(0).withColumn(stamp, F.lit(None).cast(hours.schema[0].dataType))
+    spread = tiles.withColumn("__stretch", F.explode(F.sequence(F.lit(ends[0]), F.lit(ends[1]))))
+    return spread.join(known, "__stretch").drop("__stretch")

@@ -299,6 +299,18 @@ def sc_14_civil_time(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local"), same.alias("unambiguous"))
 
 
+_LAST_SUNDAY = "make_date(y, {0}, 31) - to_days(CAST(dayofweek(make_date(y, {0}, 31)) AS INT)) + INTERVAL 1 HOUR"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts + to_days(CAST(event_id % 731 AS INT)) AS ts FROM events), y AS (SELECT *, CAST(year(ts) AS INT) AS y FROM e), s AS (SELECT *, {_LAST_SUNDAY.format(3)} AS spring, {_LAST_SUNDAY.format(10)} AS autumn FROM y)
+SELECT event_id, strftime(CASE WHEN ts >= spring AND ts < autumn THEN ts + INTERVAL 1 HOUR ELSE ts END, '%Y-%m-%d %H:%M') AS local, NOT (ts >= autumn AND ts < autumn + INTERVAL 1 HOUR) AS unambiguous FROM s""")
+def sc_14_civil_times_of_the_year(spark: SparkSession, d: str) -> DataFrame:
+    """Civil times over two years, both changes of the clock among them; the SQL has the rule of the last Sundays."""
+    moved = load(spark, d, "events").select("event_id", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 731).cast("int"))).alias("ts"))
+    local, same = E.local_time(F.col("ts"), "Europe/London")
+    return moved.select("event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local"), same.alias("unambiguous"))
+
+
 def solar_sql(base: str, keep: str) -> str:
     """Steps to the solar elevation (as ``elevation``, in degrees) of a base query with ts, lat and lon."""
     r = "pi() / 180"
