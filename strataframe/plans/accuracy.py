@@ -112,9 +112,9 @@ leaks AS (SELECT held.*, (EXISTS (SELECT 1 FROM members m WHERE m.fit = held.fit
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    p = predicted(spark, d)
+    p = written(predicted(spark, d), "predicted")  # read for the held rows and for both memberships
     held = p.withColumn("fit", F.when(F.col("utc_day") < F.to_date(F.lit("1997-01-01")), "early").otherwise("late")).withColumn("kind", F.when(F.col("phase") == "F", "date_holdout").when(F.col("phase") == "O", "region_holdout").otherwise("spatial"))
-    s = samples(spark, d)
+    s = p
     early = s.filter((F.col("utc_day") >= F.to_date(F.lit("1996-12-10"))) & (F.col("acquisition_id") % 7 == 0)).withColumn("fit", F.lit("early"))
     late = s.filter((F.col("utc_day") < F.to_date(F.lit("1997-02-01"))) & (F.col("acquisition_id") % 5 == 0) & (F.col("region_id") < "M")).withColumn("fit", F.lit("late"))
     members = written(early.unionByName(late).select("fit", "sample_id", "month", "region_id"), "members")
@@ -323,7 +323,9 @@ def agg_35_retained_and_excluded(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT phase, sum(m) AS m, sum(m * m) AS mm, sum(de) AS de, sum(dd) AS dd, count(*) AS dates, CAST(sum(k) AS BIGINT) AS rows FROM y GROUP BY 1), z AS (SELECT *, m * m / mm AS n FROM g)
 SELECT phase, rows, dates, round(n, 4) AS effective_dates, round((n * de / m) / (n * dd / m + 20), 6) AS unbounded_gamma, round(CASE WHEN dates >= 6 THEN greatest(0, least(1, (n * de / m) / (n * dd / m + 20))) ELSE 0 END, 6) AS gamma, CASE WHEN dates >= 6 THEN 'fitted' ELSE 'unsupported_identity_fallback' END AS status FROM z""")
 def ml_05_scalar_shrink(spark: SparkSession, d: str) -> DataFrame:
-    ok = windows.balanced_weights(predicted(spark, d).filter("a IS NOT NULL"), LEVELS)
+    columns = ["region_id", "phase", "utc_day", "acquisition_id", "surface", "a", "b", "observed"]
+    rows = written(predicted(spark, d).filter("a IS NOT NULL").select(columns), "predicted")  # read for the leaves and for the sums
+    ok = windows.balanced_weights(rows, LEVELS)
     return estimate.scalar_shrink(ok, ["phase"], "weight", F.col("b") - F.col("a"), F.col("b") - F.col("observed"), "utc_day").select("phase", "rows", "dates", F.round("effective_dates", 4).alias("effective_dates"), _r("unbounded_gamma"), _r("gamma"), "status")
 
 

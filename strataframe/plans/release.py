@@ -114,7 +114,7 @@ _NEW_RULES = (("lst IS NOT NULL", "not_admitted"), ("screened", "no_source_scree
 @query(f"""WITH {_FINE_SQL}, ref AS (SELECT sample_id, acquisition_id, surface FROM fine WHERE year(ts) < 1996 OR sample_id % 211 = 0), n AS (SELECT *, count(*) OVER (PARTITION BY acquisition_id, surface) > 1 AS twice FROM fine WHERE year(ts) >= 1996)
 SELECT n.sample_id, coalesce({_ladder_sql(_NEW_RULES)}, CASE WHEN sample_id IN (SELECT sample_id FROM ref) THEN 'known_identity' WHEN twice THEN 'repeated_cell' WHEN (acquisition_id, surface) IN (SELECT (acquisition_id, surface) FROM ref) THEN 'known_cell' END) AS reason FROM n""")
 def flt_23_label_revalidation(spark: SparkSession, d: str) -> DataFrame:
-    f = fine(spark, d)
+    f = written(fine(spark, d), "cells")  # read for the new rows, for both sides of the reference and for the cells
     reference = f.filter((F.year("ts") < 1996) | (F.col("sample_id") % 211 == 0))
     return release.revalidated(f.filter(F.year("ts") >= 1996), reference, [(F.expr(c), r) for c, r in _NEW_RULES], "sample_id", ["acquisition_id", "surface"]).select("sample_id", "reason")
 
