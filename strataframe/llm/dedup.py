@@ -223,14 +223,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return pairs.join(of["b"], "b").join(of["a"], "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, split_links: int = 1_000_000) -> DataFrame:
     """id, component: the smallest id that each linked id reaches. Rounds of hooking every neighbour to the smallest one,
-    first upward, then downward, until the links no longer change."""
+    first upward, then downward, until the links no longer change. From ``split_links`` links on, the smallest neighbours are
+    written before they are joined back: then both sides are shuffled for the join, and a hub's links can be split there."""
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")) if large else both.groupBy("a").agg(F.min("b").alias("least"))
-        least = written(least, "least")  # so that both sides are shuffled for the join, and a hub's links can be split there
+        least = written(least, "least") if split else least
         joined = both.join(least, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -239,9 +240,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    check = None
+    check, split = None, edges.count() >= split_links
     for _ in range(max_rounds):
-        edges = written(star(star(edges, large=True), large=False), "stars")
+        edges = written(star(star(edges, True, split), False, split), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == check:
             break

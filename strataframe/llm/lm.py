@@ -3,7 +3,9 @@
 Words are counted over all training documents. The most frequent words form the network's vocabulary; the output softmax
 is factored into classes of words, and a word outside the vocabulary has the network's probability of "other" times its
 smoothed share of all other words, so the model is a distribution over all words. The network learns in numpy by truncated
-backpropagation: state runs on from window to window through a document, gradients stop at a window's edge.
+backpropagation: state runs on from window to window through a document, gradients stop at a window's edge. In training a
+document's state begins anew after every ``SEGMENT`` tokens, so that a long document is learned in several lanes at once
+instead of alone in one; what is lost is the state across one token in so many.
 
 All training documents give gradient steps, each once. They are dealt to shards of about ``SHARD_TOKENS`` tokens by a hash
 of id and text and stand in its order there; the shards of a round train side by side from the same parameters and are

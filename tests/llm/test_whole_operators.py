@@ -89,6 +89,25 @@ def test_hot_keys_and_shared_ids(spark, monkeypatch):
     assert dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_components_with_hubs_split_and_not(spark):
+    rng = random.Random(6)
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in {x for p in pairs if p[0] != p[1] for x in p}}
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for split in (0, 10**9):
+        assert {r.id: r.component for r in dedup.components(links, split_links=split).collect()} == want
+
+
 def test_items_in_classes_short_ones_and_scripts_without_spaces(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     cjk = "これは試験のための長い文章であり空白を含まない"
