@@ -55,11 +55,6 @@ def digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
 
 
-def exact_digest(df: DataFrame, column: str, group: Sequence[str]) -> DataFrame:
-    """SHA-256 of the sorted values of each group; for groups known to be small."""
-    return df.groupBy(*group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), "\n"), 256).alias("sha256"))
-
-
 def same_sets(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """left_only, right_only, shared: key sets compared in both directions."""
     a = left.select(*keys).distinct().withColumn("l", F.lit(1))

@@ -53,6 +53,19 @@ def independent_failures(df: DataFrame, rules: Sequence[tuple[Column, str]]) ->
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def area_blocks(areas: DataFrame, extent: Sequence[str], size: float, held: int = 5) -> DataFrame:
+    """row, col, west, south, east, north and spatial_holdout of the blocks that cover each area's extent (x0, y0, x1, y1), cut at
+    its edges: one block in ``held`` is held out, in a pattern that no row or column escapes. An extent without a size, or with a
+    null, has no block."""
+    x0, y0, x1, y1 = (F.col(c).cast("double") for c in extent)
+    whole = areas.filter((x1 > x0) & (y1 > y0))
+    steps = lambda a, b: F.sequence(F.lit(0), (F.ceil((b - a) / size) - 1).cast("int"))
+    blocks = whole.withColumn("row", F.explode(steps(y0, y1))).withColumn("col", F.explode(steps(x0, x1)))
+    west, south = x0 + F.col("col") * size, y0 + F.col("row") * size
+    edges = {"west": west, "south": south, "east": F.least(west + size, x1), "north": F.least(south + size, y1)}
+    return blocks.withColumns({**edges, "spatial_holdout": (F.col("row") + 2 * F.col("col")) % held == 0})
+
+
 def require_disjoint(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """The union of parts with their name; a key in two parts, or twice in one, is an error."""
     out = None

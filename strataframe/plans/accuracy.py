@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import month_fold, season
-from ..operators import contracts, estimate, joins, metrics, windows
+from ..operators import contracts, digests, estimate, joins, metrics, windows
 from ..session import load
 from ..store import written
 from .registry import query
@@ -288,7 +288,8 @@ def agg_27_coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SAMPLES_SQL} SELECT region_id, phase, sha256(array_to_string(list_sort(list(CAST(sample_id AS VARCHAR))), chr(10))) AS sha256 FROM samples GROUP BY 1, 2")
 def agg_28_exact_digest(spark: SparkSession, d: str) -> DataFrame:
-    return contracts.exact_digest(samples(spark, d), "sample_id", ["region_id", "phase"])
+    rows = samples(spark, d).select("region_id", "phase", F.col("sample_id").cast("string").alias("sample_id"))
+    return digests.ordered_digest(rows, ["region_id", "phase"], "sample_id", "\n")
 
 
 @query(f"WITH {SAMPLES_SQL}, two AS (SELECT region_id, phase, product, count(*) AS n FROM samples GROUP BY 1, 2, 3) SELECT region_id, CAST(sum(n) AS BIGINT) AS rows, array_to_string(list_sort(list(phase || '/' || product || '=' || n)), ',') AS sources FROM two GROUP BY 1")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import STEFAN_BOLTZMANN
-from ..operators import artefact, crosscheck, estimate, flux, robust, windows
+from ..operators import apply, artefact, crosscheck, estimate, flux, robust, windows
+from ..operators import trials as trial_operators
 from ..session import load
 from ..store import new_path, written
 from .accuracy import LEVELS, _weights_sql
@@ -116,6 +117,21 @@ def sc_07_three_proxies(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", *(F.round(c, 6).alias(c) for c in flux.PROXIES), "history_source", F.round("history_age_minutes", 4).alias("history_age_minutes"), "complete", "unavailable_reason")
 
 
+# a model that is told to all tasks
+
+
+@query(f"""WITH {PREDICTED_SQL}, ok AS (SELECT *, observed - a AS y FROM predicted WHERE a IS NOT NULL), s AS (SELECT product, {sums_sql("y")} FROM ok GROUP BY 1), c AS (SELECT product, {", ".join(f"{x} AS c{k}" for k, x in enumerate(solve_sql(1.0)))} FROM s)
+SELECT sample_id, round({PREDICTION}, 5) AS prediction FROM ok JOIN c USING (product)""")
+def udf_01_broadcast_model(spark: SparkSession, d: str) -> DataFrame:
+    """Any object with predict(frame), broadcast once and applied batch by batch: here a table of coefficients by product."""
+    rows = predicted(spark, d).filter("a IS NOT NULL").withColumns({"x0": F.lit(1.0), "x1": F.col("a") / 100, "x2": F.col("balance") / 10000, "y": F.col("observed") - F.col("a")})
+    rows = written(rows.select("sample_id", "product", "x0", "x1", "x2", "y"), "model-rows")
+    systems = trial_operators.moments(rows, ["product"], [F.col(c) for c in ("x0", "x1", "x2")], F.col("y"), F.lit(1.0))
+    fitted = trial_operators.solved(systems.drop("n"), 3, 1.0).collect()  # a row a product segment, five in all
+    model = apply.ByGroup("product", ["x0", "x1", "x2"], {r["product"]: r.coefficients for r in fitted})
+    return apply.predictions(rows, model, ["product", "x0", "x1", "x2"], ["sample_id"]).select("sample_id", F.round("prediction", 5).alias("prediction"))
+
+
 # cross-checks
 
 

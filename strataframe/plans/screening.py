@@ -219,6 +219,19 @@ def spl_13_blocks(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("spatial_holdout", (F.col("row") + 2 * F.col("col")) % 5 == 0)
 
 
+_AREAS = "SELECT n_nationkey AS area, 300000 + n_nationkey * 1237 AS x0, 5000000 + n_nationkey * 911 AS y0, 300000 + n_nationkey * 1237 + 12345 + n_nationkey * 7777 AS x1, 5000000 + n_nationkey * 911 + 9999 + n_nationkey * 5551 AS y1 FROM nation"
+
+
+@query(f"""WITH a AS ({_AREAS}), r AS (SELECT *, unnest(range(CAST(ceil((y1 - y0) / 10000.0) AS BIGINT))) AS row FROM a), b AS (SELECT *, unnest(range(CAST(ceil((x1 - x0) / 10000.0) AS BIGINT))) AS col FROM r)
+SELECT area, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(x0 + col * 10000 AS DOUBLE) AS west, CAST(y0 + row * 10000 AS DOUBLE) AS south, CAST(least(x0 + (col + 1) * 10000, x1) AS DOUBLE) AS east, CAST(least(y0 + (row + 1) * 10000, y1) AS DOUBLE) AS north, (row + 2 * col) % 5 = 0 AS spatial_holdout FROM b""")
+def spl_13_area_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 10 km over each area's own extent, cut at its edges, one in five held out."""
+    n = F.col("n_nationkey")
+    left, bottom = 300000 + n * 1237, 5000000 + n * 911
+    areas = load(spark, d, "nation").select(n.alias("area"), left.alias("x0"), bottom.alias("y0"), (left + 12345 + n * 7777).alias("x1"), (bottom + 9999 + n * 5551).alias("y1"))
+    return splits.area_blocks(areas, ["x0", "y0", "x1", "y1"], 10_000.0).select("area", "row", "col", "west", "south", "east", "north", "spatial_holdout")
+
+
 @query("SELECT 'customer' AS source, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_acctbal, NULL FROM supplier")
 def set_01_tagged_union(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "customer").select(F.lit("customer").alias("source"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
