@@ -153,9 +153,10 @@ def trial(
     ``arms``: conditions over the keys of a row (region, phase, date, acquisition, granule). Within an arm and a fit every
     (region, phase) weighs the same, and in it every date, in it every acquisition, in it the area; weights have a mean of 1.
     Fits with fewer than ``least`` rows, regions or dates are ``insufficient_fitting_support``; of fits with the same rows,
-    known by an order-free digest of them, the first by arm, mode and key is ``fitted`` and the others are ``reused_exact_recipe``, with
-    its name as origin. A row without a region, phase, date or acquisition has no weight and is in no fit. Rows are read once, to sums by (region, phase, date, acquisition, granule); a group that a fit leaves
-    alone keeps its sums, and only groups that it touches are averaged again.
+    known by an order-free digest of them, the first by arm, mode and key is ``fitted`` and the others are
+    ``reused_exact_recipe``, with its name as origin. A row without a region, phase, date or acquisition has no weight and is in no
+    fit. Rows are read once, to sums by (region, phase, date, acquisition, granule); a group that a fit leaves alone keeps its
+    sums, and only groups that it touches are averaged again.
     """
     p, group = len(features), [region, phase]
     names, keys = sum_names(p), [*group, date, acquisition, granule]
