@@ -87,7 +87,8 @@ def hourly_response(raw: DataFrame, json: str, variables: Sequence[str], units:
     parsed = raw.withColumn("__r", F.from_json(json, schema))
     times = F.col("__r.hourly.time")
     seconds = F.transform(times, lambda t: F.unix_timestamp(F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm"))))
-    gaps = F.exists(F.sequence(F.lit(1), F.size(times) - 1), lambda i: F.coalesce(F.get(seconds, i) - F.get(seconds, i - 1) != 3600, F.lit(True)))
+    # the times are read once a response, not once an hour
+    gaps = F.exists(F.array(seconds), lambda s: F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i) - F.get(s, i - 1) != 3600, F.lit(True))))
     problem = F.coalesce(
         F.when(times.isNull(), "unreadable"),
         *(F.when(~F.coalesce(F.col("__r.hourly_units")[v] == u, F.lit(False)), f"unit of {v}") for v, u in units.items()),
