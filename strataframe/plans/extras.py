@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import estimate, windows
 from ..session import load
 from ..sources import readers
+from ..store import written
 from ..streaming import streams
 from .registry import query
 from .views import PREDICTED_SQL, SAMPLES_SQL, predicted, samples
 
 LEVELS = (["region_id", "phase"], ["utc_day"], ["acquisition_id"], ["surface"])
+_FITTED = ("region_id", "phase", "utc_day", "acquisition_id", "surface", "a", "balance", "observed")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -79,14 +81,15 @@ def ml_04_ridge(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml_02_linear_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Ridge baseline in Spark ML, and the frozen model's gate (ML-10)."""
-    rows = predicted(spark, d).withColumn("weight", F.lit(1.0))
+    rows = written(predicted(spark, d).select("sample_id", "phase", "a", "balance", "observed", F.lit(1.0).alias("weight")), "predicted")
     model = estimate.offset_pipeline(["a", "balance"], "phase", "observed", "weight").fit(rows)
     return model.transform(rows).select("sample_id", F.round("prediction", 3).alias("prediction"))
 
 
 @query()
 def ml_01_boosted_offset(spark: SparkSession, d: str) -> DataFrame:
-    rows = windows.balanced_weights(predicted(spark, d), LEVELS)
+    known = written(predicted(spark, d).select(*_FITTED), "predicted")  # fits read their rows many times, weights twice
+    rows = written(windows.balanced_weights(known, LEVELS).select("phase", "a", "balance", "observed", "weight"), "weighted")
     model = estimate.offset_pipeline(["a", "balance"], "phase", "observed", "weight", "trees", maxIter=8, maxDepth=3).fit(rows)
     return model.transform(rows).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("observed"))).alias("mae"))
 
@@ -94,8 +97,8 @@ def ml_01_boosted_offset(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml_01_offset_from_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Trees learn the offset from the baseline, with balanced weights; the prediction is baseline plus offset."""
-    known = predicted(spark, d).filter("a IS NOT NULL").withColumn("offset", F.col("observed") - F.col("a"))
-    rows = windows.balanced_weights(known, LEVELS)
+    known = written(predicted(spark, d).filter("a IS NOT NULL").select(*_FITTED).withColumn("offset", F.col("observed") - F.col("a")), "predicted")
+    rows = written(windows.balanced_weights(known, LEVELS).select("phase", "a", "balance", "observed", "offset", "weight"), "weighted")
     model = estimate.offset_pipeline(["a", "balance"], "phase", "offset", "weight", "trees", maxIter=8, maxDepth=3).fit(rows)
     after = F.abs(F.col("a") + F.col("prediction") - F.col("observed"))
     return model.transform(rows).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("offset")).alias("baseline_mae"), F.avg(after).alias("mae"))
