@@ -9,7 +9,7 @@ from ..functions import expr as E
 from ..operators import contracts, estimate, joins, metrics, splits, windows
 from ..session import load
 from ..sources import readers
-from ..store import new_path
+from ..store import new_path, written
 from .accuracy import LEVELS, _weights_sql
 from .registry import query
 from .screening import solar_sql
@@ -388,7 +388,7 @@ def ml_13_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_09_forest(spark: SparkSession, d: str) -> DataFrame:
-    p = predicted(spark, d).withColumn("weight", F.lit(1.0))
+    p = written(predicted(spark, d).select("phase", "a", "balance", "observed", F.lit(1.0).alias("weight")), "predicted")
     model = estimate.offset_pipeline(["a", "balance"], "phase", "observed", "weight", "forest", numTrees=8, maxDepth=4).fit(p)
     return model.transform(p).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("prediction") - F.col("observed"))).alias("mae"))
 
@@ -396,7 +396,7 @@ def ml_09_forest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml_11_paired_populations(spark: SparkSession, d: str) -> DataFrame:
     """One recipe on two training populations, scored on the same held rows."""
-    p = predicted(spark, d).filter("a IS NOT NULL").withColumn("weight", F.lit(1.0))
+    p = written(predicted(spark, d).filter("a IS NOT NULL").select("region_id", "phase", "utc_day", "a", "balance", "observed", F.lit(1.0).alias("weight")), "predicted")  # both fits read it many times
     held = F.col("region_id").isin("NATION_3", "NATION_7")
     out = None
     for arm, end in (("old_only", "1998-01-01"), ("expanded", "2002-01-01")):
