@@ -59,8 +59,7 @@ SELECT o.o_orderkey, s_suppkey AS station, round(dist, 6) AS candidate_distance
 def jn_03_nearest_candidate(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("place"), F.col("o_totalprice").alias("x"))
     c = load(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") % 50).alias("place"), (F.col("s_acctbal") * 30).alias("sx"), F.expr("s_suppkey div 50").alias("rank"))
-    near = F.abs(F.col("x") - F.col("sx"))
-    return joins.nearest_of_candidates(o, c, ["place"], "o_orderkey", near, "rank", F.col("candidate_distance") <= 40000, ["station"]).select("o_orderkey", "station", _r("candidate_distance"))
+    return joins.nearest_on_line(o, c, ["place"], "o_orderkey", "x", "sx", 40000, "rank", ["station"]).select("o_orderkey", "station", _r("candidate_distance"))
 
 
 @query(f"""WITH {HOURLY_SQL}, l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts AS rts, value AS obs, event_id AS rid FROM events WHERE event_type = 'view'),
