@@ -137,13 +137,6 @@ def experts(df: DataFrame, group: str, eligible: Column, features: Sequence[Colu
     return routed.withColumns({"routed_prediction": best, "route": route}).drop("__group", "coefficients", "__shared")
 
 
-def _averages(leaves: DataFrame, keys: Sequence[str], group: Sequence[str], date: str, acquisition: str, names: Sequence[str]) -> DataFrame:
-    """The sums of each group with its weights: area within an acquisition, acquisitions alike in a date, dates alike in a group."""
-    by_acquisition = leaves.groupBy(*keys, *group, date, acquisition).agg(*((F.sum(c) / F.sum("area")).alias(c) for c in names))
-    by_date = by_acquisition.groupBy(*keys, *group, date).agg(*(F.avg(c).alias(c) for c in names))
-    return by_date.groupBy(*keys, *group).agg(*(F.avg(c).alias(c) for c in names))
-
-
 def trial(
     rows: DataFrame, catalogue: DataFrame, excluded: DataFrame, arms: dict[str, Column], *, ident: str, region: str, phase: str, date: str, acquisition: str, granule: str,
     area: Column, features: Sequence[Column], target: Column, alpha: float, least: tuple[int, int, int] = (80, 2, 2),
@@ -155,42 +148,86 @@ def trial(
     Fits with fewer than ``least`` rows, regions or dates are ``insufficient_fitting_support``; of fits with the same rows,
     known by an order-free digest of them, the first by arm, mode and key is ``fitted`` and the others are
     ``reused_exact_recipe``, with its name as origin. A row without a region, phase, date or acquisition has no weight and is in no
-    fit. Rows are read once, to sums by (region, phase, date, acquisition, granule); a group that a fit leaves alone keeps its
-    sums, and only groups that it touches are averaged again.
+    fit. Rows are shuffled once to their granule, which knows the fits that leave it out, and once to their group and date. There
+    each fit's losses are added up and taken off what all rows give, first of the acquisitions that lose some of their granules,
+    then of dates, then of groups: no fit's remaining rows are ever made, and what is written has a row a fit and group.
     """
     p, group = len(features), [region, phase]
     names, keys = sum_names(p), [*group, date, acquisition, granule]
-    sums = [F.sum(area * x).alias(c) for x, c in zip(products(features, target), names, strict=True)]
-    digest = F.sum(F.xxhash64(F.col(ident)).cast("decimal(38,0)"))
-    leaf = written(complete(rows, [*features, target, area]).dropna(subset=keys[:-1]).groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"), digest.alias("digest"), *sums), "leaves")
+    every_row = F.lit(-1)  # in the place of a fit: what all rows give
+    ids = written(catalogue.select(FIT).distinct().withColumn("__fit", F.monotonically_increasing_id()), "fit-ids")
+    leavers = excluded.dropna(subset=[granule]).join(ids, FIT).groupBy(granule).agg(F.collect_list("__fit").alias("__fits"))  # a number a fit
+    values = {**{f"__x{i}": f for i, f in enumerate(features)}, "__y": target, "__area": area, "__hash": F.xxhash64(F.col(ident))}
+    used = complete(rows, [*features, target, area]).dropna(subset=keys[:-1]).select(*keys, *(v.alias(k) for k, v in values.items()))
+    dealt = used.join(leavers, granule, "left").repartition(*group, date)  # all that follows, down to what is written, stays there
+    area_of = F.col("__area")
+    sums = [F.sum(area_of * x).alias(c) for x, c in zip(products([F.col(f"__x{i}") for i in range(p)], F.col("__y")), names, strict=True)]
+    halves = [F.sum(F.shiftright("__hash", 32)).alias("high"), F.sum(F.col("__hash").bitwiseAND(F.lit((1 << 32) - 1))).alias("low")]
+    leaf = dealt.groupBy(*keys, "__fits").agg(F.count(F.lit(1)).alias("n"), F.sum(area_of).alias("area"), *halves, *sums)
+    leaf = leaf.withColumn("__whole", F.count(F.lit(1)).over(Window.partitionBy(*group, date, acquisition)) == 1)
     arm = F.explode(F.array_compact(F.array(*(F.when(c, name) for name, c in arms.items())))).alias("arm")
-    leaf = leaf.select("*", arm)
-    alone = written(_averages(leaf, ["arm"], group, date, acquisition, names), "group-sums")
-    out = written(leaf.select("arm", *keys, "n", "digest").join(excluded, granule), "left-out")
-    touched = out.select(*FIT, "arm", *group).distinct()
-    again = _averages(touched.join(leaf, ["arm", *group]).join(excluded, [*FIT, granule], "left_anti"), [*FIT, "arm"], group, date, acquisition, names)
-    was = touched.join(alone, ["arm", *group]).select(*FIT, "arm", *((-F.col(c)).alias(c) for c in names), F.lit(-1).alias("groups"))
-    change = again.select(*FIT, "arm", *names, F.lit(1).alias("groups")).union(was).groupBy(*FIT, "arm").agg(*(F.sum(c).alias(f"d_{c}") for c in [*names, "groups"]))
-    total = alone.groupBy("arm").agg(*(F.sum(c).alias(c) for c in names), F.count(F.lit(1)).alias("groups"))
-    total = total.join(leaf.groupBy("arm").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"), F.count_distinct(region).alias("regions"), F.count_distinct(date).alias("dates")), "arm")
-    gone = out.groupBy(*FIT, "arm").agg(F.sum("n").alias("d_n"), F.sum("digest").alias("d_digest"))
-
-    def lost(column: str) -> DataFrame:
+    fit = F.explode(F.concat(F.array(every_row.cast("long")), F.coalesce("__fits", F.array().cast("array<long>")))).alias("__fit")
+
+    # an acquisition of one granule is kept or lost as a whole, so those of a date are added up; the others are kept apart
+    split = F.when(~F.col("__whole"), F.col(acquisition)).alias("__split")
+    inside = [F.when(F.col("__whole"), F.col(c) / F.col("area")).otherwise(F.col(c)).alias(c) for c in names]
+    counts = ["n", "high", "low"]
+    leaf = leaf.select(*group, date, split, *counts, "area", *inside, "__fits", arm).select("*", fit)
+    is_all = F.col("__fit") == every_row
+
+    def of_all(column: str, cells: Window) -> Column:
+        return F.max(F.when(is_all, F.col(column))).over(cells)
+
+    def changed(df: DataFrame, keep: Sequence[str], cells: Window, parts: str, size: str, one: Column | None = None) -> DataFrame:
+        """Of the sums and ``size`` of a cell's rows and of what each fit takes off them: the ratio that all rows give, and how that
+        of each fit differs. ``parts``: how many children the cell has, or a fit takes off; ``there``: 1 for all rows, -1 where a
+        fit takes off all of them. Where ``one`` holds a row is a sum over whole cells, and only its sign changes."""
+        df = df.select("*", *(of_all(c, cells).alias(f"__all_{c}") for c in dict.fromkeys([*names, parts, size])))
+        lost = F.col(parts) == F.col(f"__all_{parts}")
+        ratio = lambda c: F.col(f"__all_{c}") / F.col(f"__all_{size}")
+        left = lambda c: (F.col(f"__all_{c}") - F.col(c)) / (F.col(f"__all_{size}") - F.col(size))
+        value = lambda c: F.when(is_all, ratio(c)).when(lost, -ratio(c)).otherwise(left(c) - ratio(c))
+        there = F.when(is_all, 1).when(lost, -1).otherwise(0).cast("long")
+        plain = lambda column: F.when(is_all, column).otherwise(-column)
+        pick = lambda usual, single: usual if one is None else F.when(one, single).otherwise(usual)
+        return df.select(*keep, *counts, *(pick(value(c), plain(F.col(c))).alias(c) for c in names), pick(there, plain(F.col(parts))).alias("there"))
+
+    def added(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        """The cells of one level as children of the next: what fits change, as what they take off."""
+        return df.groupBy(*by).agg(*(F.sum(c).alias(c) for c in counts), *(F.when(is_all, F.sum(c)).otherwise(-F.sum(c)).alias(c) for c in names), F.when(is_all, F.sum("there")).otherwise(-F.sum("there")).alias("there"))
+
+    by = ["arm", "__fit", *group, date]
+    cells = leaf.groupBy(*by, "__split").agg(*(F.sum(c).alias(c) for c in [*counts, "area", *names]), F.count(F.lit(1)).alias("parts"))
+    cells = changed(cells, by, Window.partitionBy("arm", *group, date, "__split"), "parts", "area", F.col("__split").isNull())
+    dates = changed(added(cells, by), by, Window.partitionBy("arm", *group, date), "there", "there")
+    # one table for both: sums by fit and group, and the dates that all rows have and that a group loses as a whole
+    gone = F.when(F.col("there") != 0, F.col(date)).alias("__date")
+    found = dates.select(*by[:-1], gone, *counts, *names, "there")
+    digest = F.sum(F.col("high").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low").cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest")
+    parts = written(found.groupBy(*by[:-1], "__date").agg(F.sum("n").alias("n"), digest, *(F.sum(c).alias(c) for c in [*names, "there"])), "group-sums")
+    counts = ["n", "digest"]
+    all_of, out = parts.filter(is_all), parts.filter(~is_all)
+    groups = changed(added(parts, by[:-1]), by[:-1], Window.partitionBy("arm", *group), "there", "there")
+    change = groups.filter(~is_all).groupBy("__fit", "arm").agg(*(F.sum(c).alias(f"d_{c}") for c in [*counts, *names]), F.sum("there").alias("d_groups"))
+    total = groups.filter(is_all).groupBy("arm").agg(*(F.sum(c).alias(c) for c in names), F.sum("there").alias("groups"))
+    total = total.join(all_of.groupBy("arm").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"), F.count_distinct(region).alias("regions"), F.count_distinct("__date").alias("dates")), "arm")
+
+    def lost(column: str, part: Column, name: str) -> DataFrame:
         """How many values of the column no row of the fit has any more."""
-        had = leaf.groupBy("arm", column).agg(F.count(F.lit(1)).alias("had"))
-        left = out.groupBy(*FIT, "arm", column).agg(F.count(F.lit(1)).alias("left"))
-        return left.join(had, ["arm", column]).filter("left = had").groupBy(*FIT, "arm").agg(F.count(F.lit(1)).alias(f"d_{column}"))
+        had = all_of.groupBy("arm", column).agg(F.sum(part).alias("had"))
+        left = out.dropna(subset=[column]).groupBy("__fit", "arm", column).agg(F.sum(part).alias("left"))
+        return left.join(had, ["arm", column]).filter("left = had").groupBy("__fit", "arm").agg(F.count(F.lit(1)).alias(f"d_{name}"))
 
-    every = catalogue.select(*FIT).distinct().withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
+    every = ids.withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
     every = every.join(total, "arm", "left")
-    for part in (change, gone, lost(region), lost(date)):
-        every = every.join(part, [*FIT, "arm"], "left")
+    for part in (change, lost(region, F.col("n"), region), lost("__date", F.lit(1), date)):  # a date is lost where all its groups lose it
+        every = every.join(part, ["__fit", "arm"], "left")
     none = F.lit(0)
     scale = F.col("n") - F.coalesce("d_n", none)
     groups = F.col("groups") + F.coalesce("d_groups", none)
     counts = [F.coalesce(scale, none).alias("rows"), F.coalesce(F.col("regions") - F.coalesce(f"d_{region}", none), none).alias("regions"), F.coalesce(F.col("dates") - F.coalesce(f"d_{date}", none), none).alias("dates")]
     systems = [(F.try_divide((F.col(c) + F.coalesce(f"d_{c}", F.lit(0.0))) * scale, groups)).alias(c) for c in names]
-    every = written(every.select(*FIT, "arm", *counts, (F.col("digest") - F.coalesce("d_digest", none)).alias("digest"), *systems), "systems")
+    every = written(every.select(*FIT, "arm", *counts, (F.col("digest") - F.coalesce("d_digest", none)).cast("decimal(38,0)").alias("digest"), *systems), "systems")
     enough = (F.col("rows") >= least[0]) & (F.col("regions") >= least[1]) & (F.col("dates") >= least[2])
     same = Window.partitionBy("digest", "rows").orderBy("arm", *FIT)
     ranked = every.filter(enough).withColumns({"__nth": F.row_number().over(same), "origin": F.first(F.concat_ws("/", *FIT, "arm")).over(same)})

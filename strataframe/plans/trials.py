@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import trials
 from ..session import load
+from ..store import written
 from .registry import query
 from .views import PREDICTED_SQL, SAMPLES_SQL, predicted, samples
 
@@ -76,9 +77,11 @@ _HELD_SQL = f"h AS (SELECT mode, key, g.* FROM g JOIN cat ON mode IN ('pilot', '
 
 
 def observed_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Samples with a prediction: the granule that five neighbouring acquisitions share, the months it spans, and an area."""
+    """Samples with a prediction: the granule that five neighbouring acquisitions share, the months it spans, and an area. Written,
+    as memberships, fits and scores read them."""
     month = lambda days: F.date_format(F.col("ts") + F.expr(f"INTERVAL {days} DAYS"), "yyyy-MM")
-    return predicted(spark, d).filter("a IS NOT NULL").withColumns({"granule": F.expr("acquisition_id div 5"), "m0": F.col("month"), "mid": month(1), "m1": month(2), "area": 1.0 + F.col("sample_id") % 7})
+    rows = predicted(spark, d).filter("a IS NOT NULL").withColumns({"granule": F.expr("acquisition_id div 5"), "m0": F.col("month"), "mid": month(1), "m1": month(2), "area": 1.0 + F.col("sample_id") % 7})
+    return written(rows.select("sample_id", "region_id", "phase", "utc_day", "acquisition_id", "granule", "m0", "mid", "m1", "area", "a", "balance", "observed"), "rows")
 
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:

@@ -104,3 +104,27 @@ def test_folds_and_experts(spark):
         own = [r for r in usable if r[2] == g]
         c = fit(own) if g == "g1" else shared
         assert all(routed[r[0]] == (g if g == "g1" else "shared", pytest.approx(c[0] + c[1] * r[3])) for r in own)
+
+
+def shuffled_records(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(spark._jvm.java.util.ArrayList(), False, False, gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_no_fit_copies_the_rows(spark):
+    """Acquisitions over several granules, of which each of 60 fits leaves one out."""
+    data = [(*r[:5], None if r[0] % 97 == 0 else r[0] % 60, *r[6:]) for r in rows(3000, 5)]
+    df = spark.createDataFrame(data, SCHEMA).drop("mode", "arm")
+    cat = spark.createDataFrame([("pilot", str(k)) for k in range(60)], "mode string, key string")
+    excluded = spark.createDataFrame([("pilot", str(k), k) for k in range(60)], "mode string, key string, granule long")
+    arms = {"odd": F.coalesce(F.col("granule") % 2 == 1, F.lit(False)), "all": F.lit(True)}
+    before = set(shuffled_records(spark))
+    found = trials.trial(df, cat, excluded, arms, ident="id", region="region", phase="phase", date="day", acquisition="acq", granule="granule", area=F.col("area"), features=[F.lit(1.0), F.col("x")], target=F.col("y"), alpha=0.5).collect()
+    moved = sum(n for stage, n in shuffled_records(spark).items() if stage not in before)
+    assert moved < 15 * len(data), moved  # 60 fits in two arms
+    assert len(found) == 120
+    for r in found:
+        if r.key in ("0", "7", "59"):
+            use = [u for u in members(data, "full", "all", "expanded") + [u for u in data if u[1] == "r0" and u[10] is not None and u[11] == u[11]] if u[5] != int(r.key) and (r.arm == "all" or u[5] is not None and u[5] % 2 == 1)]
+            assert r.rows == len(use) and np.allclose(r.coefficients, plain_fit(use, 0.5), atol=1e-9)
