@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_reason
-from ..store import written
 from .joins import registry_outer
 
 
@@ -36,31 +35,46 @@ def weighted_metrics(df: DataFrame, segment: Sequence[str], error: str, weight:
     ).withColumn("status", F.when(F.col("date_count") >= 2, "exploratory").otherwise("unsupported_single_date"))
 
 
+def _segments(families: dict[str, Sequence[str]]) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("segment_type"), (F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)) if cols else F.lit("all")).alias("segment")) for name, cols in families.items()))
+
+
 def explode_segments(df: DataFrame, families: dict[str, Sequence[str]]) -> DataFrame:
     """A row for each grouping family that a row belongs to, as (segment_type, segment)."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("segment_type"), (F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)) if cols else F.lit("all")).alias("segment")) for name, cols in families.items()))
-    return df.select("*", F.explode(pairs).alias("__s")).select("*", "__s.segment_type", "__s.segment").drop("__s")
+    return df.select("*", F.explode(_segments(families)).alias("__s")).select("*", "__s.segment_type", "__s.segment").drop("__s")
 
 
 def segment_means(df: DataFrame, families: dict[str, Sequence[str]], levels: Sequence[Sequence[str]], keys: Sequence[str], totals: dict[str, Column], means: dict[str, Column]) -> DataFrame:
     """keys, segment_type, segment, n, the totals (sums over rows) and the means, each nested by level: the mean over a segment's
     groups of the first level of the means over a group's children, and so on down to the mean over rows. That is what balanced
-    weights give, without a weight: rows are added up once, by the columns of all families and levels, and that table is
-    rolled up for every family and averaged level by level."""
+    weights give, without a weight. A mean leaves out the rows in which it is null, and groups and children without any other.
+
+    Rows are shuffled once, to their group and its child (a region's day, say); there they are added up and averaged level by
+    level, so only groups travel again. Segments of whole groups share their groups' means: a leaf is copied once for all
+    of those families and once for every other family."""
     keys = list(keys)
     columns = list(dict.fromkeys([*(c for cols in families.values() for c in cols), *(c for level in levels for c in level)]))
-    sums = {**totals, **{f"__{k}": v for k, v in means.items()}}
-    leaf = written(df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(k) for k, v in sums.items())), "leaves")
+    whole = {name: cols for name, cols in families.items() if set(cols) <= set(levels[0])}
+    parts = {name: cols for name, cols in families.items() if name not in whole}
+    values = {k: v.alias(f"__{k}") for k, v in means.items()}
+    rows = df.select(*keys, *columns, *(v.alias(k) for k, v in totals.items()), *values.values())
+    rows = rows.repartition(*keys, *dict.fromkeys(c for level in levels[:2] for c in level))
+    leaf = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in totals), *(f(f"__{k}").alias(f"__{f.__name__}_{k}") for k in means for f in (F.sum, F.count)))
+    shared = F.array(F.struct(F.lit(None).cast("string").alias("segment_type"), F.lit(None).cast("string").alias("segment"))) if whole else None
+    copies = F.concat(*([shared] if whole else []), *([_segments(parts)] if parts else []))
+    leaf = leaf.select("*", F.explode(copies).alias("__s")).select("*", "__s.segment_type", "__s.segment")
     segment = [*keys, "segment_type", "segment"]
     parents = [segment]
     for level in levels:
         parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
-    cells = written(explode_segments(leaf, families).groupBy(*parents[-1]).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums)), "cells")
-    up = cells.select(*parents[-1], *((F.col(f"__{k}") / F.col("n")).alias(k) for k in means))
-    for parent in parents[-2::-1]:
-        up = up.groupBy(*parent).agg(*(F.avg(k).alias(k) for k in means))
-    counts = cells.groupBy(*segment).agg(F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in totals))
-    return counts.join(up, segment)
+    added = [F.sum(k).alias(k) for k in ("n", *totals)]
+    mean_of = [(F.sum(f"__sum_{k}") / F.nullif(F.sum(f"__count_{k}"), F.lit(0))).alias(k) for k in means]
+    up = leaf.groupBy(*parents[-1]).agg(*added, *mean_of)
+    for parent in parents[-2:0:-1]:
+        up = up.groupBy(*parent).agg(*added, *(F.avg(k).alias(k) for k in means))
+    own = F.array(F.struct("segment_type", "segment"))
+    up = up.select("*", F.explode(F.when(F.col("segment_type").isNull(), _segments(whole)).otherwise(own) if whole else own).alias("__s")).drop("segment_type", "segment").select("*", "__s.*")
+    return up.groupBy(*segment).agg(*added, *(F.avg(k).alias(k) for k in means))
 
 
 def date_balanced(df: DataFrame, keys: Sequence[str], date: str, error: str, thresholds: Sequence[float] = (5, 7)) -> DataFrame:

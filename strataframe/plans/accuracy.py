@@ -88,12 +88,20 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
     return predicted(spark, d).select("*", models).select("*", "m.model", "m.e").drop("m", "a", "b", "c")
 
 
+def _stacked(wide: DataFrame, keys: list[str], kinds: dict[str, dict[str, str]], columns: list[str]) -> DataFrame:
+    """A row for each kind that has rows, from the columns that end in its name."""
+    rows = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in labels.items()), *(F.col(f"{c}_{name}").alias(c) for c in columns)) for name, labels in kinds.items()))
+    return wide.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.*").filter("n > 0")
+
+
 @query(f"WITH {PREDICTED_SQL}, {_LONG_SQL}, ok AS (SELECT * FROM long WHERE e IS NOT NULL), {_SEG_SQL.format('ok')}, {_weights_sql('seg1', 'model, segment_type, segment')} SELECT model, segment_type, segment, count(*) AS n, count(*) FILTER (WHERE abs(e) > 50) AS rows_gt_50, count(*) FILTER (WHERE abs(e) > 100) AS rows_gt_100, round(sum(weight * abs(e)), 8) AS mae FROM w GROUP BY ALL")
 def agg_04_model_segments(spark: SparkSession, d: str) -> DataFrame:
-    over = lambda t: F.when(F.abs("e") > t, 1).otherwise(0)
-    totals = {"rows_gt_50": over(50), "rows_gt_100": over(100)}
-    out = metrics.segment_means(_long(spark, d).filter("e IS NOT NULL"), FAMILIES, LEVELS, ["model"], totals, {"mae": F.abs("e")})
-    return out.select("model", "segment_type", "segment", "n", *totals, _r("mae", 8))
+    p = predicted(spark, d)
+    errors = {m: F.abs(F.col(m) - F.col("observed")) for m in "abc"}  # models side by side: no row is copied for a model
+    one = lambda c: F.when(c, 1).otherwise(0)
+    totals = {f"{k}_{m}": v for m, e in errors.items() for k, v in {"n": one(e.isNotNull()), "rows_gt_50": one(e > 50), "rows_gt_100": one(e > 100)}.items()}
+    out = metrics.segment_means(p, FAMILIES, LEVELS, [], totals, {f"mae_{m}": e for m, e in errors.items()}).drop("n")
+    return _stacked(out, ["segment_type", "segment"], {m: {"model": m} for m in "abc"}, ["n", "rows_gt_50", "rows_gt_100", "mae"]).select("model", "segment_type", "segment", "n", "rows_gt_50", "rows_gt_100", _r("mae", 8))
 
 
 _DAILY_SQL = "daily AS (SELECT region_id, utc_day, count(*) AS k, sum(abs(c - observed)) AS s, sum(c - observed) AS t, sum(CASE WHEN abs(c - observed) > 50 THEN 1.0 ELSE 0 END) AS g FROM predicted WHERE c IS NOT NULL GROUP BY 1, 2)"
