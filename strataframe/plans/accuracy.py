@@ -178,11 +178,15 @@ def agg_06_acceptance(spark: SparkSession, d: str) -> DataFrame:
 reg AS (SELECT n_name AS region_id, v AS view, m AS model FROM nation, (SELECT unnest(['own', 'matched']) AS v), (SELECT unnest(['a', 'b', 'c']) AS m) UNION ALL SELECT 'NOWHERE', v, m FROM (SELECT unnest(['own', 'matched']) AS v), (SELECT unnest(['a', 'b', 'c']) AS m))
 SELECT view, model, region_id, coalesce(n, 0) AS n, mae FROM reg LEFT JOIN s USING (view, model, region_id)""")
 def agg_07_matched_and_own(spark: SparkSession, d: str) -> DataFrame:
-    long = _long(spark, d)
-    whole = long.groupBy("sample_id").agg(F.count("e").alias("k")).filter("k = 3").select("sample_id")
-    both = long.filter("e IS NOT NULL").withColumn("view", F.lit("own")).unionByName(long.join(whole, "sample_id", "left_semi").withColumn("view", F.lit("matched")))
+    p = predicted(spark, d)
+    errors = {m: F.abs(F.col(m) - F.col("observed")) for m in "abc"}
+    all_three = F.greatest(*(F.when(e.isNull(), 1).otherwise(0) for e in errors.values())) == 0
+    kinds = {f"{view}_{m}": {"view": view, "model": m} for view in ("own", "matched") for m in "abc"}  # side by side: no row is copied
+    means = {f"mae_{name}": errors[k["model"]] if k["view"] == "own" else F.when(all_three, errors[k["model"]]) for name, k in kinds.items()}
+    totals = {f"n_{name}": F.when(means[f"mae_{name}"].isNotNull(), 1).otherwise(0) for name in kinds}
+    by_region = metrics.segment_means(p, {"by_region": ["region_id"]}, LEVELS, ["region_id"], totals, means).drop("n")
     keys = ["view", "model", "region_id"]
-    scores = windows.balanced_weights(both, LEVELS, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("weight") * F.abs("e")), 8).alias("mae"))
+    scores = _stacked(by_region, ["region_id"], kinds, ["n", "mae"]).select(*keys, "n", _r("mae", 8))
     names = load(spark, d, "nation").select(F.col("n_name").alias("region_id")).union(spark.range(1).select(F.lit("NOWHERE")))
     required = names.withColumn("view", F.explode(F.array(F.lit("own"), F.lit("matched")))).withColumn("model", F.explode(F.array(*map(F.lit, "abc"))))
     return joins.registry_outer(required, scores, keys, ["n"]).select("view", "model", "region_id", "n", "mae")

@@ -52,7 +52,7 @@ def test_segments_share_their_groups_means(spark):
     assert len(seen) == len(found) == 1 + 4 + 2 + 3 + 8 + 8
 
 
-@pytest.mark.parametrize("query", [accuracy.agg_04_model_segments])
+@pytest.mark.parametrize("query", [accuracy.agg_04_model_segments, accuracy.agg_07_matched_and_own])
 def test_no_model_view_or_family_copies_the_rows(spark, query, monkeypatch):
     data = spark.createDataFrame(rows(2000, 4), "region_id string, phase string, utc_day int, acquisition_id int, surface string, product string, a double, b double").withColumns({"sample_id": F.monotonically_increasing_id(), "c": F.col("a") + 1, "observed": F.lit(1.0)})
     monkeypatch.setattr(accuracy, "predicted", lambda *_: data)
