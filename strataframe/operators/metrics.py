@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_reason
+from ..store import written
 from .joins import registry_outer
+from .windows import _back
 
 
 def error_metrics(error: Column) -> list[Column]:
@@ -50,7 +53,7 @@ def segment_means(df: DataFrame, families: dict[str, Sequence[str]], levels: Seq
     weights give, without a weight. A mean leaves out the rows in which it is null, and groups and children without any other.
 
     Rows are shuffled once, to their group and its child (a region's day, say); there they are added up and averaged level by
-    level, so only groups travel again. Segments of whole groups share their groups' means: a leaf is copied once for all
+    level, so only groups travel again. Segments of whole groups share their groups' means: there, a row is copied once for all
     of those families and once for every other family."""
     keys = list(keys)
     columns = list(dict.fromkeys([*(c for cols in families.values() for c in cols), *(c for level in levels for c in level)]))
@@ -59,22 +62,77 @@ def segment_means(df: DataFrame, families: dict[str, Sequence[str]], levels: Seq
     values = {k: v.alias(f"__{k}") for k, v in means.items()}
     rows = df.select(*keys, *columns, *(v.alias(k) for k, v in totals.items()), *values.values())
     rows = rows.repartition(*keys, *dict.fromkeys(c for level in levels[:2] for c in level))
-    leaf = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in totals), *(f(f"__{k}").alias(f"__{f.__name__}_{k}") for k in means for f in (F.sum, F.count)))
     shared = F.array(F.struct(F.lit(None).cast("string").alias("segment_type"), F.lit(None).cast("string").alias("segment"))) if whole else None
     copies = F.concat(*([shared] if whole else []), *([_segments(parts)] if parts else []))
-    leaf = leaf.select("*", F.explode(copies).alias("__s")).select("*", "__s.segment_type", "__s.segment")
+    up = rows.select("*", F.lit(1).cast("long").alias("n"), F.explode(copies).alias("__s")).select("*", "__s.segment_type", "__s.segment")
     segment = [*keys, "segment_type", "segment"]
     parents = [segment]
     for level in levels:
         parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
     added = [F.sum(k).alias(k) for k in ("n", *totals)]
-    mean_of = [(F.sum(f"__sum_{k}") / F.nullif(F.sum(f"__count_{k}"), F.lit(0))).alias(k) for k in means]
-    up = leaf.groupBy(*parents[-1]).agg(*added, *mean_of)
-    for parent in parents[-2:0:-1]:
-        up = up.groupBy(*parent).agg(*added, *(F.avg(k).alias(k) for k in means))
+    always = {k for k in means if not rows.schema[f"__{k}"].nullable}  # these share one count of children
+    mean_of = [(F.sum(f"__{k}") / F.count(F.lit(1)) if k in always else F.avg(f"__{k}")).alias(f"__{k}") for k in means]
+    for parent in parents[:0:-1]:
+        up = up.groupBy(*parent).agg(*added, *mean_of)
     own = F.array(F.struct("segment_type", "segment"))
     up = up.select("*", F.explode(F.when(F.col("segment_type").isNull(), _segments(whole)).otherwise(own) if whole else own).alias("__s")).drop("segment_type", "segment").select("*", "__s.*")
-    return up.groupBy(*segment).agg(*added, *(F.avg(k).alias(k) for k in means))
+    return up.groupBy(*segment).agg(*added, *mean_of).withColumnsRenamed({f"__{k}": k for k in means})
+
+
+def _acquisition_sums(rows: DataFrame, levels: Sequence[Sequence[str]], segment: Sequence[str], acquisition: Sequence[str], value: Column, broadcast_rows: int = 100_000) -> DataFrame:
+    """Of each group of the first level within the segment, and each acquisition: the sum of its balanced weights (but for a
+    factor of the segment) and of weights times values. Cells down to the acquisition are averaged where their group and day are."""
+    parents = [list(segment)]
+    for level in levels:
+        parents.append([*parents[-1], *(c for c in level if c not in parents[-1])])
+    depth = next(i for i, p in enumerate(parents) if set(acquisition) <= set(p))
+    cells = rows.repartition(*parents[min(2, depth)]).groupBy(*parents[-1]).agg(F.avg(value).alias("__value"))
+    for parent in parents[-2 : depth - 1 : -1]:
+        cells = cells.groupBy(*parent).agg(F.avg("__value").alias("__value"))
+    cells = cells.withColumn("__weight", 1.0 / (F.count(F.lit(1)).over(Window.partitionBy(*parents[depth - 1])) if depth > 1 else F.lit(1)))
+    for i in range(depth - 2, 0, -1):
+        counts = written(rows.select(*parents[i + 1]).distinct().groupBy(*parents[i]).agg(F.count(F.lit(1)).alias("__children")), "children")
+        cells = _back(cells, F.broadcast(counts) if counts.count() <= broadcast_rows else counts, parents[i])
+        cells = cells.withColumn("__weight", F.col("__weight") / F.col("__children")).drop("__children")
+    sums = cells.groupBy(*dict.fromkeys([*parents[1], *acquisition])).agg(F.sum("__weight").alias("__weight"), F.sum(F.col("__weight") * F.col("__value")).alias("__value"))
+    return written(sums, "acquisitions")
+
+
+def segment_blocks(df: DataFrame, families: dict[str, Sequence[str]], levels: Sequence[Sequence[str]], error: str, acquisition: Sequence[str], date: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """The block of ``weighted_metrics`` of every segment of every family, with balanced weights within the segment, without a
+    row for a family. All of it are means nested by level. The contrast's are taken of each error beside its acquisition's mean in
+    the segment; segments of whole groups of the first level whose columns split acquisitions alike have the same such mean."""
+    columns = dict.fromkeys([*(c for cols in families.values() for c in cols), *(c for level in levels for c in level), *acquisition, *date])
+    parts = {name: f"__in_{name}" for name, cols in families.items() if not set(cols) <= set(levels[0])}
+    labels = {mark: _segments({name: families[name]})[0]["segment"] for name, mark in parts.items()}
+    rows = written(df.select(*columns, F.col(error).alias("__e")).withColumns(labels), "rows")
+    e = F.coalesce("__e", F.lit(0.0))
+    shares = {mark: _acquisition_sums(rows, levels, [mark] if mark else [], acquisition, e) for mark in dict.fromkeys(parts.get(name) for name in families)}
+    kinds: dict[tuple[str, ...], tuple[str, DataFrame]] = {}
+    contrast_of, acquisitions = {}, []
+    joined = rows
+    for name, cols in families.items():
+        mark = parts.get(name)
+        keys = (*acquisition, *([mark] if mark else sorted(set(cols) - set(acquisition))))
+        if keys not in kinds:
+            mean = f"__mean{len(kinds)}"
+            table = shares[mark].groupBy(*keys).agg((F.sum("__value") / F.sum("__weight")).alias(mean))
+            joined = _back(joined, table, keys)
+            kinds[keys] = mean, table
+        contrast_of[name] = kinds[keys][0]
+        segment = F.col(mark) if mark else _segments({name: cols})[0]["segment"]
+        acquisitions.append(kinds[keys][1].groupBy(F.lit(name).alias("segment_type"), segment.alias("segment")).agg(F.count_distinct(*acquisition).alias("acquisition_count")))
+    counts = reduce(DataFrame.union, acquisitions)
+    dates = explode_segments(rows.select(*dict.fromkeys([*(c for cols in families.values() for c in cols), *date])).distinct(), families).groupBy("segment_type", "segment").agg(F.count_distinct(*date).alias("date_count"))
+    over = {f"fraction_gt_{t:g}": F.when(F.abs(e) > t, 1.0).otherwise(0.0) for t in thresholds}
+    contrasts = {mean: F.coalesce(F.abs(F.col("__e") - F.col(mean)), F.lit(0.0)) for mean, _ in kinds.values()}
+    means = segment_means(joined, families, levels, [], {"__abs": F.abs("__e"), "__known": F.when(F.col("__e").isNotNull(), 1).otherwise(0)}, {"mae": F.abs(e), "__square": e * e, "bias": e, **over, **contrasts})
+    contrast = F.coalesce(*(F.when(F.col("segment_type") == name, F.col(mean)) for name, mean in contrast_of.items()))
+    out = means.join(dates, ["segment_type", "segment"]).join(counts, ["segment_type", "segment"])
+    return out.select(
+        "segment_type", "segment", "n", "date_count", "acquisition_count", "mae", F.sqrt("__square").alias("rmse"), "bias", *over, contrast.alias("contrast_mae"), F.try_divide("__abs", "__known").alias("unweighted_mae"),
+        F.when(F.col("date_count") >= 2, "exploratory").otherwise("unsupported_single_date").alias("status"),
+    )
 
 
 def date_balanced(df: DataFrame, keys: Sequence[str], date: str, error: str, thresholds: Sequence[float] = (5, 7)) -> DataFrame:

@@ -77,7 +77,8 @@ def agg_02_weighted_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PREDICTED_SQL}, ok AS (SELECT *, b - observed AS e FROM predicted WHERE b IS NOT NULL), {_SEG_SQL.format('ok')}, {_weights_sql('seg1', 'segment_type, segment')}, x AS (SELECT *, sum(e * weight) OVER (PARTITION BY segment_type, segment, region_id, acquisition_id) / sum(weight) OVER (PARTITION BY segment_type, segment, region_id, acquisition_id) AS m FROM w) SELECT segment_type, segment, {_BLOCK} FROM x GROUP BY segment_type, segment")
 def agg_03_segment_metrics(spark: SparkSession, d: str) -> DataFrame:
     ok = predicted(spark, d).filter("b IS NOT NULL").withColumn("e", F.col("b") - F.col("observed"))
-    return _scored(metrics.explode_segments(ok, FAMILIES), ["segment_type", "segment"])
+    out = metrics.segment_blocks(ok, FAMILIES, LEVELS, "e", ["region_id", "acquisition_id"], ["region_id", "utc_day"], [50, 100])
+    return out.select("segment_type", "segment", "n", "date_count", "acquisition_count", *(_r(c, 8) for c in _METRIC_COLUMNS), "status")
 
 
 _LONG_SQL = "long AS (SELECT sample_id, region_id, phase, utc_day, acquisition_id, surface, product, observed, unnest(['a', 'b', 'c']) AS model, unnest([a, b, c]) - observed AS e FROM predicted)"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import metrics
+from strataframe.operators import metrics, windows
 from strataframe.plans import accuracy
 
 from .test_trials import shuffled_records
@@ -64,3 +64,24 @@ def test_no_model_view_or_family_copies_the_rows(spark, query, monkeypatch):
             assert r.n == sum(u.a is not None and u.b is not None and u.region_id == r.region_id for u in local)
         elif "view" in r or r.segment_type == "by_region":
             assert r.n == sum(u[r.model] is not None and (u.region_id or "") == (r.region_id if "view" in r else r.segment) for u in local)
+
+
+def test_blocks_of_all_families_equal_those_of_copied_rows(spark):
+    data = [(*(v or "none" if i in (0, 5) else v for i, v in enumerate(r[:6])), *r[6:]) for r in rows(2000, 6)]
+    df = spark.createDataFrame(data, "region_id string, phase string, utc_day int, acquisition_id int, surface string, product string, e double, y double").drop("y").withColumn("b", F.lit(0.0))
+    args = (["region_id", "acquisition_id"], ["region_id", "utc_day"], [1, 5])
+    copied = windows.balanced_weights(metrics.explode_segments(df, accuracy.FAMILIES), accuracy.LEVELS, ["segment_type", "segment"])
+    expected = {(r.segment_type, r.segment): r for r in metrics.weighted_metrics(copied, ["segment_type", "segment"], "e", "weight", *args).collect()}
+    found = metrics.segment_blocks(df, accuracy.FAMILIES, accuracy.LEVELS, "e", *args).collect()
+    assert len(found) == len(expected) == 1 + 4 + 2 + 3 + 8
+    for r in found:
+        want = expected[r.segment_type, r.segment].asDict()
+        assert r.asDict() == {k: pytest.approx(v, abs=1e-12) if isinstance(v, float) else v for k, v in want.items()}
+
+
+def test_segment_metrics_copy_no_row_for_a_family(spark, monkeypatch):
+    """An acquisition in many families is known once for all of them: copies of rows would make 5 times as many records."""
+    data = spark.createDataFrame(rows(2000, 7), "region_id string, phase string, utc_day int, acquisition_id int, surface string, product string, b double, y double").withColumn("observed", F.lit(1.0))
+    monkeypatch.setattr(accuracy, "predicted", lambda *_: data)
+    _, records = moved(spark, accuracy.agg_03_segment_metrics(spark, ""))
+    assert records < 15 * 2000, records
